@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, pii, secrets, token_counts
+from plumbline.llm import bpe, lm, near, pii, quality, secrets, token_counts
 from plumbline.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,22 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@_query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), quality.remainder(F.col("doc_id"), 5) == 0
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    rows = docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), quality.score(docs, model).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@_query
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score_texts(docs, quality.remainder(docs["doc_id"], 7) == 2)
+
+
+@_query
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents")).drop("row")
