@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, line_dedup, lm, near, pii, quality, secrets, token_counts
+from plumbline.llm import bpe, line_dedup, lm, near, pii, quality, rules, secrets, token_counts
 from plumbline.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_line_dedup"] = line_dedup.ORACLE
+
+
+@_query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+ORACLES["op7_quality_rules"] = rules.ORACLE
