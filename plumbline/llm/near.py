@@ -111,21 +111,37 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Leaders:
-    """The leaders of one bucket, and the links of the texts that come by."""
+    """The leaders of one bucket, and the links of the texts that come by.
+
+    Leaders that a text has linked are one part from then on, and the next text is linked to each part
+    once: so a bucket has no more links than texts, whatever the number of leaders near them.
+    """
 
     def __init__(self) -> None:
         self.ids: list[int] = []
+        self.part: list[int] = []
         self.signs = np.zeros((8, TREES * DEPTH), dtype=np.uint16)
 
+    def _root(self, i: int) -> int:
+        while self.part[i] != i:
+            self.part[i] = self.part[self.part[i]]
+            i = self.part[i]
+        return i
+
     def add(self, v: int, sign: np.ndarray) -> list[int]:
         n = len(self.ids)
         near = (self.signs[:n] == sign).mean(axis=1) if n else np.zeros(0)
+        roots = sorted({self._root(i) for i in np.flatnonzero(near >= LINKED).tolist()})
+        for r in roots[1:]:
+            self.part[r] = roots[0]
+        linked = [self.ids[r] for r in roots]
         if not n or near.max() < COVERED:
             if n == len(self.signs):
                 self.signs = np.concatenate((self.signs, np.zeros_like(self.signs)))
             self.signs[n] = sign
             self.ids.append(v)
-        return [self.ids[i] for i in np.flatnonzero(near >= LINKED)]
+            self.part.append(roots[0] if roots else n)
+        return linked
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
