@@ -1,11 +1,561 @@
-"""The queries over the driver's tables and the SQL that checks each of them."""
+"""The queries over the driver's tables, each with the SQL that checks it.
+
+The tables hold no images, so each operator runs on a stand-in column: customers' balances as measured
+diameters, events as frames with scores, embeddings as patch vectors, hourly event counts as width signals,
+line items as error records.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from plumbline.functions import scalars as S
+from plumbline.operators import evaluation as ev
+from plumbline.operators import fusion, signal, tolerance, vectors, video
+from plumbline.session import table
+from plumbline.sources import manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+SIZES_SQL = "(VALUES " + ", ".join(f"({i}, '{s[0]}', {s[1]}::DOUBLE, {s[2]}::DOUBLE, {s[3]}::DOUBLE, {s[4]}::DOUBLE)" for i, s in enumerate(tolerance.SIZES)) + ") t(ordinal, designation, pitch_mm, basic_mm, max_mm, min_mm)"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its SQL where there is one."""
+
+    def register(run: Query) -> Query:
+        QUERIES[run.__name__] = run
+        if sql:
+            ORACLES[run.__name__] = sql
+        return run
+
+    return register
+
+
+# --- stand-ins ------------------------------------------------------------------------------------
+
+
+def diameters(spark: SparkSession, d: str) -> DataFrame:
+    """(item_id, px, mm): a balance of zero or less is a measurement that failed."""
+    c = table(spark, d, "customer").where("c_acctbal > 0")
+    px = F.col("c_acctbal") / 25
+    return c.select(F.col("c_custkey").alias("item_id"), px.alias("px"), S.px_to_mm(px, F.lit(S.DEMO_PX_PER_MM)).alias("mm"))
+
+
+DIAMETERS_SQL = "SELECT c_custkey AS item_id, c_acctbal / 25 AS px, c_acctbal / 25 / 32.4::DOUBLE AS mm FROM customer WHERE c_acctbal > 0"
+
+
+def item_scores(spark: SparkSession, d: str) -> DataFrame:
+    """(item_id, score, threshold): largest value of each user, against the 99th percentile of normal events."""
+    e = table(spark, d, "events")
+    limit = ev.p99_threshold(e.where("event_type <> 'error'"), "value")
+    return e.groupBy(F.col("user_id").alias("item_id")).agg(F.max("value").alias("score")).crossJoin(F.broadcast(limit))
+
+
+SCORES_SQL = """SELECT user_id AS item_id, max(value) AS score,
+    (SELECT quantile_cont(value, 0.99) FROM events WHERE event_type <> 'error') AS threshold FROM events GROUP BY user_id"""
+
+
+def frames(spark: SparkSession, d: str) -> DataFrame:
+    """(video_id, frame_index, fps, score, mm): a user's events in order are a video's frames; the rate varies by user."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, d, "events").select(
+        F.col("user_id").alias("video_id"), (F.row_number().over(order) - 1).alias("frame_index"), (F.col("user_id") % 31).cast("double").alias("fps"), F.col("value").alias("score"), (F.col("value") / 10).alias("mm")
+    )
+
+
+FRAMES_SQL = """SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_index,
+    (user_id % 31)::DOUBLE AS fps, value AS score, value / 10 AS mm FROM events"""
+
+
+def hourly(spark: SparkSession, d: str) -> DataFrame:
+    """(signal_id, i, v): events of each type in each hour from the first to the last, with zeros."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("signal_id"), F.date_trunc("hour", F.col("ts")).cast("timestamp").alias("h"))
+    span = e.agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    hours = span.select("a", F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("h"))
+    hours = hours.select("h", ((F.unix_timestamp("h") - F.unix_timestamp("a")) / 3600).cast("int").alias("i"))
+    grid = e.select("signal_id").distinct().crossJoin(hours)
+    return grid.join(e.groupBy("signal_id", "h").agg(F.count(F.lit(1)).cast("double").alias("n")), ["signal_id", "h"], "left").select("signal_id", "i", F.coalesce("n", F.lit(0.0)).alias("v"))
+
+
+HOURLY_SQL = """SELECT t.event_type AS signal_id, g.i, coalesce(c.n, 0)::DOUBLE AS v
+    FROM (SELECT DISTINCT event_type FROM events) t
+    CROSS JOIN (SELECT h, (row_number() OVER (ORDER BY h) - 1)::INT AS i FROM (SELECT unnest(generate_series(
+        (SELECT date_trunc('hour', min(ts)) FROM events), (SELECT date_trunc('hour', max(ts)) FROM events), INTERVAL 1 HOUR)) AS h)) g
+    LEFT JOIN (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1, 2) c ON c.event_type = t.event_type AND c.h = g.h"""
+
+
+def scored_labels(spark: SparkSession, d: str) -> DataFrame:
+    """(score, label): document lengths, and 1 for labelled good quality."""
+    return table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select(F.col("n_chars").cast("double").alias("score"), F.col("quality").alias("label"))
+
+
+LABELS_SQL = "SELECT n_chars::DOUBLE AS score, quality AS label FROM labels JOIN documents USING (doc_id)"
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# --- sizes, verdicts, videos ------------------------------------------------------------------------
+
+
+@query(f"SELECT item_id, round(px, 6) AS px, round(mm, 6) AS mm FROM ({DIAMETERS_SQL})")
+def px_to_mm(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(diameters(spark, d))
+
+
+@query(f"""SELECT item_id, arg_min(designation, (gap, ordinal)) AS designation FROM (
+    SELECT item_id, ordinal, designation, abs(basic_mm - mm) AS gap FROM ({DIAMETERS_SQL}) CROSS JOIN {SIZES_SQL}) GROUP BY item_id""")
+def nearest_designation(spark: SparkSession, d: str) -> DataFrame:
+    return diameters(spark, d).select("item_id", tolerance.nearest_size(F.col("mm"))["designation"].alias("designation"))
+
+
+NEAREST_SQL = f"""SELECT item_id, mm, designation, min_mm, max_mm, mm BETWEEN min_mm AND max_mm AS inside FROM (
+    SELECT item_id, mm, designation, min_mm, max_mm, row_number() OVER (PARTITION BY item_id ORDER BY abs(basic_mm - mm), ordinal) AS n
+    FROM ({DIAMETERS_SQL}) CROSS JOIN {SIZES_SQL}) WHERE n = 1"""
+
+
+@query(f"SELECT item_id, designation, inside FROM ({NEAREST_SQL})")
+def tolerance_check(spark: SparkSession, d: str) -> DataFrame:
+    size = tolerance.nearest_size(F.col("mm"))
+    return diameters(spark, d).withColumn("size", size).select("item_id", "size.designation", tolerance.within(F.col("mm"), F.col("size")).alias("inside"))
+
+
+@query(f"SELECT p_partkey, designation, pitch_mm, basic_mm FROM (SELECT p_partkey, (p_partkey % 10)::INT AS o FROM part) JOIN {SIZES_SQL} ON ordinal = o")
+def lookup_designation(spark: SparkSession, d: str) -> DataFrame:
+    name = F.element_at(F.array(*[F.lit(s[0]) for s in tolerance.SIZES]), (F.col("p_partkey") % 10).cast("int") + 1)
+    return table(spark, d, "part").withColumn("size", tolerance.size_of(name)).select("p_partkey", "size.designation", "size.pitch_mm", "size.basic_mm")
+
+
+FUSED_SQL = f"""SELECT s.item_id, score, threshold, mm, designation, inside,
+    CASE WHEN score > threshold AND NOT isnan(score) THEN 'anomaly_score' END AS f1, CASE WHEN NOT inside THEN 'major_diameter' END AS f2
+    FROM ({SCORES_SQL}) s LEFT JOIN ({NEAREST_SQL}) m ON s.item_id = m.item_id"""
+
+
+@query(f"""SELECT item_id, CASE WHEN f1 IS NULL AND f2 IS NULL THEN 'GO' ELSE 'NO_GO' END AS verdict, round(score, 6) AS score, round(threshold, 6) AS threshold,
+    round(mm, 6) AS major_diameter_mm, concat_ws(',', f1, f2) AS failed_checks, designation AS matched_designation,
+    concat_ws(' | ', printf('anomaly score %.3f ', score) || CASE WHEN f1 IS NULL THEN 'within' ELSE 'exceeds' END || printf(' threshold %.3f', threshold),
+        CASE WHEN mm IS NULL THEN '{fusion.SKIPPED}' ELSE printf('major diameter %.3f', mm) || CASE WHEN inside THEN 'mm within ' ELSE 'mm outside ' END || designation
+            || printf(' class-6g limits [%.3f, %.3f]mm', (SELECT min_mm FROM {SIZES_SQL} WHERE t.designation = f.designation), (SELECT max_mm FROM {SIZES_SQL} WHERE t.designation = f.designation)) END,
+        '{fusion.DISCLAIMER}') AS reasoning
+    FROM ({FUSED_SQL}) f""")
+def fuse_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """Which items are NO_GO, and why: the flagship."""
+    items = fusion.join_measurements(item_scores(spark, d), diameters(spark, d).withColumnRenamed("mm", "major_diameter_mm"), "item_id")
+    rows = fusion.fuse_verdict(items)
+    return rows.select(
+        "item_id", "verdict", F.round("score", 6).alias("score"), F.round("threshold", 6).alias("threshold"), F.round("major_diameter_mm", 6).alias("major_diameter_mm"),
+        F.array_join("failed_checks", ",").alias("failed_checks"), "matched_designation", F.array_join("reasoning", " | ").alias("reasoning"),
+    )
+
+
+@query(f"""SELECT video_id, frame_index, round(CASE WHEN fps > 0 THEN frame_index / fps ELSE 0 END, 6) AS timestamp_sec, interval_ AS "interval" FROM (
+    SELECT *, CASE WHEN fps > 0 THEN greatest(1, round_even(fps / 2, 0)::INT) ELSE 10 END AS interval_ FROM ({FRAMES_SQL})) WHERE frame_index % interval_ = 0""")
+def frame_sample(spark: SparkSession, d: str) -> DataFrame:
+    rows = video.sample_frames(frames(spark, d))
+    return rows.select("video_id", "frame_index", F.round("timestamp_sec", 6).alias("timestamp_sec"), "interval")
+
+
+@query(f"""SELECT video_id, count(*) AS n FROM (SELECT *, coalesce(nullif((video_id % 4)::INT, 0), CASE WHEN fps > 0 THEN greatest(1, round_even(fps / 2, 0)::INT) ELSE 10 END) AS k
+    FROM ({FRAMES_SQL})) WHERE frame_index % k = 0 GROUP BY video_id""")
+def frame_sample_override(spark: SparkSession, d: str) -> DataFrame:
+    return video.sample_frames(frames(spark, d), F.col("video_id") % 4).groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def frame_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").where("event_type <> 'error'")
+    rows = video.sample_frames(frames(spark, d)).crossJoin(F.broadcast(ev.p99_threshold(e, "value")))
+    return fusion.fuse_verdict(rows.withColumnRenamed("mm", "major_diameter_mm"), reasons=False)
+
+
+FRAME_VERDICTS_SQL = f"""SELECT video_id, frame_index, score > threshold AS bad_score, NOT (mm BETWEEN min_mm AND max_mm) AS bad_size FROM (
+    SELECT v.*, t.*, (SELECT quantile_cont(value, 0.99) FROM events WHERE event_type <> 'error') AS threshold,
+        row_number() OVER (PARTITION BY video_id, frame_index ORDER BY abs(basic_mm - mm), ordinal) AS n
+    FROM (SELECT *, CASE WHEN fps > 0 THEN greatest(1, round_even(fps / 2, 0)::INT) ELSE 10 END AS k FROM ({FRAMES_SQL})) v CROSS JOIN {SIZES_SQL}
+    WHERE frame_index % k = 0) WHERE n = 1"""
+
+
+@query(f"""SELECT video_id, count(*) AS n_frames, count(*) FILTER (WHERE NOT bad_score AND NOT bad_size) AS n_go, count(*) FILTER (WHERE bad_score OR bad_size) AS n_no_go,
+    concat_ws(',', CASE WHEN bool_or(bad_score) THEN 'anomaly_score' END, CASE WHEN bool_or(bad_size) THEN 'major_diameter' END) AS failed_checks,
+    CASE WHEN bool_or(bad_score OR bad_size) THEN 'NO_GO' ELSE 'GO' END AS verdict FROM ({FRAME_VERDICTS_SQL}) GROUP BY video_id""")
+def video_worst_case(spark: SparkSession, d: str) -> DataFrame:
+    rows = video.worst_case(frame_verdicts(spark, d))
+    return rows.withColumn("failed_checks", F.array_join("failed_checks", ","))
+
+
+@query(f"""SELECT CASE WHEN bad_score OR bad_size THEN 'NO_GO' ELSE 'GO' END AS verdict, count(*) AS n FROM ({FRAME_VERDICTS_SQL}) GROUP BY 1""")
+def verdict_counts(spark: SparkSession, d: str) -> DataFrame:
+    return frame_verdicts(spark, d).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT item_id, CASE WHEN f1 IS NULL AND f2 IS NULL THEN 'GO' ELSE 'NO_GO' END || ' / ' || printf('anomaly %.2f / %.2f', score, threshold) || ' / diameter '
+    || coalesce(printf('%.2f', mm) || 'mm', 'n/a') || ' / pitch n/a / 2.0 fps' || CASE WHEN f1 IS NULL AND f2 IS NULL THEN '' ELSE ' / failed: ' || concat_ws(', ', f1, f2) END AS overlay FROM ({FUSED_SQL})""")
+def annotation_lines(spark: SparkSession, d: str) -> DataFrame:
+    items = fusion.join_measurements(item_scores(spark, d), diameters(spark, d).withColumnRenamed("mm", "major_diameter_mm"), "item_id")
+    rows = fusion.fuse_verdict(items, reasons=False).withColumn("pitch_mm", F.lit(0.0)).withColumn("display_fps", F.lit(2.0))
+    return video.annotation_lines(rows).select("item_id", F.array_join("lines", " / ").alias("overlay"))
+
+
+# --- scores, thresholds, evaluation -------------------------------------------------------------------
+
+
+@query("SELECT round(quantile_cont(value, 0.99), 6) AS threshold FROM events WHERE event_type <> 'error'")
+def train_p99_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ev.p99_threshold(table(spark, d, "events").where("event_type <> 'error'"), "value"))
+
+
+@query(f"SELECT item_id, score > threshold AS is_anomalous FROM ({SCORES_SQL})")
+def anomaly_flag(spark: SparkSession, d: str) -> DataFrame:
+    return item_scores(spark, d).select("item_id", S.exceeds(F.col("score"), F.col("threshold")).alias("is_anomalous"))
+
+
+@query(f"""SELECT round((sum(r) FILTER (WHERE label = 1) - p * (p + 1) / 2) / (p * n), 6)::DOUBLE AS auroc, n AS n_normal, p AS n_anomalous FROM (
+    SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r,
+        count(*) FILTER (WHERE label = 1) OVER () AS p, count(*) FILTER (WHERE label = 0) OVER () AS n FROM ({LABELS_SQL})) GROUP BY p, n""")
+def auroc(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ev.auroc(scored_labels(spark, d), "score", "label"))
+
+
+@query(f"""SELECT s AS threshold, round(j, 6) AS j FROM (SELECT s, sum(p) OVER w / sum(p) OVER () - sum(n) OVER w / sum(n) OVER () AS j FROM (
+    SELECT score AS s, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM ({LABELS_SQL}) GROUP BY score)
+    WINDOW w AS (ORDER BY s DESC)) ORDER BY j DESC, s DESC LIMIT 1""")
+def youden_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ev.youden(scored_labels(spark, d), "score", "label"))
+
+
+@query(f"SELECT count(*) FILTER (WHERE label = 0) AS n_normal, count(*) FILTER (WHERE label = 1) AS n_anomalous FROM ({LABELS_SQL})")
+def class_counts(spark: SparkSession, d: str) -> DataFrame:
+    return ev.class_counts(scored_labels(spark, d), "label")
+
+
+@query("""SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean_ms, round(quantile_cont(o_totalprice, 0.5), 4) AS p50_ms, round(quantile_cont(o_totalprice, 0.95), 4) AS p95_ms,
+    round(1000 / avg(o_totalprice), 6) AS throughput FROM orders GROUP BY 1""")
+def latency_stats(spark: SparkSession, d: str) -> DataFrame:
+    rows = ev.latency_stats(table(spark, d, "orders"), "o_totalprice", ["o_orderpriority"])
+    return rows.select("o_orderpriority", *[F.round(c, 4).alias(c) for c in ("mean_ms", "p50_ms", "p95_ms")], F.round("throughput", 6).alias("throughput"))
+
+
+@query("""SELECT n, round(a, 6) AS max_abs_diff, round(b, 6) AS mean_abs_diff, round(c, 6) AS max_rel_diff, all_close FROM (
+    SELECT count(*) AS n, max(abs(x - y)) AS a, avg(abs(x - y)) AS b, max(abs(x - y) / greatest(abs(x), 1e-8)) AS c, bool_and(abs(x - y) <= 1e-2 + 1e-3 * abs(y)) AS all_close
+    FROM (SELECT o_totalprice AS x, o_totalprice * (1 + (o_orderkey % 7) / 10000.0::DOUBLE) AS y FROM orders))""")
+def output_equivalence(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "orders").select(F.col("o_totalprice").alias("x"), (F.col("o_totalprice") * (1 + (F.col("o_orderkey") % 7) / 10000.0)).alias("y"))
+    return rounded(ev.equivalence(pairs, "x", "y"))
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """Error records: line items by flag and status; no tax means no pitch."""
+    li = table(spark, d, "lineitem")
+    pitch = F.nullif("l_tax", F.lit(0.0))
+    return li.select(
+        F.col("l_returnflag").alias("estimator"), F.when(F.col("l_linestatus") == "O", "clean").otherwise("blur").alias("condition"),
+        S.absolute_error(F.col("l_quantity"), F.lit(25.0)).alias("diameter_abs_error"), S.percent_error(F.col("l_quantity"), F.lit(25.0)).alias("diameter_pct_error"),
+        S.absolute_error(pitch, F.lit(0.04)).alias("pitch_abs_error"), S.percent_error(pitch, F.lit(0.04)).alias("pitch_pct_error"),
+    )
+
+
+SUMMARY_SQL = """SELECT l_returnflag AS estimator, CASE WHEN l_linestatus = 'O' THEN 'clean' ELSE 'blur' END AS condition, count(*) AS n_cases,
+    avg(abs(l_quantity - 25)) AS diameter_mae, avg(100 * abs(l_quantity - 25) / 25) AS diameter_mean_pct,
+    avg(abs(nullif(l_tax, 0) - 0.04::DOUBLE)) AS pitch_mae, avg(100 * abs(nullif(l_tax, 0) - 0.04::DOUBLE) / 0.04::DOUBLE) AS pitch_mean_pct, count(nullif(l_tax, 0)) AS n_pitch
+    FROM lineitem GROUP BY 1, 2"""
+
+
+@query(f"""SELECT estimator, condition, n_cases, round(diameter_mae, 6) AS diameter_mae, round(diameter_mean_pct, 6) AS diameter_mean_pct, round(pitch_mae, 6) AS pitch_mae,
+    round(pitch_mean_pct, 6) AS pitch_mean_pct, n_pitch FROM ({SUMMARY_SQL})""")
+def summarize_errors(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ev.summarize(records(spark, d)))
+
+
+@query("SELECT estimator, " + ", ".join(f"""round(max(pitch_mae) FILTER (WHERE condition = '{c}'), 6) AS {c}_mae, coalesce(max(n_pitch) FILTER (WHERE condition = '{c}'), 0) AS {c}_n_pitch,
+    coalesce(max(n_cases) FILTER (WHERE condition = '{c}'), 0) AS {c}_n_cases""" for c in ev.CONDITIONS) + f" FROM ({SUMMARY_SQL}) GROUP BY estimator")
+def pivot_condition(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ev.pivot_conditions(ev.summarize(records(spark, d))))
+
+
+@query("""SELECT 0 AS n, '| Method | Clean pitch MAE (mm) | Blur pitch MAE (mm) | Rotated pitch MAE (mm) |' AS line UNION ALL SELECT 1, '|---|---|---|---|' UNION ALL
+    SELECT row_number() OVER (ORDER BY estimator) + 1, '| ' || estimator || ' | ' || """ + " || ' | ' || ".join(
+    f"""coalesce(printf('%.4f', max(pitch_mae) FILTER (WHERE condition = '{c}')), 'n/a') || ' (' || coalesce(max(n_pitch) FILTER (WHERE condition = '{c}'), 0) || '/'
+        || coalesce(max(n_cases) FILTER (WHERE condition = '{c}'), 0) || ' produced an estimate)'""" for c in ev.CONDITIONS) + f" || ' |' FROM ({SUMMARY_SQL}) GROUP BY estimator")
+def comparison_table(spark: SparkSession, d: str) -> DataFrame:
+    return ev.comparison_rows(ev.summarize(records(spark, d)))
+
+
+@query(f"SELECT designation, c AS condition, e AS estimator, round(basic_mm - 1.2::DOUBLE * pitch_mm, 6) AS minor_mm FROM {SIZES_SQL}, (VALUES ('clean'), ('blur'), ('rotated')) x(c), (VALUES ('peak'), ('fft')) y(e) WHERE designation IN ('M3', 'M6', 'M10')")
+def validation_cross(spark: SparkSession, d: str) -> DataFrame:
+    sizes = tolerance.size_table(spark).where(F.col("designation").isin("M3", "M6", "M10"))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), F.lit(e).alias("estimator")) for c in ev.CONDITIONS for e in ("peak", "fft")]))
+    return sizes.select("designation", cells.alias("x"), F.round(F.col("basic_mm") - 1.2 * F.col("pitch_mm"), 6).alias("minor_mm")).select("designation", "x.*", "minor_mm")
+
+
+# --- vectors --------------------------------------------------------------------------------------------
+
+FEATURES = [1, 4, 9, 16, 25]
+
+
+@query("SELECT vec_id, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) AS f{i}" for i in FEATURES) + " FROM embeddings")
+def feature_select(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").withColumn("f", vectors.select_features(F.col("embedding"), FEATURES))
+    return rows.select("vec_id", *[F.round(F.get("f", F.lit(k)), 6).alias(f"f{i}") for k, i in enumerate(FEATURES)])
+
+
+def near_bank(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return vectors.nearest_distance(e.where("label <> 0"), e.where("label = 0").select(F.col("embedding").alias("features")))
+
+
+NEAR_SQL = """SELECT q.vec_id, min(sqrt(list_sum(list_transform(list_zip(q.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))))) AS min_distance
+    FROM embeddings q CROSS JOIN embeddings b WHERE q.label <> 0 AND b.label = 0 GROUP BY q.vec_id"""
+
+
+@query(f"SELECT vec_id, round(min_distance, 6) AS min_distance FROM ({NEAR_SQL})")
+def knn_min_distance(spark: SparkSession, d: str) -> DataFrame:
+    return near_bank(spark, d).select("vec_id", F.round("min_distance", 6).alias("min_distance"))
+
+
+@query(f"SELECT vec_id // 10 AS image_id, round(max(min_distance), 6) AS score FROM ({NEAR_SQL}) GROUP BY 1")
+def image_max_score(spark: SparkSession, d: str) -> DataFrame:
+    rows = near_bank(spark, d).withColumn("image_id", F.floor(F.col("vec_id") / 10))
+    return rounded(vectors.image_scores(rows, "min_distance"))
+
+
+@query("""SELECT label, i - 1 AS feature, round(avg(v), 6) AS mean FROM (
+    SELECT label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY 1, 2""")
+def patch_mean(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("feature", "v"))
+    return rows.groupBy("label", "feature").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
+
+
+MOMENTS_SQL = """SELECT label, avg(x) AS mx, avg(y) AS my, coalesce(var_samp(x), 0) + 0.01 AS vxx, coalesce(var_samp(y), 0) + 0.01 AS vyy, coalesce(covar_samp(x, y), 0) AS vxy
+    FROM (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings) GROUP BY label"""
+
+
+def two_features(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+
+
+@query(f"SELECT label, round(vxx, 6) AS vxx, round(vyy, 6) AS vyy, round(vxy, 6) AS vxy FROM ({MOMENTS_SQL})")
+def patch_covariance(spark: SparkSession, d: str) -> DataFrame:
+    some = table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("label").cast("int").alias("patch_idx"), vectors.select_features(F.col("embedding"), [0, 1]).alias("embedding"))
+    inverse = vectors.fit_gaussians(some).select("patch_idx", *[F.get("cov_inv", F.lit(i)).alias(c) for i, c in enumerate("abcd")])
+    det = F.col("a") * F.col("d") - F.col("b") * F.col("c")
+    return rounded(inverse.select(F.col("patch_idx").alias("label"), (F.col("d") / det).alias("vxx"), (F.col("a") / det).alias("vyy"), (-F.col("b") / det).alias("vxy")))
+
+
+@query(f"""SELECT vec_id, round(sqrt(greatest((vyy * dx * dx - 2 * vxy * dx * dy + vxx * dy * dy) / (vxx * vyy - vxy * vxy), 0)), 6) AS distance
+    FROM (SELECT e.vec_id, e.embedding[1]::DOUBLE - mx AS dx, e.embedding[2]::DOUBLE - my AS dy, m.* FROM embeddings e JOIN ({MOMENTS_SQL}) m ON e.label = m.label)""")
+def mahalanobis_2d(spark: SparkSession, d: str) -> DataFrame:
+    rows = two_features(spark, d)
+    ridge, zero = F.lit(vectors.REGULARISATION), F.lit(0.0)
+    m = rows.groupBy("label").agg(
+        F.avg("x").alias("mx"), F.avg("y").alias("my"), (F.coalesce(F.var_samp("x"), zero) + ridge).alias("vxx"), (F.coalesce(F.var_samp("y"), zero) + ridge).alias("vyy"), F.coalesce(F.covar_samp("x", "y"), zero).alias("vxy")
+    )
+    c = F.col
+    return rows.join(m, "label").select("vec_id", F.round(vectors.mahalanobis_2d(c("x"), c("y"), c("mx"), c("my"), c("vxx"), c("vyy"), c("vxy")), 6).alias("distance"))
+
+
+@query(f"""SELECT vec_id, round(sqrt(greatest((vyy * dx * dx - 2 * vxy * dx * dy + vxx * dy * dy) / (vxx * vyy - vxy * vxy), 0)), 6) AS distance
+    FROM (SELECT e.vec_id, e.embedding[1]::DOUBLE - mx AS dx, e.embedding[2]::DOUBLE - my AS dy, m.* FROM embeddings e JOIN ({MOMENTS_SQL}) m ON e.label = m.label)""")
+def gaussian_distance(spark: SparkSession, d: str) -> DataFrame:
+    """The general kernel, on two features so that SQL can follow."""
+    some = table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("label").cast("int").alias("patch_idx"), vectors.select_features(F.col("embedding"), [0, 1]).alias("embedding"))
+    return vectors.mahalanobis(some, vectors.fit_gaussians(some)).select(F.col("image_id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings WHERE label = 0),
+    dist AS (SELECT a.n AS a, b.n AS b, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS g FROM p a CROSS JOIN p b),
+    pick(k, chosen) AS (SELECT 0, [1::BIGINT] UNION ALL SELECT k + 1, list_append(chosen, (
+        SELECT a FROM (SELECT a, min(g) AS gap FROM dist WHERE list_contains(chosen, b) GROUP BY a) ORDER BY gap DESC, a LIMIT 1)) FROM pick WHERE k < 4)
+    SELECT (i - 1)::INT AS ordinal, p.vec_id FROM (SELECT unnest(chosen) AS n, unnest(range(1, 6)) AS i FROM pick WHERE k = 4) c JOIN p ON p.n = c.n""")
+def coreset_k5(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.fit_bank(table(spark, d, "embeddings").where("label = 0"), "vec_id", 5, first=0).select("ordinal", "vec_id")
+
+
+@query()
+def embedding_heatmap(spark: SparkSession, d: str) -> DataFrame:
+    """Grids of ten patches, resized: an image kernel, checked by tests."""
+    from plumbline.plans.models import heatmaps
+
+    rows = near_bank(spark, d).select(F.floor(F.col("vec_id") / 10).alias("image_id"), (F.col("vec_id") % 10).cast("int").alias("patch_idx"), F.col("min_distance").alias("distance"))
+    whole = rows.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).where("n = 10").select("image_id")
+    return heatmaps(rows.join(whole, "image_id"), (2, 5), 4, 10)
+
+
+@query("SELECT vec_id, floor((v - a) / CASE WHEN b > a THEN b - a ELSE 1 END * 255)::INT AS level FROM (SELECT vec_id, embedding[1]::DOUBLE AS v, min(embedding[1]::DOUBLE) OVER (PARTITION BY label) AS a, max(embedding[1]::DOUBLE) OVER (PARTITION BY label) AS b FROM embeddings)")
+def heatmap_levels(spark: SparkSession, d: str) -> DataFrame:
+    rows = two_features(spark, d)
+    reach = rows.groupBy("label").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    span = F.when(F.col("b") > F.col("a"), F.col("b") - F.col("a")).otherwise(F.lit(1.0))
+    return rows.join(reach, "label").select("vec_id", F.floor((F.col("x") - F.col("a")) / span * 255).cast("int").alias("level"))
+
+
+# --- signals ----------------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT signal_id, i, round(v - (sum(p) / w), 4) AS detrended FROM (SELECT a.signal_id, a.i, a.v, a.w,
+    b.v AS p FROM (SELECT *, greatest(3, (n // 4) | 1) AS w FROM (SELECT *, count(*) OVER (PARTITION BY signal_id) AS n FROM ({HOURLY_SQL}))) a
+    CROSS JOIN LATERAL (SELECT unnest(range(-(a.w // 2), a.w // 2 + 1)) AS o) x
+    JOIN ({HOURLY_SQL}) b ON b.signal_id = a.signal_id AND b.i = greatest(0, least(a.n - 1, a.i + o))) GROUP BY signal_id, i, v, w""")
+def moving_average_detrend(spark: SparkSession, d: str) -> DataFrame:
+    return signal.detrended(hourly(spark, d)).select("signal_id", "i", F.round("detrended", 4).alias("detrended"))
+
+
+@query(f"SELECT signal_id, i, round(v * (0.5 - 0.5 * cos(2 * pi() * i / (n - 1))), 6) AS tapered FROM (SELECT *, count(*) OVER (PARTITION BY signal_id) AS n FROM ({HOURLY_SQL}))")
+def hann_window(spark: SparkSession, d: str) -> DataFrame:
+    rows = hourly(spark, d).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("signal_id")))
+    return rows.select("signal_id", "i", F.round(F.col("v") * signal.hann(F.col("i"), F.col("n")), 6).alias("tapered"))
+
+
+DFT_SQL = f"""SELECT signal_id, k, sqrt(sum(v * cos(2 * pi() * ((k * i) % n) / n)) ** 2 + sum(v * sin(2 * pi() * ((k * i) % n) / n)) ** 2) AS magnitude, n FROM (
+    SELECT *, count(*) OVER (PARTITION BY signal_id) AS n FROM ({HOURLY_SQL})) s CROSS JOIN LATERAL (SELECT unnest(range(0, n // 2 + 1)) AS k) GROUP BY signal_id, k, n"""
+
+
+@query(f"SELECT signal_id, k, round(magnitude, 4) AS magnitude FROM ({DFT_SQL})")
+def dft_magnitude(spark: SparkSession, d: str) -> DataFrame:
+    return signal.spectrum(hourly(spark, d)).select("signal_id", "k", F.round("magnitude", 4).alias("magnitude"))
+
+
+@query(f"SELECT signal_id, k, round(magnitude, 4) AS magnitude FROM ({DFT_SQL})")
+def dft_by_join(spark: SparkSession, d: str) -> DataFrame:
+    return signal.spectrum_by_join(hourly(spark, d)).select("signal_id", "k", F.round("magnitude", 4).alias("magnitude"))
+
+
+@query(f"""SELECT signal_id, round(n / arg_min(k, (-magnitude, k)), 6) AS pitch_px, round(greatest(least((max(magnitude) / avg(magnitude) - 1) / 5, 1), 0), 4) AS confidence
+    FROM ({DFT_SQL}) WHERE k >= 2 GROUP BY signal_id, n""")
+def dominant_frequency(spark: SparkSession, d: str) -> DataFrame:
+    rows = hourly(spark, d)
+    sizes = rows.groupBy("signal_id").agg(F.count(F.lit(1)).alias("n"))
+    return signal.dominant_frequency(signal.spectrum(rows), sizes).select("signal_id", F.round("pitch_px", 6).alias("pitch_px"), F.round("confidence", 4).alias("confidence"))
+
+
+PEAKS_SQL = f"""SELECT signal_id, (a + b) // 2 AS peak FROM (SELECT *, lag(v) OVER w AS before, lead(v) OVER w AS after FROM (
+    SELECT signal_id, run, min(i) AS a, max(i) AS b, min(v) AS v FROM (SELECT *, sum(new) OVER (PARTITION BY signal_id ORDER BY i) AS run FROM (
+        SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY signal_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM ({HOURLY_SQL}))) GROUP BY signal_id, run)
+    WINDOW w AS (PARTITION BY signal_id ORDER BY run)) WHERE v > before AND v > after"""
+
+
+@query(f"""SELECT signal_id, n_peaks, CASE WHEN n_peaks >= 3 THEN median END AS pitch_px, round(mean_spacing, 6) AS mean_spacing, round(std_spacing, 6) AS std_spacing,
+    round(CASE WHEN n_peaks < 3 THEN 0 ELSE greatest(least(1 - std_spacing / mean_spacing, 1), 0) * CASE WHEN n_peaks < 5 THEN 0.7 ELSE 1 END END, 6) AS confidence FROM (
+    SELECT signal_id, count(*) AS n_peaks, quantile_cont(s, 0.5) AS median, avg(s) AS mean_spacing, stddev_pop(s) AS std_spacing FROM (
+        SELECT signal_id, peak, (peak - lag(peak) OVER (PARTITION BY signal_id ORDER BY peak))::DOUBLE AS s FROM ({PEAKS_SQL})) GROUP BY signal_id)""")
+def local_maxima_spacing(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(signal.spacing_stats(signal.local_maxima(hourly(spark, d))))
+
+
+REGION_SQL = f"""SELECT signal_id, CASE WHEN short THEN a ELSE s END AS row_start, CASE WHEN short THEN b ELSE e END AS row_end FROM (
+    SELECT *, e - s < greatest(10, trunc(0.2 * (b - a))) AS short FROM (
+    SELECT *, CASE WHEN h <= (a + b) / 2 THEN least(a + m, b - 1) ELSE a END AS s, CASE WHEN h <= (a + b) / 2 THEN b ELSE greatest(b - m, a + 1) END AS e FROM (
+    SELECT *, round_even((b - a) * 0.22::DOUBLE, 0)::INT AS m FROM (
+    SELECT signal_id, min(i) AS a, max(i) + 1 AS b, arg_min(i, (-v, i)) AS h FROM ({HOURLY_SQL}) WHERE v > 0 GROUP BY signal_id))))"""
+
+
+@query(REGION_SQL)
+def thread_region(spark: SparkSession, d: str) -> DataFrame:
+    return signal.thread_region(hourly(spark, d))
+
+
+@query(f"SELECT s.signal_id, max(v) AS major_diameter_px FROM ({HOURLY_SQL}) s JOIN ({REGION_SQL}) r ON s.signal_id = r.signal_id AND i >= row_start AND i < row_end GROUP BY 1")
+def major_diameter(spark: SparkSession, d: str) -> DataFrame:
+    rows = hourly(spark, d)
+    return signal.major_diameter(signal.in_region(rows, signal.thread_region(rows)))
+
+
+@query("""SELECT l_suppkey AS image_id, y, count(*) FILTER (WHERE q = y)::DOUBLE AS width FROM (SELECT l_suppkey, l_quantity::INT AS q FROM lineitem WHERE l_tax > 0.02 UNION ALL SELECT DISTINCT l_suppkey, -1 FROM lineitem)
+    CROSS JOIN (SELECT unnest(range(0, 60)) AS y) GROUP BY 1, 2""")
+def width_profile(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    pixels = li.select(F.col("l_suppkey").alias("image_id"), F.col("l_quantity").cast("int").alias("y"), (F.col("l_tax") > 0.02).cast("int").alias("mask"))
+    return signal.width_profile(pixels, li.select(F.col("l_suppkey").alias("image_id"), F.lit(60).alias("height")).distinct())
+
+
+@query("""WITH m AS (SELECT avg(x) AS cx, avg(y) AS cy, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS a FROM (SELECT l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem))
+    SELECT round(cx, 4) AS cx, round(cy, 4) AS cy, round(degrees(a), 4) AS angle_deg, round(max(p) - min(p), 4) AS length FROM (
+        SELECT m.*, (l_quantity - cx) * cos(a) + (l_extendedprice / 1000 - cy) * sin(a) AS p FROM lineitem CROSS JOIN m) GROUP BY cx, cy, a""")
+def pca_axis(spark: SparkSession, d: str) -> DataFrame:
+    points = table(spark, d, "lineitem").select(F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    return rounded(signal.principal_axis(points), 4)
+
+
+@query()
+def peak_pitch(spark: SparkSession, d: str) -> DataFrame:
+    """Peaks with distance and prominence are chosen in sequence; checked by tests."""
+    return signal.estimate_pitch(hourly(spark, d), "peak")
+
+
+@query()
+def fft_pitch(spark: SparkSession, d: str) -> DataFrame:
+    return signal.estimate_pitch(hourly(spark, d), "fft")
+
+
+# --- manifest ------------------------------------------------------------------------------------------------
+
+
+def as_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as samples: language is the category, source the split, every fifth one defective, with a mask."""
+    bad = F.col("doc_id") % 5 == 0
+    path = F.concat(F.lit("img/"), F.col("doc_id").cast("string"))
+    return table(spark, d, "documents").select(
+        path.alias("filepath"), F.when(F.col("doc_id") % 3 == 0, "test").otherwise("train").alias("split"), F.struct(F.col("lang").alias("label")).alias("category"),
+        F.struct(F.when(bad, "scratch").otherwise("good").alias("label")).alias("defect"), F.when(bad, F.struct(F.concat(F.lit("mask/"), (F.col("doc_id") / 10).cast("long").cast("string")).alias("mask_path"))).alias("defect_mask"),
+    )
+
+
+MANIFEST_SQL = """SELECT 'img/' || doc_id AS image_path, CASE WHEN doc_id % 3 = 0 THEN 'test' ELSE 'train' END AS split, CASE WHEN doc_id % 5 = 0 THEN 'scratch' ELSE 'good' END AS defect_label,
+    CASE WHEN doc_id % 5 = 0 THEN 'mask/' || (doc_id // 10) END AS mask_path, doc_id % 5 = 0 AS is_defective FROM documents WHERE lang = 'en'"""
+
+
+@query(MANIFEST_SQL)
+def manifest_filter(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.samples(as_manifest(spark, d), "en")
+
+
+@query(f"SELECT image_path, is_defective::INT AS label FROM ({MANIFEST_SQL}) WHERE split = 'test'")
+def test_split(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.image_label(manifest.test_samples(manifest.samples(as_manifest(spark, d), "en"))).select("image_path", "label")
+
+
+@query(f"SELECT image_path FROM ({MANIFEST_SQL}) WHERE split = 'train' AND NOT is_defective")
+def train_normal_split(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.train_normal(manifest.samples(as_manifest(spark, d), "en")).select("image_path")
+
+
+@query(f"SELECT image_path AS path FROM ({MANIFEST_SQL}) UNION SELECT mask_path FROM ({MANIFEST_SQL}) WHERE mask_path IS NOT NULL")
+def path_union_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.needed_files(manifest.samples(as_manifest(spark, d), "en"))
+
+
+@query(f"SELECT split, count(*) AS n FROM ({MANIFEST_SQL}) GROUP BY split")
+def split_counts(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.split_counts(manifest.samples(as_manifest(spark, d), "en"))
+
+
+@query(f"SELECT image_path FROM ({MANIFEST_SQL}) ORDER BY image_path LIMIT 20")
+def first_images(spark: SparkSession, d: str) -> DataFrame:
+    """The feature is the limit: the first n images by path."""
+    return manifest.samples(as_manifest(spark, d), "en").select("image_path").orderBy("image_path").limit(20)
+
+
+@query("SELECT page_id, base64(encode(url)) AS payload FROM pages")
+def base64_payload(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.base64(F.encode("url", "UTF-8")).alias("payload"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS at FROM events")
+def log_timestamp(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", S.utc_iso(F.col("ts")).alias("at"))
+
+
+# --- images ----------------------------------------------------------------------------------------------------
+
+
+@query()
+def synthetic_measurement(spark: SparkSession, d: str) -> DataFrame:
+    """Drawn threads, measured from their pixels and compared with the truth; checked by tests."""
+    from plumbline.plans.measurement import validation_records
+
+    return validation_records(spark, ["M3", "M6", "M10"], list(ev.CONDITIONS))
