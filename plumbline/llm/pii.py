@@ -4,9 +4,9 @@ The field labels words by the features of their shapes and of their neighbours'
 on the small labelled table below by gradient ascent on the penalised likelihood, and decoded by
 Viterbi in numpy batches of equal length.
 
-A word with neither a digit, an @ or a spelled-out at, nor a cue counts as plain, and the field gives
-it the outside state only.  So plain words split a line into parts, and each part, with its plain
-neighbours, is decoded alone with the same result as in the whole line.
+A word with neither a digit, an @ nor a spelled-out at is plain or a cue, and the field gives it the outside
+state only.  So such words split a line into parts, and each part, with its two neighbours, is decoded
+alone with the same result as in the whole line.
 """
 
 from __future__ import annotations
@@ -161,13 +161,15 @@ _TRIM = " .,;:!?\"'%$#&*<>|"
 _ASCII_CLASS = str.maketrans({**{c: "9" for c in "0123456789"}, **{chr(c): "a" for c in range(97, 123)}, **{chr(c): "A" for c in range(65, 91)}})
 _RUNS = re.compile(r"a+|A+")
 _DIGIT_RUNS = re.compile(r"9{6,}")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _CUE = re.compile(r"(?i:%s)[.,;:!?]*" % "|".join(sorted(CUES)))
-_ODD_WORD = re.compile(
-    r"[^\x20\x09-\x0D]*(?:[0-9@]|[(\[]at[)\]])[^\x20\x09-\x0D]*|(?<![^\x20\x09-\x0D])%s(?![^\x20\x09-\x0D])" % _CUE.pattern
-)
+#: What a word needs to be decoded at all.
+_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
+_SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
+#: Longer words have just the features of a long word.
+LONG_WORD = 64
 _GAP = frozenset(" \t\x0b\x0c\r")
-PLAIN, EDGE = "word=plain", "edge"
+PLAIN, CUE, EDGE = "word=plain", "word=cue", "edge"
 
 
 def core(word: str) -> tuple[int, int]:
@@ -177,17 +179,19 @@ def core(word: str) -> tuple[int, int]:
     return (a, b) if a < b else (0, len(word))
 
 
-@lru_cache(maxsize=50_000)
 def features(word: str) -> tuple[str, ...]:
     """A word's own features; plain words have just one."""
+    if len(word) > LONG_WORD:
+        return ("long", "digits=many") if _TRIGGER.search(word) else (PLAIN,)
+    return _features(word)
+
+
+@lru_cache(maxsize=50_000)
+def _features(word: str) -> tuple[str, ...]:
     a, b = core(word)
     w = word[a:b]
-    if _CUE.fullmatch(word):
-        return ("cue=" + w.lower(), "cue")
-    if not _ODD_WORD.fullmatch(word):
-        return (PLAIN,)
-    if len(w) > 64:
-        return ("long", "digits=many")
+    if not _TRIGGER.search(word):
+        return (CUE, "cue=" + w.lower()) if _CUE.fullmatch(word) else (PLAIN,)
     shape = _DIGIT_RUNS.sub("9999999", _RUNS.sub(lambda m: m[0][0], w.translate(_ASCII_CLASS)))
     digits = sum(c.isascii() and c.isdigit() for c in w)
     out = ["shape=" + shape, f"digits={min(digits, 17)}", "signs=" + "".join(sorted({c for c in shape if not c.isalnum()}))]
@@ -202,7 +206,7 @@ def features(word: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-#: What a plain word's states get besides: minus infinity in effect, but for the outside state.
+#: What the states of a plain word or a cue get besides: minus infinity in effect, but for the outside state.
 ONLY_OUTSIDE = np.array([0.0] + [-1e9] * (len(STATES) - 1))
 
 
@@ -215,7 +219,7 @@ class Field:
     def _emit(self, side: int, own: tuple[str, ...]) -> np.ndarray:
         rows = [self.index[side, f] for f in own if (side, f) in self.index]
         out = self.weights[rows].sum(axis=0) if rows else np.zeros(len(STATES))
-        if side == 0 and own == (PLAIN,):
+        if side == 0 and own[0] in (PLAIN, CUE):
             out = out + ONLY_OUTSIDE
         return out
 
@@ -267,7 +271,7 @@ def train(lines: list[str] = LABELLED, steps: int = 200, rate: float = 0.15, pen
         real[i, : len(states)] = True
         for j, rows in enumerate(at):
             used[i, j, rows] = 1
-    plain = used[:, :, index[0, PLAIN], None] * ONLY_OUTSIDE
+    plain = (used[:, :, index[0, PLAIN]] + used[:, :, index[0, CUE]])[:, :, None] * ONLY_OUTSIDE
     hot = np.eye(k)[gold] * real[:, :, None]
     block = allowed_moves()
     start = np.where(np.char.startswith(np.array(STATES), "I"), -1e9, 0.0)
@@ -331,29 +335,40 @@ def viterbi(field: Field, sequences: list[list[str]]) -> list[list[int]]:
     return out
 
 
+def word_around(text: str, at: int, low: int = 0) -> tuple[int, int]:
+    """Start and end of the word that has the character at `at`; the text before `low` isn't looked at."""
+    start = max(max(text.rfind(c, low, at) for c in _SPACES) + 1, low)
+    end = _SPACE.search(text, at)
+    return start, end.start() if end else len(text)
+
+
 def sequences_of(text: str) -> list[list[tuple[str, int]]]:
-    """The runs of words that aren't plain, each inside a line, with the words' offsets."""
+    """The runs of words with a trigger, each inside a line, with the words' offsets; in time linear in the text."""
     out: list[list[tuple[str, int]]] = []
-    end = -1
-    for m in _ODD_WORD.finditer(text):
-        gap = text[end : m.start()] if 0 <= end and m.start() - end <= MAX_GAP else "-"
+    end = 0
+    while found := _TRIGGER.search(text, end):
+        start, stop = word_around(text, found.start(), end)
+        gap = text[end:start] if out and start - end <= MAX_GAP else "-"
         if gap.strip(" \t\x0b\x0c") or "\n" in gap:
             out.append([])
-        out[-1].append((m[0], m.start()))
-        end = m.end()
+        out[-1].append((text[start:stop], start))
+        end = stop
     return out
 
 
 def with_context(text: str, words: list[tuple[str, int]]) -> tuple[list[str], int]:
-    """A part with its neighbours in the line (plain words, or none at the line's ends)."""
+    """A part with its neighbours in the line (none at the line's ends), and how many stand before it."""
     before, (last, at) = words[0][1] - 1, words[-1]
     after = at + len(last)
     while before >= 0 and text[before] in _GAP:
         before -= 1
     while after < len(text) and text[after] in _GAP:
         after += 1
-    left = ["x"] if before >= 0 and text[before] != "\n" else []
-    right = ["x"] if after < len(text) and text[after] != "\n" else []
+    left, right = [], []
+    if before >= 0 and text[before] != "\n":
+        left = [text[word_around(text, before)[0] : before + 1]]
+    if after < len(text) and text[after] != "\n":
+        right = [text[after : word_around(text, after, after)[1]]]
     return left + [w for w, _ in words] + right, len(left)
 
 

@@ -29,8 +29,8 @@ _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MIN_CHAR
 DIGEST_CHARS = {32, 40, 56, 64, 96, 128}
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-#: A part of an identifier: words in lower, upper or camel case, then a short number; or a number.
-_PART = re.compile(r"([A-Z]{0,4}[a-z]{2,}|[A-Z][a-z]*)*[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[a-z]+[0-9]{0,4}|[0-9]+")
+#: A part of an identifier: words of two small letters or more, each after five capitals at most, then a short number; or all capitals, or a number.
+_PART = re.compile(r"(?:[A-Z]{0,5}+[a-z]{2,}+)++[A-Z]{0,4}+[0-9]{0,4}+|[A-Z]++[0-9]{0,4}+|[A-Za-z]?[0-9]*+|[a-z][A-Z][a-z]++[0-9]{0,4}+")
 _SPLIT = re.compile(r"[+/_=-]+")
 
 
