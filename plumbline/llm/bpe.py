@@ -30,7 +30,9 @@ VOCABULARY = "byte_bpe_50k.json"
 #: The published pattern that cuts a text into pieces before merging (a fixed value).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces, and chunks between single spaces, that a Python worker remembers, twice over.
-REMEMBERED_PIECES, REMEMBERED_CHUNKS = 450_000, 150_000
+REMEMBERED_PIECES, REMEMBERED_CHUNKS = 250_000, 100_000
+#: Compatible pairs of tokens that are remembered.
+REMEMBERED_PAIRS = 300_000
 LONGEST_REMEMBERED = 48
 #: Where this finds nothing, every space stands alone between two visible characters or at an end of
 #: the text, and so starts a piece: the text may be cut there.
@@ -101,7 +103,7 @@ class Vocabulary:
                 if n is not None and n < limit and n < a_ends and n <= b_ends:
                     good = False
         if limit == FOREVER:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > REMEMBERED_PAIRS:
                 self._fits.clear()
             self._fits[key] = good
         return good

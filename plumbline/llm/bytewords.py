@@ -121,3 +121,14 @@ def slices(texts: list[str | None], limit: int = SLICE_BYTES) -> Iterator[tuple[
         size += n
     if start < len(texts):
         yield start, len(texts)
+
+
+def in_slices(column, limit: int = SLICE_BYTES, rows: int = 512) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts of an Arrow column in slices of about `limit` characters, each with its first row's number.
+
+    Only some rows at a time become Python strings, so that a batch of many long texts isn't held twice.
+    """
+    for a in range(0, len(column), rows):
+        texts = column.slice(a, rows).to_pylist()
+        for x, y in slices(texts, limit):
+            yield a + x, texts[x:y]

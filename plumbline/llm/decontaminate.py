@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.session import ship
-from plumbline.llm.bytewords import Batch, shingles, slices
+from plumbline.llm.bytewords import Batch, in_slices, shingles
 from plumbline.llm.texts import free_name, kernel_column
 
 SEED_WORDS = 3
@@ -176,9 +176,8 @@ def _document_counts(docs: DataFrame, text: str, block: Block) -> np.ndarray:
     def count(batches):
         total = np.zeros(len(held.value), dtype=np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts):
-                owner, _, gram, _, _ = gram_places(texts[a:b], held.value)
+            for _, texts in in_slices(batch.column(0)):
+                owner, _, gram, _, _ = gram_places(texts, held.value)
                 total += np.bincount(np.unique(np.stack((owner, gram)), axis=1)[1], minlength=len(total)) if len(owner) else 0
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.session import cut, ship
-from plumbline.llm.bytewords import Batch, slices
+from plumbline.llm.bytewords import Batch, in_slices
 
 ORDER = 4
 CHUNK_BYTES = 48_000_000
@@ -124,9 +124,9 @@ def _key_rows(counts: dict[int, _Counts]) -> pa.RecordBatch:
 def _count_partition(batches):
     counts = {WORD: _Counts(), GRAM: _Counts()}
     for batch in batches:
-        texts, train = batch["text"].to_pylist(), np.array(batch["train"].to_pylist(), dtype=bool)
-        for a, b in slices(texts):
-            _count_slice(counts[WORD], counts[GRAM], texts[a:b], train[a:b])
+        train = np.array(batch["train"].to_pylist(), dtype=bool)
+        for a, texts in in_slices(batch["text"]):
+            _count_slice(counts[WORD], counts[GRAM], texts, train[a : a + len(texts)])
             if sum(c.held for c in counts.values()) > HELD_KEYS:
                 for c in counts.values():
                     c.merge()
@@ -140,9 +140,8 @@ def _chunk_keys(key: tuple, group: pa.Table) -> pa.Table:
     """The keys that a chunk contains."""
     counts = {WORD: _Counts(), GRAM: _Counts()}
     for batch in group.select(["text"]).to_batches():
-        texts = batch["text"].to_pylist()
-        for a, b in slices(texts):
-            _count_slice(counts[WORD], counts[GRAM], texts[a:b], np.ones(b - a, dtype=bool))
+        for _, texts in in_slices(batch["text"]):
+            _count_slice(counts[WORD], counts[GRAM], texts, np.ones(len(texts), dtype=bool))
     rows = _key_rows(counts)
     return pa.table({"chunk": pa.array(np.full(rows.num_rows, key[0].as_py(), dtype=np.int64)), "kind": rows["kind"], "key": rows["key"]})
 
@@ -199,19 +198,16 @@ def _score_chunk(key: tuple, docs: pa.Table, model: pa.Table) -> pa.Table:
     out: dict[str, list] = {c: [] for c in ("n_tokens", "n_known", "base_score", "score")}
     end = words.find(np.array([END_KEY], dtype=np.uint64))[0]
     for batch in docs.select(["text"]).to_batches():
-        texts = batch["text"].to_pylist()
-        for a, b in slices(texts):
-            h, first = word_keys(texts[a:b])
+        for _, texts in in_slices(batch["text"]):
+            h, first = word_keys(texts)
             at = words.find(h)
             known = np.concatenate(([0], np.cumsum(word_n[at] > 0)))
-            base = np.concatenate(([0.0], np.cumsum(word_p[at])))
-            for i in range(b - a):
+            for i in range(len(texts)):
                 x, y = first[i], first[i + 1]
                 out["base_score"].append(math.fsum(word_p[at[x:y]]) + word_p[end])
             out["n_tokens"] += (np.diff(first) + 1).tolist()
             out["n_known"] += (known[first[1:]] - known[first[:-1]] + (word_n[end] > 0)).tolist()
-            del base
-            code, first = gram_codes(texts[a:b])
+            code, first = gram_codes(texts)
             out["score"] += np.add.reduceat(gram_p[grams.find(code)], first[:-1]).tolist()
     return pa.table(
         {

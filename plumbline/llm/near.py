@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.session import cut, ship
-from plumbline.llm.bytewords import Batch, mix, shingles, slices
+from plumbline.llm.bytewords import Batch, in_slices, mix, shingles
 from plumbline.llm.components import components
 from plumbline.llm.texts import free_name
 
@@ -85,13 +85,12 @@ def class_ids(runs: np.ndarray, offset: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch["text"].to_pylist()
-        for a, b in slices(texts):
-            runs, offset = shingle_sets(texts[a:b])
+        for a, texts in in_slices(batch["text"]):
+            runs, offset = shingle_sets(texts)
             ids, n = class_ids(runs, offset), np.diff(offset)
             sigs = signatures(runs, offset)
             yield pa.RecordBatch.from_arrays(
-                [batch["row"].slice(a, b - a), batch["doc_id"].slice(a, b - a), pa.array(ids, mask=n == 0), pa.array(n.astype(np.int64)), pa.array([s.tobytes() for s in sigs], pa.binary())],
+                [batch["row"].slice(a, len(texts)), batch["doc_id"].slice(a, len(texts)), pa.array(ids, mask=n == 0), pa.array(n.astype(np.int64)), pa.array([s.tobytes() for s in sigs], pa.binary())],
                 ["row", "doc_id", "v", "n", "signature"],
             )
 
@@ -164,12 +163,11 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch["text"].to_pylist()
-        for a, b in slices(texts):
-            runs, offset = shingle_sets(texts[a:b])
+        for a, texts in in_slices(batch["text"]):
+            runs, offset = shingle_sets(texts)
             held = [runs[x:y].tobytes() for x, y in zip(offset[:-1], offset[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch[c].slice(a, b - a) for c in ("cluster", "blocks", "v")] + [pa.array(held, pa.binary())], ["cluster", "blocks", "v", "shingles"]
+                [batch[c].slice(a, len(texts)) for c in ("cluster", "blocks", "v")] + [pa.array(held, pa.binary())], ["cluster", "blocks", "v", "shingles"]
             )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.session import ship, table
-from plumbline.llm.bytewords import slices
+from plumbline.llm.bytewords import in_slices
 
 __all__ = ["free_name", "kernel_column", "read_public_file", "table", "with_kernel"]
 
@@ -57,20 +57,34 @@ def kernel_column(
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kernel = make(held.value)
         for batch in batches:
-            texts = batch.to_pylist()
             parts = []
-            for a, b in slices(texts, slice_chars):
-                columns = kernel(texts[a:b])
+            for _, texts in in_slices(batch, slice_chars):
+                columns = kernel(texts)
                 parts.append(pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names))
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(zip(names, kinds, strict=True))))
 
     return run(text)
 
 
-def with_kernel(docs: DataFrame, keep: list[str], text: str, schema: T.StructType, make: Callable, payload: object = None) -> DataFrame:
-    """The columns `keep` of docs, then the kernel's fields; other columns of docs are not read."""
-    made = kernel_column(docs.sparkSession, docs[text], schema, make, payload)
-    name = "kernel_"
-    while name in keep:
-        name += "_"
-    return docs.select(*[docs[c] for c in keep], made.alias(name)).select(*keep, f"{name}.*")
+def with_kernel(docs: DataFrame, keep: list[str], text: str, schema: T.StructType, make: Callable, payload: object = None, slice_chars: int = 1 << 20) -> DataFrame:
+    """The columns `keep` of docs, then the kernel's fields; other columns of docs are not read.
+
+    Rows leave the kernel slice by slice, so a task holds no more than a slice of its results.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    held = spark.sparkContext.broadcast(payload)
+    kept = docs.select(*[docs[c] for c in keep], docs[text].alias(free_name(docs, "text_")))
+    names = [f.name for f in schema.fields]
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = make(held.value)
+        for batch in batches:
+            for start, texts in in_slices(batch.column(len(keep)), slice_chars):
+                own = [batch.column(i).slice(start, len(texts)) for i in range(len(keep))]
+                made = [pa.array(c, k) for c, k in zip(kernel(texts), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(own + made, keep + names)
+
+    out = T.StructType([f for f in kept.schema.fields[: len(keep)]] + list(schema.fields))
+    return kept.mapInArrow(run, out)
