@@ -28,7 +28,7 @@ from plumbline.session import cut, ship
 from plumbline.llm.bytewords import Batch, in_slices
 
 ORDER = 4
-CHUNK_BYTES = 48_000_000
+CHUNK_BYTES = 24_000_000
 #: Bytes that no UTF-8 text contains: before a text, and its end.
 START, END = 0xFE, 0xFF
 #: Symbols that can follow a context: all bytes but START.
@@ -37,7 +37,7 @@ WORD, GRAM = 0, 1
 #: The key of the end token among the words.
 END_KEY = 0
 #: Distinct keys that a task gathers before it passes them on.
-HELD_KEYS = 4_000_000
+HELD_KEYS = 2_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
