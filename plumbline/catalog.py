@@ -559,3 +559,12 @@ def synthetic_measurement(spark: SparkSession, d: str) -> DataFrame:
     from plumbline.plans.measurement import validation_records
 
     return validation_records(spark, ["M3", "M6", "M10"], list(ev.CONDITIONS))
+
+
+@query()
+def lens_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """A known camera, recovered from board corners in seeded views; checked by tests."""
+    from plumbline.operators import lens
+
+    corners = [lens.board_views(spark, (600.0 + 40 * k, 610.0, 320.0, 240.0, -0.1, 0.02), seed=k, camera_id=f"camera{k}") for k in range(3)]
+    return lens.calibrate(corners[0].union(corners[1]).union(corners[2]))
