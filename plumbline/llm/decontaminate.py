@@ -1,14 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds find where a test item may stand, and Smith-Waterman scores it.
+"""Benchmark decontamination: n-gram seeds find where a test item may stand, and Smith-Waterman scores it.
 
-Items and documents are read as words in lower case, without punctuation.  (1) For each item's n-grams, the documents
-that contain them are counted over the whole corpus.  An item's seeds are the rarer half of its own n-grams, so an
-item that has leaked a thousand times keeps as many seeds as any other.  (2) Where a document has a seed,
+Items and documents are read as words in lower case, without punctuation.  (1) Each of an item's n-grams is a
+seed, however often it is found, so a copy needs one of them only.  (2) Where a document has a seed,
 the words around it are aligned with the item's; the score is the best local alignment's over the item's length, so
 edited copies score less than 1 but far more than chance.  Before that, a window that cannot reach the
 threshold is left out: a score is never more than the share of the item's words that the window has.
 
 The benchmark is handled in blocks of bounded size, each of which is broadcast; all documents meet every
-block.  Only counts for the block's n-grams come back to the driver.
+block.  Nothing comes back to the driver.
 """
 
 from __future__ import annotations
@@ -18,13 +17,12 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.session import ship
-from plumbline.llm.bytewords import Batch, in_slices, shingles
+from plumbline.llm.bytewords import Batch, shingles
 from plumbline.llm.texts import free_name, kernel_column
 
 SEED_WORDS = 3
@@ -34,6 +32,8 @@ THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Characters of benchmark text in a block.
 BLOCK_CHARS = 4_000_000
+#: Seeds met, and words of items looked up, in one numpy pass.
+PASS_HITS, PASS_WORDS = 1_000_000, 1_000_000
 
 _PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~]")
 
@@ -45,12 +45,12 @@ def normal(text: str | None) -> str:
 
 @dataclass
 class Block:
-    """Items as word hashes, and their seeds: sorted hashes, each with the places (item, word) where it stands."""
+    """Items as word hashes, and their seeds: sorted hashes, and the places (hash's number, item, word) where they stand, sorted."""
 
     ids: list[int]
     words: list[np.ndarray]
     grams: np.ndarray
-    places: list[list[tuple[int, int]]]
+    places: np.ndarray
 
 
 def read_block(rows: list[tuple[int, str | None]]) -> Block:
@@ -58,30 +58,20 @@ def read_block(rows: list[tuple[int, str | None]]) -> Block:
     batch = Batch([normal(t) for _, t in rows])
     begin, end, first = batch.words()
     hashes = batch.word_hashes(begin, end)
-    ids, words, places = [], [], {}
+    ids, words, runs = [], [], []
     for k, (item, _) in enumerate(rows):
         own = hashes[first[k] : first[k + 1]]
         if len(own) < MIN_ITEM_WORDS:
             continue
-        grams, _ = shingles(own, np.array([0, len(own)]), SEED_WORDS)
-        for at, g in enumerate(grams.tolist()):
-            places.setdefault(g, []).append((len(ids), at))
+        runs.append(shingles(own, np.array([0, len(own)]), SEED_WORDS)[0])
         ids.append(item)
         words.append(own)
-    grams = np.array(sorted(places), dtype=np.uint64)
-    return Block(ids, words, grams, [places[g] for g in grams.tolist()])
-
-
-def rare_half(block: Block, found: np.ndarray) -> Block:
-    """The block with just each item's seeds: its n-grams found in no more documents than its median one."""
-    own: list[list[int]] = [[] for _ in block.ids]
-    for g, places in enumerate(block.places):
-        for item in {i for i, _ in places}:
-            own[item].append(g)
-    limit = [sorted(found[g] for g in gs)[(len(gs) - 1) // 2] for gs in own]
-    kept = [(g, [(i, at) for i, at in places if found[g] <= limit[i]]) for g, places in enumerate(block.places)]
-    kept = [(g, places) for g, places in kept if places]
-    return Block(block.ids, block.words, block.grams[[g for g, _ in kept]], [p for _, p in kept])
+    if not ids:
+        return Block(ids, words, np.zeros(0, dtype=np.uint64), np.zeros((0, 3), dtype=np.int64))
+    grams, gram = np.unique(np.concatenate(runs), return_inverse=True)
+    item = np.repeat(np.arange(len(ids)), [len(r) for r in runs])
+    at = np.concatenate([np.arange(len(r)) for r in runs])
+    return Block(ids, words, grams, np.stack((gram, item, at), axis=1)[np.lexsort((at, item, gram))])
 
 
 def gram_places(texts: list[str | None], grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -118,37 +108,99 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
+def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges from start to stop, and the range that each is of."""
+    n = stop - start
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(owner)) - (np.cumsum(n) - n)[owner] + start[owner], owner
+
+
+class _Matcher:
+    """Matches with a block's items; what is looked up is laid out once."""
+
+    def __init__(self, block: Block) -> None:
+        self.block = block
+        self.size = np.array([len(w) for w in block.words], dtype=np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.vocabulary, self.word = np.unique(np.concatenate(block.words), return_inverse=True) if block.ids else (np.zeros(0, dtype=np.uint64),) * 2
+        self.keys = block.places[:, 0] * len(block.ids) + block.places[:, 1]
+
+    def __call__(self, texts: list[str | None]) -> list[list[tuple[int, float, int, int, int]]]:
+        """For each text its best match with each item: (item id, score, seeds in it, first word, word after the last)."""
+        text, word, gram, hashes, first = gram_places(texts, self.block.grams)
+        out: list[list[tuple[int, float, int, int, int]]] = [[] for _ in texts]
+        if len(text):
+            at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+            held = np.flatnonzero(self.vocabulary[at] == hashes)
+            stands = np.sort(at[held] * (len(hashes) + 1) + held)
+            self._some(text, word, gram, 0, len(self.block.ids), hashes, first, stands, out)
+        return [sorted(x) for x in out]
+
+    def _some(self, text, word, gram, low, high, hashes, first, stands, out) -> None:
+        """The matches with the items from low to high, in parts of PASS_HITS seeds as far as that can be."""
+        n = len(self.block.ids)
+        start, stop = np.searchsorted(self.keys, gram * n + low), np.searchsorted(self.keys, gram * n + high)
+        if (stop - start).sum() > PASS_HITS and (text[0] < text[-1] or high - low > 1):
+            if text[0] < text[-1]:
+                cut = np.searchsorted(text, (text[0] + text[-1] + 1) // 2)
+                for part in (slice(None, cut), slice(cut, None)):
+                    self._some(text[part], word[part], gram[part], low, high, hashes, first, stands, out)
+            else:
+                for a, b in ((low, (low + high) // 2), ((low + high) // 2, high)):
+                    self._some(text, word, gram, a, b, hashes, first, stands, out)
+            return
+        place, hit = _ranges(start, stop)
+        if not len(place):
+            return
+        text, word = text[hit], word[hit]
+        item, at = self.block.places[place, 1], self.block.places[place, 2]
+        order = np.lexsort((word - at, item, text))
+        text, word, item, at = text[order], word[order], item[order], at[order]
+        slack = self.size[item] // 2
+        a = np.maximum(0, word - at - slack) + first[text]
+        b = np.minimum(first[text + 1], word - at + self.size[item] + slack + first[text])
+        pair = np.ones(len(text), dtype=bool)
+        pair[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
+        new = pair.copy()
+        new[1:] |= a[1:] > b[:-1]
+        window = np.flatnonzero(new)
+        a, b = a[window], b[np.concatenate((window[1:], [len(text)])) - 1]
+        pairs = np.flatnonzero(pair)
+        of = np.searchsorted(pairs, window, side="right") - 1
+        ends = np.concatenate((pairs[1:], [len(text)]))
+        best: dict[int, tuple[float, int, int]] = {}
+        for k in np.flatnonzero(self._share(item[window], a, b, len(hashes) + 1, stands) >= THRESHOLD * self.size[item[window]]).tolist():
+            own, words = self.block.words[item[window[k]]], hashes[a[k] : b[k]]
+            score, end = align(own, words)
+            if score >= THRESHOLD * len(own) and score > best.get(of[k], (0.0,))[0]:
+                back, length = align(own[::-1], words[:end][::-1])
+                begin = int(a[k] - first[text[window[k]]])
+                best[of[k]] = score, begin + end - length, begin + end
+        for p, (score, begin, end) in best.items():
+            hits = slice(pairs[p], ends[p])
+            seeds = len(np.unique(at[hits][(word[hits] >= begin) & (word[hits] < end)]))
+            i = item[pairs[p]]
+            out[text[pairs[p]]].append((self.block.ids[i], score / int(self.size[i]), seeds, begin, end))
+
+    def _share(self, item: np.ndarray, a: np.ndarray, b: np.ndarray, n: int, stands: np.ndarray) -> np.ndarray:
+        """How many of the item's words each window from a to b has; stands: sorted word * n + place of the words of items."""
+        out = np.zeros(len(item), dtype=np.int64)
+        done = np.cumsum(self.size[item])
+        x = 0
+        while x < len(item):
+            y = max(x + 1, int(np.searchsorted(done, (done[x - 1] if x else 0) + PASS_WORDS, side="right")))
+            place, owner = _ranges(self.first[item[x:y]], self.first[item[x:y]] + self.size[item[x:y]])
+            word = self.word[place] * n
+            next_one = np.searchsorted(stands, word + a[x:y][owner])
+            found = (next_one < len(stands)) & (stands[np.minimum(next_one, len(stands) - 1)] < word + b[x:y][owner])
+            out[x:y] = np.bincount(owner[found], minlength=y - x)
+            x = y
+        return out
+
+
 def matches(texts: list[str | None], block: Block) -> list[list[tuple[int, float, int, int, int]]]:
     """For each text its best match with each item: (item id, score, seeds in it, first word, word after the last)."""
-    text, word, gram, hashes, first = gram_places(texts, block.grams)
-    seen: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for t, w, g in zip(text.tolist(), word.tolist(), gram.tolist(), strict=True):
-        for item, at in block.places[g]:
-            seen.setdefault((t, item), []).append((w, at))
-    out: list[list[tuple[int, float, int, int, int]]] = [[] for _ in texts]
-    for (t, item), hits in seen.items():
-        own, words = block.words[item], hashes[first[t] : first[t + 1]]
-        slack = len(own) // 2
-        windows: list[list[int]] = []
-        for w, at in sorted(hits, key=lambda h: h[0] - h[1]):
-            a, b = max(0, w - at - slack), min(len(words), w - at + len(own) + slack)
-            if windows and a <= windows[-1][1]:
-                windows[-1][1] = max(windows[-1][1], b)
-            else:
-                windows.append([a, b])
-        best = (0.0, 0, 0)
-        for a, b in windows:
-            window = words[a:b]
-            if np.isin(own, window).sum() < THRESHOLD * len(own):
-                continue
-            score, end = align(own, window)
-            if score > best[0]:
-                back, length = align(own[::-1], window[:end][::-1])
-                best = score, a + end - length, a + end
-        if best[0] >= THRESHOLD * len(own):
-            seeds = len({at for w, at in hits if best[1] <= w < best[2]})
-            out[t].append((block.ids[item], best[0] / len(own), seeds, best[1], best[2]))
-    return [sorted(x) for x in out]
+    return _Matcher(block)(texts)
 
 
 FOUND = T.ArrayType(
@@ -166,26 +218,8 @@ FOUND = T.ArrayType(
 
 def _matcher(block: Block):
     names = [f.name for f in FOUND.elementType.fields]
-    return lambda texts: [[[dict(zip(names, m, strict=True)) for m in row] for row in matches(texts, block)]]
-
-
-def _document_counts(docs: DataFrame, text: str, block: Block) -> np.ndarray:
-    """In how many documents each n-gram of the block is found."""
-    held = docs.sparkSession.sparkContext.broadcast(block.grams)
-
-    def count(batches):
-        total = np.zeros(len(held.value), dtype=np.int64)
-        for batch in batches:
-            for _, texts in in_slices(batch.column(0)):
-                owner, _, gram, _, _ = gram_places(texts, held.value)
-                total += np.bincount(np.unique(np.stack((owner, gram)), axis=1)[1], minlength=len(total)) if len(owner) else 0
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
-
-    found = np.zeros(len(block.grams), dtype=np.int64)
-    for r in docs.select(docs[text].alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        found[r["gram"]] = r["n"]
-    return found
+    found = _Matcher(block)
+    return lambda texts: [[[dict(zip(names, m, strict=True)) for m in row] for row in found(texts)]]
 
 
 def _blocks(benchmark: DataFrame):
@@ -204,8 +238,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", name
     found = [F.array().cast(FOUND)]
     field = T.StructType([T.StructField("found", FOUND)])
     for block in _blocks(benchmark):
-        seeds = rare_half(block, _document_counts(docs, text, block))
-        found.append(kernel_column(docs.sparkSession, docs[text], field, _matcher, seeds)["found"])
+        found.append(kernel_column(docs.sparkSession, docs[text], field, _matcher, block)["found"])
     return docs.withColumn(name, F.concat(*found[1:]) if len(found) > 1 else found[0])
 
 

@@ -311,6 +311,35 @@ def test_leaks_equal_brute_force_and_edited_copies_are_found(spark):
     assert decontaminate.without_leaks(docs, bench).count() == 40
 
 
+def test_a_lone_copy_with_few_seeds_is_found(spark):
+    item = [f"w{k}" for k in range(20)]
+    copy = [w if k not in (3, 7, 11, 15) else "other" for k, w in enumerate(item)]
+    kept = sum("other" not in copy[k : k + 3] for k in range(18))
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    leaks = [(k, passage(k, 5) + " " + " ".join(item)) for k in range(1, 60)]
+    for rows in ([], leaks):
+        docs = spark.createDataFrame([(0, passage(0, 30) + " " + " ".join(copy) + " " + passage(99, 30)), *rows], "doc_id long, text string")
+        got = {r["doc_id"]: (r["score"], r["n_seeds"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+        assert set(got) == {0, *dict(rows)} and kept < 9 and got[0] == (0.7, kept)
+
+
+@pytest.mark.parametrize("size", [1_000_000, 7])
+def test_matches_in_parts(monkeypatch, size):
+    for name in ("PASS_HITS", "PASS_WORDS"):
+        monkeypatch.setattr(decontaminate, name, size)
+    rng = random.Random(6)
+    base = [words(passage(700 + i, 12)) for i in range(5)]
+    block = decontaminate.read_block([(i, " ".join(w)) for i, w in enumerate(base)])
+    texts = [" ".join(w for _ in range(6) for w in (rng.choice(base) if rng.random() < 0.5 else words(passage(rng.random(), 9)))) for _ in range(8)] + ["", None]
+    got = [{(m[0], round(m[1] * 12, 6)) for m in row} for row in decontaminate.matches(texts, block)]
+    want = []
+    for t in texts:
+        h = decontaminate.gram_places([t], block.grams)[3]
+        scores = [(i, round(decontaminate.align(w, h)[0], 6)) for i, w in zip(block.ids, block.words, strict=True)]
+        want.append({(i, s) for i, s in scores if s >= 6})
+    assert any(want) and got == want
+
+
 def test_alignment_equals_plain_smith_waterman():
     rng = np.random.default_rng(4)
     for _ in range(60):
