@@ -4,7 +4,8 @@ Items and documents are read as words in lower case, without punctuation.  (1) E
 seed, however often it is found, so a copy needs one of them only.  (2) Where a document has a seed,
 the words around it are aligned with the item's; the score is the best local alignment's over the item's length, so
 edited copies score less than 1 but far more than chance.  Before that, a window that cannot reach the
-threshold is left out: a score is never more than the share of the item's words that the window has.
+threshold is left out: a score is never more than the share of the item's words that the window has.  Short items
+are told from chance by no part of them: they are sought as runs of all their words, without seeds.
 
 The benchmark is handled in blocks of bounded size, each of which is broadcast; all documents meet every
 block.  Nothing comes back to the driver.
@@ -26,7 +27,7 @@ from plumbline.llm.bytewords import Batch, shingles
 from plumbline.llm.texts import free_name, kernel_column
 
 SEED_WORDS = 3
-#: Items of fewer words are too short to be told from chance and are not sought.
+#: Items of fewer words are found just where all their words stand in a row.
 MIN_ITEM_WORDS = 8
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
@@ -45,12 +46,16 @@ def normal(text: str | None) -> str:
 
 @dataclass
 class Block:
-    """Items as word hashes, and their seeds: sorted hashes, and the places (hash's number, item, word) where they stand, sorted."""
+    """Items as word hashes, and their seeds: sorted hashes, and the places (hash's number, item, word) where they stand, sorted.
+
+    short: by number of words, the short items: the hash of all words, and the ids that have it.
+    """
 
     ids: list[int]
     words: list[np.ndarray]
     grams: np.ndarray
     places: np.ndarray
+    short: dict[int, dict[int, list[int]]]
 
 
 def read_block(rows: list[tuple[int, str | None]]) -> Block:
@@ -59,19 +64,23 @@ def read_block(rows: list[tuple[int, str | None]]) -> Block:
     begin, end, first = batch.words()
     hashes = batch.word_hashes(begin, end)
     ids, words, runs = [], [], []
+    short: dict[int, dict[int, list[int]]] = {}
     for k, (item, _) in enumerate(rows):
         own = hashes[first[k] : first[k + 1]]
         if len(own) < MIN_ITEM_WORDS:
+            if len(own):
+                whole = int(shingles(own, np.array([0, len(own)]), len(own))[0][0])
+                short.setdefault(len(own), {}).setdefault(whole, []).append(item)
             continue
         runs.append(shingles(own, np.array([0, len(own)]), SEED_WORDS)[0])
         ids.append(item)
         words.append(own)
     if not ids:
-        return Block(ids, words, np.zeros(0, dtype=np.uint64), np.zeros((0, 3), dtype=np.int64))
+        return Block(ids, words, np.zeros(0, dtype=np.uint64), np.zeros((0, 3), dtype=np.int64), short)
     grams, gram = np.unique(np.concatenate(runs), return_inverse=True)
     item = np.repeat(np.arange(len(ids)), [len(r) for r in runs])
     at = np.concatenate([np.arange(len(r)) for r in runs])
-    return Block(ids, words, grams, np.stack((gram, item, at), axis=1)[np.lexsort((at, item, gram))])
+    return Block(ids, words, grams, np.stack((gram, item, at), axis=1)[np.lexsort((at, item, gram))], short)
 
 
 def gram_places(texts: list[str | None], grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,6 +133,7 @@ class _Matcher:
         self.first = np.cumsum(self.size) - self.size
         self.vocabulary, self.word = np.unique(np.concatenate(block.words), return_inverse=True) if block.ids else (np.zeros(0, dtype=np.uint64),) * 2
         self.keys = block.places[:, 0] * len(block.ids) + block.places[:, 1]
+        self.short = {n: np.array(sorted(whole), dtype=np.uint64) for n, whole in block.short.items()}
 
     def __call__(self, texts: list[str | None]) -> list[list[tuple[int, float, int, int, int]]]:
         """For each text its best match with each item: (item id, score, seeds in it, first word, word after the last)."""
@@ -134,8 +144,22 @@ class _Matcher:
             held = np.flatnonzero(self.vocabulary[at] == hashes)
             stands = np.sort(at[held] * (len(hashes) + 1) + held)
             self._some(text, word, gram, 0, len(self.block.ids), hashes, first, stands, out)
+        for n, wholes in self.short.items():
+            self._whole(n, wholes, hashes, first, out)
         return [sorted(x) for x in out]
 
+    def _whole(self, n: int, wholes: np.ndarray, hashes: np.ndarray, first: np.ndarray, out) -> None:
+        """The first place in each text of each short item of n words; wholes: their sorted hashes."""
+        runs, offset = shingles(hashes, first, n)
+        if not len(runs):
+            return
+        place = np.minimum(np.searchsorted(wholes, runs), len(wholes) - 1)
+        hit = np.flatnonzero(wholes[place] == runs)
+        text = np.searchsorted(offset, hit, side="right") - 1
+        once = np.unique(np.stack((text, place[hit])), axis=1, return_index=True)[1] if len(hit) else hit
+        for t, g, at in zip(text[once].tolist(), place[hit[once]].tolist(), (hit - offset[text])[once].tolist(), strict=True):
+            out[t] += [(item, 1.0, 1, at, at + n) for item in self.block.short[n][int(wholes[g])]]
+
     def _some(self, text, word, gram, low, high, hashes, first, stands, out) -> None:
         """The matches with the items from low to high, in parts of PASS_HITS seeds as far as that can be."""
         n = len(self.block.ids)
@@ -228,7 +252,7 @@ def _blocks(benchmark: DataFrame):
     own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     for b in range(n):
         block = read_block([tuple(r) for r in own.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).collect()])
-        if block.ids:
+        if block.ids or block.short:
             yield block
 
 
@@ -245,8 +269,9 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", name
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, n_seeds, first_word, end_word): the best match of each document with each item.
 
-    Only matches of THRESHOLD or more.  Words are counted from 0 in the text as it is read here; n_seeds are the
-    item's seeds inside the match.  Null and empty texts match nothing, and null items are not sought; an item
+    Only matches of THRESHOLD or more; of items of fewer than MIN_ITEM_WORDS words, only whole ones, the first in
+    the document.  Words are counted from 0 in the text as it is read here; n_seeds are the item's seeds inside
+    the match (1 for a short item).  Null and empty texts match nothing, and null items are not sought; an item
     whose id repeats is sought in each form.  Repeated rows give repeated matches; an empty table gives no
     rows; other columns are ignored, whatever their names.
     """

@@ -323,6 +323,16 @@ def test_a_lone_copy_with_few_seeds_is_found(spark):
         assert set(got) == {0, *dict(rows)} and kept < 9 and got[0] == (0.7, kept)
 
 
+def test_short_items_are_found_whole(spark):
+    items = [(1, "What is the capital, then?"), (2, "Who wrote it"), (3, "Kumquat!"), (4, "one two three four five six seven"), (5, "?!"), (6, "who wrote it?")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["a b what is the capital then c what is the capital then", "what is the capital", "who wrote it", "say who wrote", "so a KUMQUAT, a kumquat", "one two three four six seven", "", None, "one two three four five six seven"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in decontaminate.find_leaks(docs, bench).collect())
+    assert got == [(0, 1, 1.0, 1, 2, 7), (2, 2, 1.0, 1, 0, 3), (2, 6, 1.0, 1, 0, 3), (4, 3, 1.0, 1, 2, 3), (8, 4, 1.0, 1, 0, 7)]
+    assert sorted(r["doc_id"] for r in decontaminate.without_leaks(docs, bench).collect()) == [1, 3, 5, 6, 7]
+
+
 @pytest.mark.parametrize("size", [1_000_000, 7])
 def test_matches_in_parts(monkeypatch, size):
     for name in ("PASS_HITS", "PASS_WORDS"):
