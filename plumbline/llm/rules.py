@@ -4,7 +4,8 @@ Reference histograms of character classes and of common words are added up over
 language.  A document fails if the Jensen-Shannon distance (base 2, 0 to 1) of its character classes
 from its language's exceeds CLASS_DISTANCE, or that of its common words COMMON_DISTANCE.  Short texts
 say too little: below MIN_CHARS characters or MIN_WORDS words that comparison is not made.  All of it is
-DataFrame functions; a document's counts need no shuffle, and one row for each language is broadcast.
+DataFrame functions; a document's counts need no shuffle, and one row for each language is joined, by a
+broadcast where they are few.
 """
 
 from __future__ import annotations
@@ -24,9 +25,8 @@ COMMON = {
 CLASSES = ("lower", "upper", "digit", "other_letter", "sign", "other", "space")
 MIN_CHARS, MIN_WORDS = 200, 100
 CLASS_DISTANCE, COMMON_DISTANCE = 0.32, 0.28
-#: Languages for which references are kept, at most: the most frequent values of the language column; the
-#: rest, and nulls, are compared with the reference of all documents.
-LANGUAGES = 200
+#: Languages up to which their references are broadcast (some 3 MB); beyond, Spark chooses how to join them.
+BROADCAST_LANGUAGES = 10_000
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _VISIBLE = r"[^\x20\x09-\x0D]"
@@ -125,30 +125,28 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def references(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Histograms of all documents: one row for each of the LANGUAGES most frequent languages, and one for all."""
+    """Histograms of all documents: one row for each language, and one for all."""
 
     def sums(column: str, n: int) -> Column:
         return F.array(*[F.coalesce(F.sum(F.get(column, F.lit(i))), F.lit(0)) for i in range(n)])
 
     longest = max(map(len, COMMON.values())) + 1
-    by = rows.groupBy("language_").agg(
-        F.count(F.lit(1)).alias("docs_"), sums("classes_", len(CLASSES)).alias("ref_classes_"), sums("counts_", longest).alias("ref_counts_")
-    )
-    top = by.where(F.col("language_").isNotNull()).orderBy(F.col("docs_").desc(), "language_").limit(LANGUAGES)
+    by = cut(rows.groupBy("language_").agg(sums("classes_", len(CLASSES)).alias("ref_classes_"), sums("counts_", longest).alias("ref_counts_")))
     all_rows = by.agg(sums("ref_classes_", len(CLASSES)).alias("all_classes_"))
-    return top.select(F.col("language_").alias("ref_language_"), "ref_classes_", "ref_counts_"), all_rows
+    named = by.where(F.col("language_").isNotNull()).select(F.col("language_").alias("ref_language_"), "ref_classes_", "ref_counts_")
+    return F.broadcast(named) if by.count() <= BROADCAST_LANGUAGES else named, all_rows
 
 
 def judge(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
     """keep, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, common_distance, kept.
 
-    A null text counts as empty: no words, and base_failed.  A null or rare language is compared with all
+    A null text counts as empty: no words, and base_failed.  A null language is compared with all
     documents by its characters only.  Repeated rows count each; an empty table gives no rows; other
     columns are ignored, whatever their names.
     """
     rows = cut(measured(docs, keep, text, lang))
     by_language, overall = references(rows)
-    rows = rows.join(F.broadcast(by_language), F.col("language_") == F.col("ref_language_"), "left").crossJoin(F.broadcast(overall))
+    rows = rows.join(by_language, F.col("language_") == F.col("ref_language_"), "left").crossJoin(F.broadcast(overall))
     classes = distance(F.col("classes_").cast("array<double>"), F.coalesce("ref_classes_", "all_classes_").cast("array<double>"))
     n = F.size("counts_")
     common = distance(F.col("counts_").cast("array<double>"), F.slice(F.col("ref_counts_"), F.lit(1), n).cast("array<double>"))

@@ -396,6 +396,15 @@ def test_distance(spark):
     assert d([0.0, 0.0], [1.0, 1.0]) is None
 
 
+@pytest.mark.parametrize("broadcast", [10_000, 3])
+def test_each_language_has_its_reference(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(rules, "BROADCAST_LANGUAGES", broadcast, raising=False)
+    rows = [(i, passage(i, 30 + i % 7) + "9" * (2 * i), f"l{i:03}", "s", 9) for i in range(230)] + [(230, passage(3, 120), None, "s", 9)]
+    got = {r["doc_id"]: r["class_distance"] for r in rules.judge(spark.createDataFrame(rows, SCHEMA), ["doc_id"]).collect()}
+    alone = {i for i, t, *_ in rows[:230] if len(t) >= rules.MIN_CHARS}
+    assert max(alone) > 220 and {i for i, d in got.items() if d == 0} == alone and got[230] > 0
+
+
 # --- 8 ---------------------------------------------------------------------------------------------
 
 
