@@ -378,10 +378,15 @@ def coreset_k5(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def embedding_heatmap(spark: SparkSession, d: str) -> DataFrame:
-    """Grids of ten patches, resized: an image kernel, checked by tests."""
+    """Grids of ten patches, resized: an image kernel, checked by tests.
+
+    All patches are scored, those of the bank too (they are near themselves); an image that lacks rows has no grid.
+    """
     from plumbline.plans.models import heatmaps
 
-    rows = near_bank(spark, d).select(F.floor(F.col("vec_id") / 10).alias("image_id"), (F.col("vec_id") % 10).cast("int").alias("patch_idx"), F.col("min_distance").alias("distance"))
+    e = table(spark, d, "embeddings")
+    near = vectors.nearest_distance(e, e.where("label = 0").select(F.col("embedding").alias("features")))
+    rows = near.select(F.floor(F.col("vec_id") / 10).alias("image_id"), (F.col("vec_id") % 10).cast("int").alias("patch_idx"), F.col("min_distance").alias("distance"))
     whole = rows.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).where("n = 10").select("image_id")
     return heatmaps(rows.join(whole, "image_id"), (2, 5), 4, 10)
 

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +116,13 @@ def test_heatmap_table(spark):
     rows = spark.createDataFrame([("a", p, float(p)) for p in range(4)], "image_id string, patch_idx int, distance double")
     heat = models.heatmaps(rows, (2, 2), 4, 4).first()["heatmap"]
     assert len(heat) == 16 and heat[0] == 0.0 and heat[-1] == 3.0
+
+
+def test_each_whole_image_has_a_heatmap(spark, data):
+    from plumbline import catalog
+
+    rows = catalog.table(spark, data, "embeddings").select("vec_id").collect()
+    sizes = Counter(r["vec_id"] // 10 for r in rows)
+    got = catalog.embedding_heatmap(spark, data).collect()
+    assert sorted(r["image_id"] for r in got) == sorted(i for i, n in sizes.items() if n == 10)
+    assert all(len(r["heatmap"]) == 40 for r in got)
