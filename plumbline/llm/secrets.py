@@ -2,7 +2,8 @@
 
 Ordinary words and identifiers are spelled with few tokens of a tokenizer's vocabulary; random strings
 need many.  A run of credential characters whose characters per token fall below a limit is reported,
-unless it is a known digest, an identifier, or part of a span that a rule has found.
+unless it is a known digest, an identifier, or part of a span that a rule has found.  Letters of one case alone
+have a stricter limit of their own in place of the test for identifiers.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ KINDS = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 #: A candidate's characters at least, and the characters per token below which it counts as random.
 MIN_CHARS = 16
 MAX_CHARS_PER_TOKEN = 2.4
+#: The same for letters of one case alone, which may be a word that the vocabulary lacks.
+MAX_ONE_CASE = 2.0
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -60,12 +63,13 @@ def random_spans(text: str, count, base: list[Span]) -> list[Span]:
     out = []
     for m in _CANDIDATE.finditer(text):
         s = m[0].strip("=-+/_") if not m[0].isalpha() else m[0]
-        if s.islower() and s.isalpha() or len(s) < MIN_CHARS:
+        if len(s) < MIN_CHARS:
             continue
         start = m.start() + m[0].index(s)
-        if is_digest(s) or is_identifier(s) or overlaps(start, start + len(s), base):
+        one_case = s.isalpha() and (s.islower() or s.isupper())
+        if is_digest(s) or not one_case and is_identifier(s) or overlaps(start, start + len(s), base):
             continue
-        if len(s) < MAX_CHARS_PER_TOKEN * count(s):
+        if len(s) < (MAX_ONE_CASE if one_case else MAX_CHARS_PER_TOKEN) * count(s):
             out.append(("random", start, start + len(s)))
     return out
 

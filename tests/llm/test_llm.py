@@ -84,6 +84,15 @@ def test_random_strings_are_told_from_digests_and_identifiers(spark):
     assert got[0] == f"random:4:{4 + len(secret)}" and not any(got[i] for i in range(1, len(texts)))
 
 
+def test_random_letters_of_one_case(spark):
+    rng = random.Random(1)
+    runs = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(32)) for _ in range(100)]
+    plain = ["internationalization", "responsibilities" * 2, "ACKNOWLEDGEMENTS", "dieeinkeitgekeit", "LAAITIONELLEELLE"]
+    df = spark.createDataFrame(list(enumerate(runs + [r.upper() for r in runs] + plain)), "doc_id long, text string")
+    got = {r["doc_id"] for r in secrets.scan_secrets(df, ["doc_id"]).collect() if r["n_random"]}
+    assert len(got & set(range(100))) >= 85 and len(got & set(range(100, 200))) >= 85 and max(got) < 200
+
+
 # --- 2 ---------------------------------------------------------------------------------------------
 
 
