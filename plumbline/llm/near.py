@@ -1,9 +1,9 @@
 """N-gram Jaccard join: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from a MinHash LSH forest.  Each of TREES trees labels a text with DEPTH minhash values; in a
-tree, texts sorted by label form the leaves of a prefix trie.  Matched prefixes are shortened, from
-DEPTH on, until two texts at the threshold share one in at least one tree with the target probability.
-Texts with a common prefix of that length form a bucket.
+Candidates come from MinHash banding at a fixed depth, in place of an LSH forest.  Each of TREES bands labels a text
+with DEPTH minhash values; texts that share a band's first few form a bucket.  How many is a formula's result: as
+many as let two texts at the threshold share them in at least one band with the target probability.  All
+values serve the estimate of similarity.
 
 In a bucket, a text is compared (by its signature) with the bucket's leaders only: it becomes a leader
 itself unless it is near one, and is linked to every leader that is near enough for the triangle inequality
