@@ -1,110 +1,24 @@
 """Personal data: four rules for known forms, and a linear-chain conditional random field for others.
 
-The field labels words by the features of their shapes and of their neighbours' shapes.  It is trained
-on the small labelled table below by gradient ascent on the penalised likelihood, and decoded by
-Viterbi in numpy batches of equal length.
-
-A word with neither a digit, an @ nor a spelled-out at is plain or a cue, and the field gives it the outside
-state only.  So such words split a line into parts, and each part, with its two neighbours, is decoded
-alone with the same result as in the whole line.
+The field (pii_field.py) labels the words of each line by the features of their shapes and of their neighbours' shapes.  It
+finds what the rules can't: names, addresses, numbers of persons, phone numbers without a country's code, spelled-out mail
+addresses.  It is trained on the small labelled table of pii_lines.py and decoded by Viterbi in numpy batches.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from plumbline.llm.spans import Span, digest, overlaps, spelled
+from plumbline.llm.pii_field import ENTITIES, STATES, Field, core, tokens, train, viterbi
+from plumbline.llm.spans import Span, digest, spelled, without_overlaps
 from plumbline.llm.texts import with_kernel
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ENTITIES = ("EMAIL", "IP", "CARD", "PHONE", "ID")
 KINDS = {k: i for i, k in enumerate((*BASE_KINDS, *(f"crf_{e.lower()}" for e in ENTITIES)))}
-STATES = ("O", *(f"{p}-{e}" for e in ENTITIES for p in "BI"))
-
-#: Words, and in brackets an entity: [KIND its words].
-LABELLED = """
-please call [PHONE (415) 555-0132] before noon
-phone: [PHONE 555-867-5309] or write
-tel [PHONE 020 7946 0958] ask for the desk
-my number is [PHONE 212-555-0187] thanks
-fax [PHONE (303) 555-0119] and mail
-the [PHONE (499) 555-6503] line was busy
-to [PHONE (202) 555-0171] 4068516892505468 and on
-no [PHONE (503) 555-0118] 77123 left
-reach us at [PHONE 800.555.0147] today
-Telefon [PHONE 030 901820] im Haus
-mobile [PHONE 07700 900123] at night
-call [PHONE 555-0199] now
-she left [PHONE (212) 555-0144] with the clerk
-numéro [PHONE 01 99 00 12 34] le matin
-teléfono [PHONE 91 123 45 67] por la tarde
-[PHONE (646) 555-0170] is the office
-write to [EMAIL jane.doe(at)example.com] please
-mail [EMAIL jane_doe[at]example.org] for help
-email [EMAIL john@localhost] or wait
-contact [EMAIL info(at)example.net] and ask
-e-mail: [EMAIL bob.smith@intranet] at work
-[EMAIL mary(at)example.com] replied
-the server [IP 2001:db8::1] answered
-host [IP fe80::1ff:fe23:4567:890a] went down
-address [IP 2001:0db8:85a3:0000:0000:8a2e:0370:7334] was logged
-from [IP ::1] to there
-card [CARD 4111.1111.1111.1111] was charged
-visa [CARD 4012.8888.8888.1881] expired
-pay with [CARD 5500/0000/0000/0004] in the shop
-my card [CARD 3400_000000_00009] is lost
-ssn [ID 078-05-1120] on file
-social security number [ID 219-09-9999] was shown
-her [ID 457-55-5462] and the rest
-ssn: [ID 123-45-6789] copied
-version 3.0 of the licence
-under Version 2.0, January 2004
-release 10.4.1 fixed 17 bugs
-see section 4.2.1 and table 12
-on 2024-01-05 at 12:30 we met
-from 1998-09-02 to 1999-12-31 the plan held
-the year 2021 had 365 days
-about 1,234,567 people in 50 states
-price 19.99 or 1.250,00 in total
-order 4830021 shipped with 3 items
-room 101 on floor 3
-page 12-15 and 203-210 of book 7
-isbn 978-3-16-148410-0 in print
-the score was 3-2 after 90 minutes
-a 4068516892505468 counter value
-id 99812 and id 77123 were merged
-sha f95017526fc608ad71587f8ea5418b66ff2e6d38 in git
-key "2aeb8253858bf047bc9bb976166a40ef87db38b0" in file
-commit 7f3a9c1 broke build 5521
-mp3 and h264 and utf8 are formats
-ratio 1:2 and time 10:45:12 in log
-the 1st, 2nd and 3rd of 12 runs
-90% of users and 5kg of rice
-copyright 2004 2007 2019 all rights
-call 3 friends and phone 2 more
-card 7 of 52 was red
-email 12 people and mail 40 more
-@ home and @work today
-follow @jane and @john_doe there
-a+b=c and x1 y2 z3 are names
-int32 x = 5; y = 0x7fff
-src12 and src7 in lang 4
-tel aviv and mobile homes
-number 5 is alive
-0.25 0.5 0.75 1.0 are steps
-1 2 3 4 5 6 7 8 9 10 counts
-100 200 300 400 in rows
-11.02.2019 and 3.4.2020 were days
-covid-19 and b2b and 4x4
-http://example.com/a1/b2 is a page
-this is a plain line of words
-and another one without any
-""".strip().split("\n")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -152,242 +66,54 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-# --- features ---------------------------------------------------------------------------------
-
-#: White space between two words of a run, at most.
-MAX_GAP = 8
-CUES = frozenset("call phone tel telefon teléfono fax mobile numéro number email e-mail mail contact write card visa ssn security version isbn sha key".split())
-_TRIM = " .,;:!?\"'%$#&*<>|"
-_ASCII_CLASS = str.maketrans({**{c: "9" for c in "0123456789"}, **{chr(c): "a" for c in range(97, 123)}, **{chr(c): "A" for c in range(65, 91)}})
-_RUNS = re.compile(r"a+|A+")
-_DIGIT_RUNS = re.compile(r"9{6,}")
-_CUE = re.compile(r"(?i:%s)[.,;:!?]*" % "|".join(sorted(CUES)))
-#: What a word needs to be decoded at all.
-_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
-_SPACE = re.compile(r"[\x20\x09-\x0D]")
-_SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
-#: Longer words have just the features of a long word.
-LONG_WORD = 64
-_GAP = frozenset(" \t\x0b\x0c\r")
-PLAIN, CUE, EDGE = "word=plain", "word=cue", "edge"
-
-
-def core(word: str) -> tuple[int, int]:
-    """Where the word stands without the signs around it."""
-    a = len(word) - len(word.lstrip(_TRIM))
-    b = len(word.rstrip(_TRIM))
-    return (a, b) if a < b else (0, len(word))
-
-
-def features(word: str) -> tuple[str, ...]:
-    """A word's own features; plain words have just one."""
-    if len(word) > LONG_WORD:
-        return ("long", "digits=many") if _TRIGGER.search(word) else (PLAIN,)
-    return _features(word)
-
-
-@lru_cache(maxsize=50_000)
-def _features(word: str) -> tuple[str, ...]:
-    a, b = core(word)
-    w = word[a:b]
-    if not _TRIGGER.search(word):
-        return (CUE, "cue=" + w.lower()) if _CUE.fullmatch(word) else (PLAIN,)
-    shape = _DIGIT_RUNS.sub("9999999", _RUNS.sub(lambda m: m[0][0], w.translate(_ASCII_CLASS)))
-    digits = sum(c.isascii() and c.isdigit() for c in w)
-    out = ["shape=" + shape, f"digits={min(digits, 17)}", "signs=" + "".join(sorted({c for c in shape if not c.isalnum()}))]
-    if any(c.isalpha() for c in w):
-        out.append("letters")
-    if w.startswith("("):
-        out.append("opens")
-    if re.fullmatch(r"[0-9a-fA-F]{0,4}(:[0-9a-fA-F]{0,4}){2,7}", w):
-        out.append("colons-hex")
-    if re.fullmatch(r"[\w.+-]+[(\[]at[)\]][\w.-]+", w):
-        out.append("spelled-at")
-    return tuple(out)
-
-
-#: What the states of a plain word or a cue get besides: minus infinity in effect, but for the outside state.
-ONLY_OUTSIDE = np.array([0.0] + [-1e9] * (len(STATES) - 1))
-
-
-class Field:
-    """Weights of the field: for each feature and side (left neighbour, self, right neighbour), and for pairs of states."""
-
-    def __init__(self, index: dict[tuple[int, str], int], weights: np.ndarray, moves: np.ndarray) -> None:
-        self.index, self.weights, self.moves = index, weights, moves
-        self.emit = lru_cache(maxsize=50_000)(self._emit)
-    def _emit(self, side: int, own: tuple[str, ...]) -> np.ndarray:
-        rows = [self.index[side, f] for f in own if (side, f) in self.index]
-        out = self.weights[rows].sum(axis=0) if rows else np.zeros(len(STATES))
-        if side == 0 and own[0] in (PLAIN, CUE):
-            out = out + ONLY_OUTSIDE
-        return out
-
-
-def allowed_moves() -> np.ndarray:
-    """0 where a state may follow another (an inside only after its own kind), else minus infinity in effect."""
-    out = np.zeros((len(STATES), len(STATES)))
-    for j, s in enumerate(STATES):
-        if s[0] == "I":
-            out[:, j] = -1e9
-            out[[STATES.index("B" + s[1:]), j], j] = 0
-    return out
-
-
-def read_labelled(lines: list[str]) -> list[tuple[list[str], list[int]]]:
+def plausible(kind: str, found: str) -> bool:
+    """What an entity's text must have, whatever the field says."""
+    digits = [c for c in found if "0" <= c <= "9"]
+    if kind == "CARD":
+        return 14 <= len(digits) <= 19 and luhn("".join(digits))
+    if kind == "PHONE":
+        return 7 <= len(digits) <= 15
+    if kind in ("ID", "ADDRESS"):
+        return bool(digits)
+    if kind == "NAME":
+        return sum(c.isalpha() for c in found) > 1 and all(c.isalpha() or c in " .'-" for c in found)
+    if kind == "IP":
+        return found.count(":") > 1
+    return True
+
+
+def entity_spans(text: str, words: list[tuple[str, int, int]], states: np.ndarray, offset: int = 0) -> list[Span]:
+    """The spans of a line's states; offset: where the line starts in the text."""
     out = []
-    for line in lines:
-        words, states, kind, first = [], [], None, False
-        for w in line.split():
-            if kind is None and (m := re.fullmatch(r"\[(%s)" % "|".join(ENTITIES), w)):
-                kind, first = m[1], True
-                continue
-            ends = kind is not None and w.endswith("]") and w.count("]") > w.count("[")
-            words.append(w[:-1] if ends else w)
-            states.append(STATES.index(f"{'B' if first else 'I'}-{kind}") if kind else 0)
-            first = False
-            if ends:
-                kind = None
-        out.append((words, states))
-    return out
-
-
-def _neighbours(own: list[tuple[str, ...]]) -> list[list[tuple[int, str]]]:
-    edge = ((EDGE,),)
-    return [[(s, f) for s, fs in zip((-1, 0, 1), three, strict=True) for f in fs] for three in zip(edge + tuple(own[:-1]), own, tuple(own[1:]) + edge, strict=True)]
-
-
-def train(lines: list[str] = LABELLED, steps: int = 200, rate: float = 0.15, penalty: float = 0.02) -> Field:
-    """Maximise the penalised log-likelihood by Adam; all sentences at once, padded to one length."""
-    data = [(w, s) for w, s in read_labelled(lines) if w]
-    index: dict[tuple[int, str], int] = {}
-    seen = [[[index.setdefault(x, len(index)) for x in at] for at in _neighbours([features(w) for w in words])] for words, _ in data]
-    n, t, k = len(data), max(len(w) for w, _ in data), len(STATES)
-    used = np.zeros((n, t, len(index)))
-    gold = np.zeros((n, t), dtype=int)
-    real = np.zeros((n, t), dtype=bool)
-    for i, (at, (_, states)) in enumerate(zip(seen, data, strict=True)):
-        gold[i, : len(states)] = states
-        real[i, : len(states)] = True
-        for j, rows in enumerate(at):
-            used[i, j, rows] = 1
-    plain = (used[:, :, index[0, PLAIN]] + used[:, :, index[0, CUE]])[:, :, None] * ONLY_OUTSIDE
-    hot = np.eye(k)[gold] * real[:, :, None]
-    block = allowed_moves()
-    start = np.where(np.char.startswith(np.array(STATES), "I"), -1e9, 0.0)
-    both = real[:, 1:] & real[:, :-1]
-    gold_moves = np.einsum("ntj,ntk,nt->jk", hot[:, :-1], hot[:, 1:], both)
-    theta = [np.zeros((len(index), k)), np.zeros((k, k))]
-    first, second = ([np.zeros_like(x) for x in theta] for _ in range(2))
-    add = np.logaddexp.reduce
-    for step in range(1, steps + 1):
-        e = used @ theta[0] + plain
-        moves = theta[1] + block
-        alpha, beta = np.zeros((n, t, k)), np.zeros((n, t, k))
-        alpha[:, 0] = e[:, 0] + start
-        for j in range(1, t):
-            forward = add(alpha[:, j - 1, :, None] + moves[None], axis=1) + e[:, j]
-            alpha[:, j] = np.where(real[:, j, None], forward, alpha[:, j - 1])
-        for j in range(t - 2, -1, -1):
-            back = add(moves[None] + (e[:, j + 1] + beta[:, j + 1])[:, None, :], axis=2)
-            beta[:, j] = np.where(real[:, j + 1, None], back, beta[:, j + 1])
-        z = add(alpha[:, -1], axis=1)
-        p = np.exp(alpha + beta - z[:, None, None]) * real[:, :, None]
-        pair = np.exp(alpha[:, :-1, :, None] + moves[None, None] + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None])
-        grad = [np.einsum("ntf,ntk->fk", used, hot - p), gold_moves - np.einsum("ntjk,nt->jk", pair, both)]
-        for x, g, m, v in zip(theta, grad, first, second, strict=True):
-            g = g - penalty * x
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            x += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Field(index, theta[0], theta[1] + block)
-
-
-def viterbi(field: Field, sequences: list[list[str]]) -> list[list[int]]:
-    """The best states of each sequence of words; sequences of a length are decoded together."""
-    by_length: dict[int, list[int]] = {}
-    for i, s in enumerate(sequences):
-        by_length.setdefault(len(s), []).append(i)
-    out: list[list[int]] = [[] for _ in sequences]
-    start = np.where(np.char.startswith(np.array(STATES), "I"), -1e9, 0.0)
-    for length, rows in by_length.items():
-        if not length:
-            continue
-        for at in range(0, len(rows), step := max(1, 50_000 // length)):
-            some = rows[at : at + step]
-            e = np.zeros((len(some), length, len(STATES)))
-            for r, i in enumerate(some):
-                own = [features(w) for w in sequences[i]]
-                for j, f in enumerate(own):
-                    e[r, j] = field.emit(0, f) + field.emit(-1, own[j - 1] if j else (EDGE,)) + field.emit(1, own[j + 1] if j + 1 < length else (EDGE,))
-            best, back = e[:, 0] + start, np.zeros((len(some), length, len(STATES)), dtype=np.int8)
-            for j in range(1, length):
-                options = best[:, :, None] + field.moves[None]
-                back[:, j] = options.argmax(axis=1)
-                best = options.max(axis=1) + e[:, j]
-            state = best.argmax(axis=1)
-            path = np.zeros((len(some), length), dtype=int)
-            for j in range(length - 1, -1, -1):
-                path[:, j] = state
-                state = back[np.arange(len(some)), j, state]
-            for r, i in enumerate(some):
-                out[i] = path[r].tolist()
-    return out
-
-
-def word_around(text: str, at: int, low: int = 0) -> tuple[int, int]:
-    """Start and end of the word that has the character at `at`; the text before `low` isn't looked at."""
-    start = max(max(text.rfind(c, low, at) for c in _SPACES) + 1, low)
-    end = _SPACE.search(text, at)
-    return start, end.start() if end else len(text)
-
-
-def sequences_of(text: str) -> list[list[tuple[str, int]]]:
-    """The runs of words with a trigger, each inside a line, with the words' offsets; in time linear in the text."""
-    out: list[list[tuple[str, int]]] = []
-    end = 0
-    while found := _TRIGGER.search(text, end):
-        start, stop = word_around(text, found.start(), end)
-        gap = text[end:start] if out and start - end <= MAX_GAP else "-"
-        if gap.strip(" \t\x0b\x0c") or "\n" in gap:
-            out.append([])
-        out[-1].append((text[start:stop], start))
-        end = stop
-    return out
-
-
-def with_context(text: str, words: list[tuple[str, int]]) -> tuple[list[str], int]:
-    """A part with its neighbours in the line (none at the line's ends), and how many stand before it."""
-    before, (last, at) = words[0][1] - 1, words[-1]
-    after = at + len(last)
-    while before >= 0 and text[before] in _GAP:
-        before -= 1
-    while after < len(text) and text[after] in _GAP:
-        after += 1
-    left, right = [], []
-    if before >= 0 and text[before] != "\n":
-        left = [text[word_around(text, before)[0] : before + 1]]
-    if after < len(text) and text[after] != "\n":
-        right = [text[after : word_around(text, after, after)[1]]]
-    return left + [w for w, _ in words] + right, len(left)
-
-
-def entity_spans(text: str, words: list[tuple[str, int]], states: list[int]) -> list[Span]:
-    out, k = [], 0
-    while k < len(words):
-        if not STATES[states[k]].startswith("B"):
-            k += 1
-            continue
-        kind = STATES[states[k]][2:]
-        last = k
-        while last + 1 < len(words) and STATES[states[last + 1]] == f"I-{kind}":
+    for k in np.flatnonzero([STATES[s][0] == "B" for s in states]).tolist() if states.any() else []:
+        kind, last = STATES[states[k]][2:], k
+        inside = STATES.index("I-" + kind)
+        while last + 1 < len(words) and states[last + 1] == inside:
             last += 1
         start = words[k][1] + core(words[k][0])[0]
         end = words[last][1] + core(words[last][0])[1]
-        digits = "".join(c for c in text[start:end] if c in "0123456789")
-        if kind != "CARD" or 14 <= len(digits) <= 19 and luhn(digits):
-            out.append((f"crf_{kind.lower()}", start, end))
-        k = last + 1
+        if plausible(kind, text[start:end]):
+            out.append((f"crf_{kind.lower()}", offset + start, offset + end))
+    return out
+
+
+def field_spans(field: Field, texts: list[str]) -> list[list[Span]]:
+    """What the field finds in each text; lines are decoded together."""
+    owner, at, lines, shown = [], [], [], []
+    for i, t in enumerate(texts):
+        start = 0
+        for line in t.split("\n"):
+            words = tokens(line)
+            if words:
+                owner.append(i)
+                at.append(start)
+                lines.append(line)
+                shown.append(words)
+            start += len(line) + 1
+    out: list[list[Span]] = [[] for _ in texts]
+    for i, start, line, words, states in zip(owner, at, lines, shown, viterbi(field, shown), strict=True):
+        if states.any():
+            out[i] += entity_spans(line, words, states, start)
     return out
 
 
@@ -401,24 +127,12 @@ def _finder(field_parts):
 
     def kernel(texts: list[str | None]) -> list:
         texts = [t or "" for t in texts]
-        owners, parts, shown, skip = [], [], [], []
-        for i, t in enumerate(texts):
-            for words in sequences_of(t):
-                full, n = with_context(t, words)
-                owners.append(i)
-                parts.append(words)
-                shown.append(full)
-                skip.append(n)
-        more: list[list[Span]] = [[] for _ in texts]
-        for i, words, n, states in zip(owners, parts, skip, viterbi(field, shown), strict=True):
-            if any(states):
-                more[i] += entity_spans(texts[i], words, states[n : n + len(words)])
         rows = []
-        for t, extra in zip(texts, more, strict=True):
+        for t, found in zip(texts, field_spans(field, texts), strict=True):
             base = base_spans(t)
-            extra = [s for s in extra if not overlaps(s[1], s[2], base)]
-            kinds = [s[0] for s in base + extra]
-            rows.append((*(kinds.count(k) for k in KINDS), digest(spelled(base, KINDS)), spelled(base + extra, KINDS)))
+            spans = base + without_overlaps(found, base)
+            kinds = [s[0] for s in spans]
+            rows.append((*(kinds.count(k) for k in KINDS), digest(spelled(base, KINDS)), spelled(spans, KINDS)))
         return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in FOUND.fields]
 
     return kernel
@@ -427,10 +141,10 @@ def _finder(field_parts):
 def find_personal_data(docs: DataFrame, keep: list[str], text: str = "text", labelled: list[str] | None = None) -> DataFrame:
     """The columns `keep`, then counts by kind, base_sha256 (the rules' spans) and spans (all), for each whole text.
 
-    The field is trained on the driver from `labelled` (the table above) and broadcast; its size is that of
-    the table.  Offsets are code points, the end exclusive.  A span of the field that overlaps a
-    rule's span is not reported again.  A null or empty text has none; repeated rows give repeated results,
-    an empty table an empty one, and columns not named in `keep` are ignored.
+    The field is trained on the driver from `labelled` (the table of pii_lines.py by default) and broadcast; its size is that of
+    the table.  A text is decoded line by line, whatever a line's or a word's length.  Offsets are code points, the end exclusive.
+    A span of the field that overlaps a rule's span is not reported again.  A null or empty text has none; repeated rows give
+    repeated results, an empty table an empty one, and columns not named in `keep` are ignored.
     """
-    field = train(labelled or LABELLED)
-    return with_kernel(docs, keep, text, FOUND, _finder, (field.index, field.weights, field.moves))
+    field = train(labelled) if labelled else train()
+    return with_kernel(docs, keep, text, FOUND, _finder, (field.index, field.weights, field.between, field.moves))

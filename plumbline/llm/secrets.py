@@ -1,9 +1,10 @@
 """Secret scan: three rules for known forms, and a token-efficiency test for random strings.
 
-Ordinary words and identifiers are spelled with few tokens of a tokenizer's vocabulary; random strings
-need many.  A run of credential characters whose characters per token fall below a limit is reported,
-unless it is a known digest, an identifier, or part of a span that a rule has found.  Letters of one case alone
-have a stricter limit of their own in place of the test for identifiers.
+Words and identifiers are spelled with few tokens of a tokenizer's vocabulary; random strings need many.  Every run of
+credential characters is counted; one whose characters per token are at a limit or below is reported, unless it is a known
+digest, its words explain it (half of its characters are in words that are few tokens by themselves, or in parts too short to
+tell), or a rule has found it.  Digits alone are numbers of accounts and cards up to a length, and are spelled with fewer
+tokens than letters, so they have bounds of their own.
 """
 
 from __future__ import annotations
@@ -13,16 +14,20 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from plumbline.llm.spans import Span, digest, overlaps, spelled
+from plumbline.llm.spans import Span, digest, spelled, without_overlaps
 from plumbline.llm.texts import read_public_file, with_kernel
 from plumbline.llm.token_counts import VOCABULARY, encoding
 
 KINDS = {"assign": 0, "access": 1, "hex": 2, "random": 3}
-#: A candidate's characters at least, and the characters per token below which it counts as random.
+#: A candidate's characters at least, and the characters per token up to which it counts as random.
 MIN_CHARS = 16
-MAX_CHARS_PER_TOKEN = 2.4
-#: The same for letters of one case alone, which may be a word that the vocabulary lacks.
-MAX_ONE_CASE = 2.0
+MAX_CHARS_PER_TOKEN = 2.0
+#: Letters of one case (the first may be a capital) may be a word that the vocabulary lacks: shorter ones must be below the limit.
+ONE_CASE_CHARS = 20
+#: Digits alone: at least so many, and their limit.
+MIN_DIGITS, MAX_DIGITS_PER_TOKEN = 20, 2.7
+#: A word explains itself from so many letters on, at so many letters per token; shorter parts than PART_CHARS tell nothing.
+WORD_LETTERS, WORD_LETTERS_PER_TOKEN, PART_CHARS = 4, 3.0, 5
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -32,14 +37,18 @@ _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MIN_CHAR
 DIGEST_CHARS = {32, 40, 56, 64, 96, 128}
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-#: A part of an identifier: words of two small letters or more, each after five capitals at most, then a short number; or all capitals, or a number.
-_PART = re.compile(r"(?:[A-Z]{0,5}+[a-z]{2,}+)++[A-Z]{0,4}+[0-9]{0,4}+|[A-Z]++[0-9]{0,4}+|[A-Za-z]?[0-9]*+|[a-z][A-Z][a-z]++[0-9]{0,4}+")
-_SPLIT = re.compile(r"[+/_=-]+")
+_SIGNS = re.compile(r"[+/_=-]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]{%d,}|[A-Z]{%d,}(?![a-z])" % (WORD_LETTERS - 1, WORD_LETTERS))
 
 
-def is_identifier(s: str) -> bool:
-    """Words, numbers and words with a short number, joined by signs; a mixture of letter cases needs words of two letters."""
-    return all(_PART.fullmatch(p) for p in _SPLIT.split(s))
+def unexplained(s: str, count) -> int:
+    """Characters of s outside of words that are few tokens, and outside of short parts."""
+    out = 0
+    for part in _SIGNS.split(s):
+        if len(part) >= PART_CHARS:
+            words = [w for w in _WORDS.findall(part) if len(w) >= WORD_LETTERS]
+            out += len(part) - sum(len(w) for w in words if len(w) >= WORD_LETTERS_PER_TOKEN * count(w.lower()))
+    return out
 
 
 def is_digest(s: str) -> bool:
@@ -58,18 +67,28 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def random_spans(text: str, count, base: list[Span]) -> list[Span]:
-    """Runs that are spelled with too many tokens; count gives a string's tokens."""
+def is_random(s: str, count) -> bool:
+    """The token-efficiency test; count gives a string's tokens."""
+    if is_digest(s):
+        return False
+    if not any(c.isalpha() for c in s):
+        digits = _SIGNS.sub("", s)
+        return len(digits) >= MIN_DIGITS and len(s) <= MAX_DIGITS_PER_TOKEN * count(s)
+    tokens = count(s)
+    if len(s) > MAX_CHARS_PER_TOKEN * tokens:
+        return False
+    if len(s) < ONE_CASE_CHARS and s.isalpha() and (s.isupper() or s[1:].islower()) and len(s) == MAX_CHARS_PER_TOKEN * tokens:
+        return False
+    return 2 * unexplained(s, count) >= len(s)
+
+
+def random_spans(text: str, count) -> list[Span]:
+    """Runs that are spelled with too many tokens."""
     out = []
     for m in _CANDIDATE.finditer(text):
-        s = m[0].strip("=-+/_") if not m[0].isalpha() else m[0]
-        if len(s) < MIN_CHARS:
-            continue
-        start = m.start() + m[0].index(s)
-        one_case = s.isalpha() and (s.islower() or s.isupper())
-        if is_digest(s) or not one_case and is_identifier(s) or overlaps(start, start + len(s), base):
-            continue
-        if len(s) < (MAX_ONE_CASE if one_case else MAX_CHARS_PER_TOKEN) * count(s):
+        s = m[0].strip("=-+/_")
+        if len(s) >= MIN_CHARS and is_random(s, count):
+            start = m.start() + m[0].index(s)
             out.append(("random", start, start + len(s)))
     return out
 
@@ -90,7 +109,7 @@ def _scanner(content: bytes):
         for t in texts:
             t = t or ""
             base = base_spans(t)
-            more = random_spans(t, count, base)
+            more = without_overlaps(random_spans(t, count), base)
             kinds = [k for k, _, _ in base] + [k for k, _, _ in more]
             rows.append((*(kinds.count(k) for k in KINDS), digest(spelled(base, KINDS)), spelled(base + more, KINDS)))
         return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in SCANNED.fields]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from itertools import accumulate
 
 Span = tuple[str, int, int]
 
@@ -16,5 +18,16 @@ def digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def overlaps(start: int, end: int, spans: list[Span]) -> bool:
-    return any(start < b and a < end for _, a, b in spans)
+def without_overlaps(found: list[Span], taken: list[Span]) -> list[Span]:
+    """The found spans that share no character with a taken one; sorted starts and running ends make it one search for each."""
+    if not taken or not found:
+        return list(found)
+    taken = sorted(taken, key=lambda s: s[1])
+    starts = [a for _, a, _ in taken]
+    ends = list(accumulate((b for _, _, b in taken), max))
+    out = []
+    for s in found:
+        k = bisect_left(starts, s[2])
+        if not k or ends[k - 1] <= s[1]:
+            out.append(s)
+    return out
