@@ -1,8 +1,8 @@
 """Byte-pair encoding by dynamic programming over prefixes, and decoding.
 
 For every prefix of a piece exactly one vocabulary entry can be the last token of the prefix's
-encoding.  Walking the prefixes from left to right, the entries that end there (found by an
-Aho-Corasick automaton over the vocabulary) are tried: an entry is the one if the rest of the prefix
+encoding.  Walking the prefixes from left to right, the entries that end there (found by the
+suffix automaton of the vocabulary) are tried: an entry is the one if the rest of the prefix
 is empty, or if the entry is compatible with the last token of the rest, that is, if merging the two
 tokens' bytes gives just these two tokens again.  Back-pointers then spell out the ids.  The work is
 linear in the piece's length, for a piece of any length.
@@ -18,21 +18,35 @@ import json
 import re
 from struct import pack
 
-import ahocorasick
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from plumbline.llm import automaton
 from plumbline.llm.texts import read_public_file, with_kernel
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The published pattern that cuts a text into pieces before merging (a fixed value).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Code points that the regex package takes for letters or numbers (Unicode 17) and the tokenizers library for neither (fixed values).
+NEWER = """
+558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE
+11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 16FF4-16FF6 187F8-187FF
+18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF
+1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+""".split()
+_NEWER_CLASS = "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in NEWER)
+_HAS_NEWER = re.compile(f"[{_NEWER_CLASS}]").search
+_LETTER, _NUMBER = rf"[\p{{L}}--[{_NEWER_CLASS}]]", rf"[\p{{N}}--[{_NEWER_CLASS}]]"
+#: The same pattern for texts with such code points.
+OLDER_PIECES = rf"""'s|'t|'re|'ve|'m|'ll|'d| ?{_LETTER}+| ?{_NUMBER}+| ?(?:[^\s\p{{L}}\p{{N}}]|[{_NEWER_CLASS}])+|\s+(?!\S)|\s+"""
 #: Pieces, and chunks between single spaces, that a Python worker remembers, twice over.
 REMEMBERED_PIECES, REMEMBERED_CHUNKS = 250_000, 100_000
 #: Compatible pairs of tokens that are remembered.
 REMEMBERED_PAIRS = 300_000
+#: Steps of the automaton that are remembered.
+REMEMBERED_STEPS = 300_000
 LONGEST_REMEMBERED = 48
 #: Where this finds nothing, every space stands alone between two visible characters or at an end of
 #: the text, and so starts a piece: the text may be cut there.
@@ -51,7 +65,7 @@ def byte_letters() -> dict[str, int]:
 class Vocabulary:
     """A byte-level BPE vocabulary file of the tokenizers library."""
 
-    def __init__(self, content: bytes) -> None:
+    def __init__(self, content: bytes, built: automaton.SuffixAutomaton | None = None) -> None:
         read = json.loads(content)
         letters = byte_letters()
         spelled = read["model"]["vocab"]
@@ -69,12 +83,8 @@ class Vocabulary:
         self._right_rim: dict[int, list[tuple[int, int]]] = {}
         self._fits: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
-        self.automaton = ahocorasick.Automaton()
-        for i in spelled.values():
-            raw = self.bytes_of[i]
-            if self.whole(i):
-                self.automaton.add_word(raw.decode("latin-1"), (i, len(raw)))
-        self.automaton.make_automaton()
+        self.automaton = built or automaton.build({self.bytes_of[i]: i for i in spelled.values() if self.whole(i)})
+        self._steps: dict[int, tuple[int, int, tuple[tuple[int, int], ...]]] = {}
 
     def _rim(self, token: int, side: int) -> list[tuple[int, int]]:
         """The parts on one rim of a token, each with the number of the rule that swallows it."""
@@ -115,27 +125,49 @@ class Vocabulary:
             self._whole[token] = part is None or (self.whole(part[0]) and self.whole(part[1]) and self.fits(part[0], part[1], part[2]))
         return self._whole[token]
 
+    def _step(self, state: int, byte: int) -> tuple[int, int, tuple[tuple[int, int], ...]]:
+        """The next state, how long a suffix it holds if not one byte more than before (else -1), and the entries that may end there."""
+        own = self.automaton
+        at, short = state, -1
+        edge = own.labels.find(byte, own.first[at], own.first[at + 1])
+        while edge < 0 and at:
+            at = own.link[at]
+            short = own.longest[at] + 1
+            edge = own.labels.find(byte, own.first[at], own.first[at + 1])
+        out = (0, 0, ()) if edge < 0 else (own.target[edge], short, own.words_of(own.target[edge]))
+        if len(self._steps) > REMEMBERED_STEPS:
+            self._steps.clear()
+        self._steps[state << 8 | byte] = out
+        return out
+
     def encode_piece(self, piece: bytes) -> list[int]:
         n = len(piece)
         last = [-1] * (n + 1)
         last[0] = -2
         size = [0] * (n + 1)
-        fits, known = self.fits, self._fits
-        for end, (token, length) in self.automaton.iter(piece.decode("latin-1")):
-            end += 1
-            if last[end] != -1:
-                continue
-            before = last[end - length]
-            if before >= 0:
-                good = known.get((before, token))
-                if good is None:
-                    good = fits(before, token)
-                if not good:
+        fits, known, steps = self.fits, self._fits, self._steps
+        state = held = 0
+        for end, byte in enumerate(piece, 1):
+            step = steps.get(state << 8 | byte)
+            if step is None:
+                step = self._step(state, byte)
+            state, short, entries = step
+            held = held + 1 if short < 0 else short
+            for token, length in entries:
+                if length > held:
+                    continue
+                before = last[end - length]
+                if before >= 0:
+                    good = known.get((before, token))
+                    if good is None:
+                        good = fits(before, token)
+                    if not good:
+                        continue
+                elif before == -1:
                     continue
-            elif before == -1:
-                continue
-            last[end] = token
-            size[end] = length
+                last[end] = token
+                size[end] = length
+                break
         if n and last[n] < 0:
             raise ValueError(f"the vocabulary has no encoding for {piece!r}")
         out = []
@@ -168,9 +200,10 @@ class _Memory(dict):
 class Codec:
     """Encodes and decodes whole texts."""
 
-    def __init__(self, content: bytes) -> None:
-        self.vocabulary = Vocabulary(content)
+    def __init__(self, content: bytes, built: automaton.SuffixAutomaton | None = None) -> None:
+        self.vocabulary = Vocabulary(content, built)
         self.find = regex.compile(PIECES).findall
+        self.find_older = regex.compile(OLDER_PIECES, regex.V1).findall
         self.pieces = _Memory(self._piece, REMEMBERED_PIECES)
         self.chunks = _Memory(self._pieces_of, REMEMBERED_CHUNKS)
         special = self.vocabulary.special
@@ -192,7 +225,10 @@ class Codec:
         return pack(f"<{len(ids)}I", *ids)
 
     def _pieces_of(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+        return b"".join(map(self.pieces.__getitem__, self.cut_pieces(text)))
+
+    def cut_pieces(self, text: str) -> list[str]:
+        return self.find(text) if text.isascii() or not _HAS_NEWER(text) else self.find_older(text)
 
     def _plain(self, text: str) -> bytes:
         if _CROWDED(text):
@@ -208,12 +244,12 @@ class Codec:
 _CODEC: dict[int, Codec] = {}
 
 
-def codec(content: bytes) -> Codec:
-    """One codec for each Python worker and vocabulary."""
+def codec(content: bytes, built: automaton.SuffixAutomaton | None = None) -> Codec:
+    """One codec for each Python process and vocabulary."""
     key = hash(content)
     if key not in _CODEC:
         _CODEC.clear()
-        _CODEC[key] = Codec(content)
+        _CODEC[key] = Codec(content, built)
     return _CODEC[key]
 
 
@@ -222,8 +258,8 @@ ENCODED = T.StructType(
 )
 
 
-def _encode_decode(content: bytes):
-    own = codec(content)
+def _encode_decode(payload: tuple[bytes, automaton.SuffixAutomaton]):
+    own = codec(*payload)
 
     def kernel(texts: list[str | None]) -> list:
         ids = [own.encode(t) for t in texts]
@@ -235,9 +271,10 @@ def _encode_decode(content: bytes):
 def encode_and_decode(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """For each row: the columns `keep`, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded.
 
-    vocabulary: path of a byte-level BPE file of the tokenizers library, read on the driver and broadcast
-    (its size is fixed).  A null or empty text has no tokens and decodes to ''.  Texts are encoded whole,
+    vocabulary: path of a byte-level BPE file of the tokenizers library, read on the driver and broadcast with the suffix
+    automaton of its entries, which is built there (their sizes are fixed).  A null or empty text has no tokens and decodes to ''.  Texts are encoded whole,
     at any length; repeated rows give repeated results, an empty table an empty one, and columns that
     aren't named in `keep` are ignored, whatever their names.
     """
-    return with_kernel(docs, keep, text, ENCODED, _encode_decode, read_public_file(vocabulary, VOCABULARY))
+    content = read_public_file(vocabulary, VOCABULARY)
+    return with_kernel(docs, keep, text, ENCODED, _encode_decode, (content, codec(content).vocabulary.automaton))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from held_out_lines import held_out
 
-from plumbline.llm import bpe, components, decontaminate, line_dedup, lm, near, pii, pii_field, quality, rules, secrets, token_counts
+from plumbline.llm import automaton, bpe, components, decontaminate, line_dedup, lm, near, pii, pii_field, quality, rules, secrets, token_counts
 from plumbline.llm.texts import read_public_file
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -482,6 +482,53 @@ def test_ids_equal_the_library(spark, odd, documents):
     assert bpe.encode_and_decode(odd.limit(0), ["doc_id"]).count() == 0
 
 
+def test_pieces_of_every_code_point_equal_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    cutter = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).pre_tokenizer
+    own = bpe.Codec(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 4000):
+        text = "".join(f"a{c}1{c}! {c}{c}'s\n" for c in points[k : k + 4000])
+        place, ends = 0, []
+        for piece in own.cut_pieces(text):
+            place += len(piece)
+            ends.append(place)
+        assert ends == [b for _, (_, b) in cutter.pre_tokenize_str(text)], k
+
+
+def test_texts_with_newer_letters_equal_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = bpe.Codec(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read())
+    rng = random.Random(2)
+    bits = [chr(int(r.split("-")[0], 16)) for r in bpe.NEWER] + ["a", " ", "1", "'s", "!", "\n", "é", "\u168c"]
+    for _ in range(3000):
+        x = "".join(rng.choice(bits) for _ in range(rng.randint(1, 12)))
+        assert np.frombuffer(own.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+def test_suffix_automaton_finds_every_word():
+    rng = random.Random(9)
+    for _ in range(60):
+        made = {bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 25))}
+        own = automaton.build({w: i for i, w in enumerate(sorted(made))})
+        text, state, held = bytes(rng.choice(b"abcd") for _ in range(40)), 0, 0
+        for end in range(1, 41):
+            while True:
+                edge = own.labels.find(text[end - 1], own.first[state], own.first[state + 1])
+                if edge >= 0 or not state:
+                    break
+                state = own.link[state]
+                held = own.longest[state]
+            state, held = (own.target[edge], held + 1) if edge >= 0 else (0, 0)
+            got = {n for _, n in own.words_of(state) if n <= held}
+            assert got == {len(w) for w in made if text[:end].endswith(w)}
+
+
 def test_memory_keeps_what_is_asked_for():
     made = []
     m = bpe._Memory(lambda k: made.append(k) or k.encode(), 3)
