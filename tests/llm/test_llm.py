@@ -295,9 +295,10 @@ def near_copies(n_groups=6, n_copies=12, seed=2):
     return rows + [(i + k, t) for k, t in enumerate(["", "one", "one", "one two three four", " \n"])]
 
 
-@pytest.mark.parametrize("block", [1000, 5])
-def test_near_copies_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,node", [(1000, 2000), (5, 4)])
+def test_near_copies_equal_brute_force(spark, monkeypatch, block, node):
     monkeypatch.setattr(near, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(near, "NODE_TEXTS", node)
     rows = near_copies()
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: (r["class_id"], r["text_class_id"], r["n_links"]) for r in near.near_duplicates(df).collect()}
@@ -305,19 +306,43 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, block):
     assert any(v[2] for v in want.values()) and got == want
 
 
-def test_prefix_reaches_the_target():
-    n = near.prefix_length()
-    assert 1 - (1 - 0.8**n) ** near.TREES >= near.TARGET_RECALL > 1 - (1 - 0.8 ** (n + 1)) ** near.TREES
-    assert near.prefix_length(target=0.0) == near.DEPTH and near.prefix_length(target=1.0) == 1
+def test_depth_leaves_the_target_recall():
+    assert near.depth_for(0) == near.DEPTH and near.depth_for(near.TREES) < near.DEPTH
+    for heavy in range(1, near.TREES + 1):
+        d = near.depth_for(heavy)
+        missed = (1 - 0.8**near.LEAST) ** (near.TREES - heavy) * (1 - 0.8**d) ** heavy
+        assert near.LEAST < d and missed <= 1 - near.TARGET_RECALL
 
 
 def test_common_counts_in_strips(monkeypatch):
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 400, 150).astype(np.uint64)) for _ in range(9)]
-    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets[4:]] for a in sets[:4]]
     for strip in (2048, 7):
         monkeypatch.setattr(near, "STRIP", strip)
-        assert near.common_counts(sets).tolist() == want
+        assert near.common_counts(sets[:4], sets[4:]).tolist() == want
+    assert near.common_counts(sets[:2], []).shape == (2, 0)
+
+
+def test_half_alike_texts_in_large_nodes(spark, monkeypatch):
+    """Texts that share half of a template fill nodes; splitting and chunks find the similar ones among them all the same."""
+    monkeypatch.setattr(near, "NODE_TEXTS", 20)
+    template, rows = passage(7, 60), []
+    for i in range(160):
+        own = passage(5000 + i // 4, 30)
+        rows.append((i, f"{template} {own} tail{i % 4}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["text_class_id"], r["n_links"]) for r in near.near_duplicates(df).collect()}
+    want = plain_near(rows)
+    assert {v[2] for v in want.values()} == {3} and got == want
+
+
+def test_near_copies_without_ids(spark):
+    rows = near_copies(2, 3)[:6]
+    df = spark.createDataFrame([(None, t) for _, t in rows], "doc_id long, text string")
+    assert near.keep_one(df).count() == len({v[0] for v in plain_near(rows).values()})
+    some = spark.createDataFrame([(None, rows[0][1]), (7, rows[0][1]), (None, rows[0][1] + " x"), (None, None), (None, "")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in near.keep_one(some).collect()) == [(0, ""), (0, ""), (7, rows[0][1])]
 
 
 def test_near_edges(spark, odd):
