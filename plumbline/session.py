@@ -55,7 +55,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the session names; one of our own only where none is set, as in tests."""
+    """The shared checkpoint folder that the session names.  One of our own only for a local master, where one machine is all there is."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if named:
@@ -63,6 +63,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
     return context.getCheckpointDir()
 
