@@ -86,7 +86,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60,
 def training_sample(docs: DataFrame, labels: DataFrame, train: Column) -> tuple[list[tuple[str, int]], dict[int, int]]:
     """Whole texts with their labels, within the sample's bounds, and how many labelled ids each class has.
 
-    The ids come in the order of their hash.  Ids with labels that contradict each other aren't used.
+    The ids come in the order of their hash, so a rerun has the same sample.  Ids with labels that contradict each other aren't
+    used.  Of several texts of one id the shortest is used, so that a hot id stays within the bounds.
     """
     rows = labels.where(train & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     rows = rows.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q_max")).where("q = q_max").select("doc_id", "q")
@@ -96,19 +97,20 @@ def training_sample(docs: DataFrame, labels: DataFrame, train: Column) -> tuple[
     if not ids:
         return [], counts
     chosen = spark.createDataFrame([(r["doc_id"], r["q"]) for r in ids], "doc_id long, q int")
-    named = docs.select(F.col("doc_id"), F.col("text"))
-    with_length = named.join(F.broadcast(chosen), "doc_id").select("doc_id", "q", F.length("text").alias("n"))
-    lengths = sorted((r["q"], i, r["doc_id"], r["n"] or 0) for i, r in enumerate(with_length.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE_ROWS).collect()))
+    named = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    size = F.struct(F.length("text").alias("n"), F.xxhash64("text").alias("h"))
+    sizes = named.join(F.broadcast(chosen), "doc_id").select("doc_id", "q", size.alias("size")).groupBy("doc_id", "q").agg(F.min("size").alias("size"))
     used, spent = [], {0: 0, 1: 0}
-    for q, _, doc_id, n in lengths:
-        if spent[q] + n <= SAMPLE_CHARS:
-            spent[q] += n
-            used.append((doc_id, q))
+    for r in sizes.orderBy("q", F.xxhash64("doc_id"), "doc_id").collect():
+        if spent[r["q"]] + r["size"]["n"] <= SAMPLE_CHARS:
+            spent[r["q"]] += r["size"]["n"]
+            used.append((r["doc_id"], r["q"], r["size"]["n"], r["size"]["h"]))
     if not used:
         return [], counts
-    kept = spark.createDataFrame(used, "doc_id long, q int").dropDuplicates(["doc_id"])
-    got = named.join(F.broadcast(kept), "doc_id").limit(2 * SAMPLE_ROWS).collect()
-    return [(r["text"] or "", r["q"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["text"] or ""))], counts
+    kept = spark.createDataFrame(used, "doc_id long, q int, n int, h long")
+    same = (named["doc_id"] == kept["doc_id"]) & (F.length(named["text"]) == kept["n"]) & (F.xxhash64(named["text"]) == kept["h"])
+    got = named.join(F.broadcast(kept), same).select(kept["doc_id"], "q", "text").dropDuplicates(["doc_id"]).collect()
+    return [(r["text"], r["q"]) for r in sorted(got, key=lambda r: r["doc_id"])], counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column) -> tuple[bytes, bytes, list[float]]:
@@ -116,7 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> tuple[bytes, bytes
 
     Every other sampled text goes into its class's dictionary, the rest into the calibration, where each
     class weighs as much as all its labelled ids.  With fewer than two classes every score is the share
-    of label 1 (0.5 without labels).
+    of label 1 (0.5 without labels).  A null id has no label, a null text counts as empty, repeated labels count once; empty
+    tables give a model that scores 0.5; columns but doc_id, text and quality are ignored, whatever their names.
     """
     sample, counts = training_sample(docs, labels, train)
     halves: dict[tuple[int, int], list[str]] = {(q, h): [] for q in (0, 1) for h in (0, 1)}
@@ -149,6 +152,7 @@ def _scorer(model):
 def score(docs: DataFrame, model: tuple[bytes, bytes, list[float]], text: str = "text") -> Column:
     """The score of each whole text, 0 to 1, higher where label 1 is likelier; a null text counts as empty.
 
+    Equal texts have equal scores; an empty table has none; only the text is looked at.
     The model (two dictionaries of at most DICTIONARY_BYTES and four numbers) is broadcast.
     """
     return kernel_column(docs.sparkSession, docs[text], SCORE, _scorer, model)["score"]
