@@ -7,8 +7,8 @@ edited copies score less than 1 but far more than chance.  Before that, a window
 threshold is left out: a score is never more than the share of the item's words that the window has.  Short items
 are told from chance by no part of them: they are sought as runs of all their words, without seeds.
 
-The benchmark is handled in blocks of bounded size, each of which is broadcast; all documents meet every
-block.  Nothing comes back to the driver.
+The benchmark is handled in blocks of bounded size, one after the other: each is broadcast, all documents meet it, and what they
+keep or match is written before the next one is read.  Nothing of the documents comes back to the driver.
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.session import ship
+from plumbline.session import cut, ship
 from plumbline.llm.bytewords import Batch, shingles
 from plumbline.llm.texts import free_name, kernel_column
 
@@ -256,14 +257,9 @@ def _blocks(benchmark: DataFrame):
             yield block
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", name: str = "matches") -> DataFrame:
-    """docs and an array of its matches with items (see FOUND), empty where there is none."""
-    ship(docs.sparkSession)
-    found = [F.array().cast(FOUND)]
-    field = T.StructType([T.StructField("found", FOUND)])
-    for block in _blocks(benchmark):
-        found.append(kernel_column(docs.sparkSession, docs[text], field, _matcher, block)["found"])
-    return docs.withColumn(name, F.concat(*found[1:]) if len(found) > 1 else found[0])
+def _matched(docs: DataFrame, block: Block, text: str) -> Column:
+    """A column with the array of the matches (see FOUND) with a block's items."""
+    return kernel_column(docs.sparkSession, docs[text], T.StructType([T.StructField("found", FOUND)]), _matcher, block)["found"]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -275,12 +271,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     whose id repeats is sought in each form.  Repeated rows give repeated matches; an empty table gives no
     rows; other columns are ignored, whatever their names.
     """
+    ship(docs.sparkSession)
     own = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    made = with_matches(own, benchmark).select("doc_id", F.explode("matches").alias("m"))
+    parts, blocks = [], _blocks(benchmark)
+    block = next(blocks, None)
+    while block is not None:
+        part = own.select("doc_id", F.explode(_matched(own, block, "text")).alias("m"))
+        block = next(blocks, None)
+        parts.append(cut(part) if parts or block is not None else part)
+    if not parts:
+        parts = [own.select("doc_id", F.explode(F.array().cast(FOUND)).alias("m"))]
+    made = reduce(DataFrame.union, parts)
     return made.select("doc_id", "m.item_id", F.round("m.score", 6).alias("score"), "m.n_seeds", "m.first_word", "m.end_word")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that match no item."""
-    name = free_name(docs, "matches")
-    return with_matches(docs, benchmark, text, name).where(F.size(name) == 0).select(*docs.columns)
+    """The documents that match no item; documents without text, and all where the benchmark is empty, stay."""
+    ship(docs.sparkSession)
+    blocks = _blocks(benchmark)
+    block, first = next(blocks, None), True
+    while block is not None:
+        name = free_name(docs, "matches")
+        docs = docs.withColumn(name, _matched(docs, block, text)).where(F.size(name) == 0).drop(name)
+        block = next(blocks, None)
+        docs, first = (docs if first and block is None else cut(docs)), False
+    return docs
