@@ -16,12 +16,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.session import cut
 from plumbline.llm.bpe import PIECES
 from plumbline.llm.texts import free_name, read_public_file, with_kernel
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Lengths that one block of the suffix sums holds.
-BLOCK = 1024
 #: The library's pattern engine overflows its stack on longer runs of white space.
 _LONG_SPACE = re.compile(r"[\s\x85]{2000}").search
 
@@ -67,13 +66,14 @@ def length_histogram(lengths: DataFrame, by: list[str] | None = None) -> DataFra
     total_tokens, truncated_tokens (sum of min(length, L) over all), share_below (documents of length
     <= L over all: L is the quantile of that order).  An empty table gives no rows.
 
-    Rows are combined before the shuffle.  The sums run inside blocks of BLOCK lengths and over
-    the blocks' totals, so no task sees more than a block, or one row for each block.
+    Rows are combined before the shuffle, and written before they are summed, so that no text is encoded twice.  The sums run
+    inside blocks of lengths with the same whole square root, and over the blocks' totals: for lengths up to n no task sees
+    more than about 2 * sqrt(n) rows for each value of `by`.
     """
     by = list(by or [])
     block, later_docs, later_tokens = (free_name(lengths, x) for x in ("block_", "later_docs", "later_tokens"))
-    rows = lengths.groupBy(*by, "n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
-    rows = rows.withColumn(block, F.floor(F.col("n_tokens") / BLOCK))
+    rows = cut(lengths.groupBy(*by, "n_tokens").agg(F.count(F.lit(1)).alias("n_docs")))
+    rows = rows.withColumn(block, F.floor(F.sqrt("n_tokens")))
     blocks = rows.groupBy(*by, block).agg(
         F.sum("n_docs").alias("block_docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("block_tokens")
     )
