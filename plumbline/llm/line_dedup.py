@@ -23,8 +23,10 @@ from plumbline.session import cut
 from plumbline.llm.near import row_key
 from plumbline.llm.texts import free_name
 
-#: A line of fewer characters is never removed.
+#: Lines of fewer characters have no near copies; their exact copies go all the same.
 MIN_CHARS = 24
+#: A line is hot if more than this share of all lines equal it; so there are at most its inverse of them.
+HOT_SHARE, HOT_ROWS = 0.001, 1000
 #: Rows of candidate lines up to which they are broadcast to the documents (some 8 MB); beyond, both are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -40,7 +42,7 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         F.coalesce(docs[doc_id].cast("long"), F.lit(LAST)).alias("d"),
         F.posexplode(F.split(F.coalesce(docs[text], F.lit("")), "\n", -1)).alias("no", "line"),
     )
-    return rows.select("row", F.struct("d", "row", "no").alias("at"), "line").where(F.char_length("line") >= MIN_CHARS)
+    return rows.select("row", F.struct("d", "row", "no").alias("at"), "line").where(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != "")
 
 
 def _hashes() -> list[Column]:
@@ -120,28 +122,37 @@ def _near(docs: DataFrame, distinct: DataFrame, doc_id: str, text: str) -> DataF
     return dropped.union(more).distinct()
 
 
-def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_edits: int = 1) -> DataFrame:
+def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_edits: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
     """(row, removed): for each row (see near.row_key) that loses lines, their numbers from 0, in order.
 
     A line goes if an equal line, or one within max_edits (0 or 1), stands earlier in the corpus: in a document
     of lesser id, or earlier in the same one.  The earlier line counts whether or not it stays itself.
-    Lines of fewer than MIN_CHARS characters stay.  Equality is that of two hashes, 96 bits.
+    Lines without a visible character stay; those of fewer than min_chars go for equal lines only.  Equality is that of
+    two hashes, 96 bits.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
     lines = _lines(docs, doc_id, text)
-    halves = [F.first(_halves()).alias("halves")] if max_edits else []
+    halves = [F.first(F.when(F.char_length("line") >= min_chars, _halves())).alias("halves")] if max_edits else []
     distinct = cut(lines.groupBy(*_hashes()).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"), *halves))
-    again = distinct.where("n > 1").select("h1", "h2", "at")
-    instances = lines.select("row", F.col("at").alias("here"), *_hashes())
+    again = distinct.where("n > 1").select("h1", "h2", "at", "n", F.lit(False).alias("near"))
     if max_edits:
-        near = _near(docs, distinct, doc_id, text)
-        again = again.withColumn("near", F.lit(False)).union(near.select("h1", "h2", F.lit(None).alias("at"), F.lit(True).alias("near")))
-        again = again.groupBy("h1", "h2").agg(F.max("at").alias("at"), F.max("near").alias("near"))
-        goes = F.col("near") | (F.col("here") > F.col("at"))
-    else:
-        goes = F.col("here") > F.col("at")
-    gone = instances.join(again, ["h1", "h2"]).where(goes)
+        near = _near(docs, distinct.where("halves is not null"), doc_id, text)
+        again = again.union(near.select("h1", "h2", F.lit(None).alias("at"), F.lit(1).alias("n"), F.lit(True).alias("near")))
+        again = again.groupBy("h1", "h2").agg(F.max("at").alias("at"), F.max("n").alias("n"), F.max("near").alias("near"))
+    again = cut(again)
+    # The rows of a hot line are many and its key is one: such lines are few, and every row meets them where it is.  The
+    # other rows are dealt by their line, the hot ones by their document.
+    most = max(HOT_ROWS, int(HOT_SHARE * (distinct.agg(F.sum("n")).first()[0] or 0)))
+    hot = again.where(F.col("n") > most).select("h1", "h2", F.struct("at", "near").alias("hot"))
+    found = again.where(F.col("n") <= most).select(F.col("h1").alias("k1"), F.col("h2").cast("long").alias("k2"), F.struct("at", "near").alias("found"))
+    instances = lines.select("row", F.col("at").alias("here"), *_hashes()).join(F.broadcast(hot), ["h1", "h2"], "left")
+    is_hot = F.col("hot").isNotNull()
+    instances = instances.select(
+        "row", "here", "hot", F.when(is_hot, F.col("row.k1")).otherwise(F.col("h1")).alias("k1"), F.when(is_hot, F.col("row.k2")).otherwise(F.col("h2").cast("long")).alias("k2")
+    )
+    held = F.when(is_hot, F.col("hot")).otherwise(F.col("found"))
+    gone = instances.join(found, ["k1", "k2"], "left").withColumn("held", held).where(F.col("held.near") | (F.col("here") > F.col("held.at")))
     return gone.groupBy("row").agg(F.array_sort(F.collect_set("here.no")).alias("removed"))
 
 
@@ -157,23 +168,23 @@ def without(lines: Column, removed: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), n), piece))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_edits: int = 1) -> DataFrame:
-    """docs with the text after line dedup, then n_lines and n_removed.
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_edits: int = 1, min_chars: int = MIN_CHARS, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with the text after line dedup, then how many lines it had and lost, in two columns called as `counts` says.
 
     A null text stays null and has no lines; an empty one has one, which stays.  Repeated rows are one
     document with one result.  A document may be left without text ('').  Columns of docs that are
-    called n_lines or n_removed are replaced; an empty table gives no rows.
+    called as `counts` says are replaced; an empty table gives no rows.
     """
     row, gone = free_name(docs, "row"), free_name(docs, "removed")
-    found = removed_lines(docs, doc_id, text, max_edits).toDF(row, gone)
+    found = removed_lines(docs, doc_id, text, max_edits, min_chars).toDF(row, gone)
     joined = docs.withColumn(row, row_key(docs, doc_id, text)).join(found, row, "left")
     lines = F.split(F.col(text), "\n", -1)
-    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    columns = [c for c in docs.columns if c.lower() not in counts]
     kept = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(without(lines, F.col(gone)), "\n"))
     return joined.select(
         *[kept.alias(c) if c == text else F.col(c) for c in columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size(F.col(gone)), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(counts[0]),
+        F.coalesce(F.size(F.col(gone)), F.lit(0)).cast("long").alias(counts[1]),
     )
 
 
@@ -182,10 +193,10 @@ WITH l AS (
     SELECT doc_id, unnest(range(len(ls))) AS no, unnest(ls) AS line
     FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
 ), d AS (
-    SELECT line, min(struct_pack(d := doc_id, n := no)) AS first FROM l WHERE length(line) >= {MIN_CHARS} GROUP BY line
+    SELECT line, min(struct_pack(d := doc_id, n := no)) AS first FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY line
 ), h AS (
     SELECT line, first, m, side, CASE side WHEN 0 THEN left(line, m // 2) ELSE right(line, m - m // 2) END AS half
-    FROM d, (VALUES (0), (1)) s(side), LATERAL (SELECT unnest([length(line), length(line) - 1]) AS m)
+    FROM d, (VALUES (0), (1)) s(side), LATERAL (SELECT unnest([length(line), length(line) - 1]) AS m) WHERE length(line) >= {MIN_CHARS}
 ), near AS (
     SELECT DISTINCT b.line FROM h a JOIN h b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND a.first < b.first
     WHERE abs(length(a.line) - length(b.line)) <= 1 AND levenshtein(a.line, b.line) <= 1
