@@ -36,6 +36,8 @@ SYMBOLS = 255
 WORD, GRAM = 0, 1
 #: The key of the end token among the words.
 END_KEY = 0
+#: Equal rows are hot if they are more than this share of all; so there are at most its inverse of such rows.
+HOT_SHARE, HOT_ROWS = 0.001, 1000
 #: Distinct keys that a task gathers before it passes them on.
 HELD_KEYS = 2_000_000
 
@@ -211,6 +213,7 @@ def _score_chunk(key: tuple, docs: pa.Table, model: pa.Table) -> pa.Table:
             out["score"] += np.add.reduceat(gram_p[grams.find(code)], first[:-1]).tolist()
     return pa.table(
         {
+            "key": docs["key"].combine_chunks().cast(pa.struct([("k1", pa.int64()), ("k2", pa.int64())])),
             "doc_id": docs["doc_id"].combine_chunks(),
             "held_out": docs["held_out"].combine_chunks(),
             "n_tokens": pa.array(out["n_tokens"], pa.int64()),
@@ -283,11 +286,23 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", doc_id: str = "do
     words = words.select("kind", "key", "n", F.log10((F.col("n") + 1) / (F.col("train_tokens") + F.col("types") + 1)).alias("log10_p"))
     grams = gram_log_probabilities(counts.where(F.col("kind") == GRAM))
     model = words.union(grams.select(F.lit(GRAM).cast("byte").alias("kind"), "key", "n", "log10_p"))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text"), F.xxhash64("text")), F.lit(chunks)))
+    # Equal rows have one key and would fill one chunk.  Where they are many, one of them is scored for all.
+    keyed = rows.withColumn("key", F.struct(F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2")))
+    copies = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out")).where(F.col("copies") > HOT_ROWS)
+    hot = cut(copies.where(F.col("copies") > HOT_SHARE * rows.count()))
+    if hot.isEmpty():
+        dealt, hot = keyed, None
+    else:
+        few = F.broadcast(hot.select("key"))
+        dealt = keyed.join(few, "key", "left_anti").unionByName(keyed.join(few, "key", "left_semi").dropDuplicates(["key"]))
+    dealt = dealt.withColumn("chunk", F.pmod(F.col("key.k1"), F.lit(chunks)))
     asked = dealt.groupBy("chunk").applyInArrow(_chunk_keys, "chunk long, kind byte, key long")
     answers = asked.join(model, ["kind", "key"]).select("chunk", "kind", "key", "n", "log10_p")
     scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _score_chunk, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+        _score_chunk, "key struct<k1:long,k2:long>, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
+    if hot is not None:
+        times = F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1))))
+        scored = scored.join(F.broadcast(hot.select("key", "copies")), "key", "left").select(*scored.columns, times.alias("copy"))
     out = scored.crossJoin(F.broadcast(totals.select("train_tokens")))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -178,6 +179,35 @@ def test_quality_on_held_out_labels(spark, data, documents):
     assert all(0 <= s <= 1 for s, _ in test)
 
 
+def test_the_compressed_sizes_carry_the_score():
+    table = "/root/testdata/sf0.1/{}.parquet"
+    if not os.path.exists(table.format("labels")):
+        pytest.skip("needs the larger tables")
+    import pyarrow.parquet as pq
+
+    texts = dict(zip(*[c.to_pylist() for c in pq.read_table(table.format("documents"), columns=["doc_id", "text"]).columns], strict=True))
+    labels = [(i, q) for i, q in zip(*[c.to_pylist() for c in pq.read_table(table.format("labels"), columns=["doc_id", "quality"]).columns], strict=True) if i in texts]
+    train = [(i, q) for i, q in labels if zlib.crc32(str(i).encode()) % 5]
+    halves = {(q, h): [texts[i] for k, (i, y) in enumerate(train) if y == q and k % 2 == h] for q in (0, 1) for h in (0, 1)}
+    sizes = quality._Sizes(quality._dictionary(halves[1, 0]), quality._dictionary(halves[0, 0]))
+    x, y = (np.array(v) for v in zip(*[(sizes.features(texts[i]), q) for i, q in train], strict=True))
+    held, truth = (np.array(v) for v in zip(*[(sizes.features(texts[i]), q) for i, q in labels if zlib.crc32(str(i).encode()) % 5 == 0], strict=True))
+
+    def area(columns):
+        score = held[:, columns] @ quality._logistic(x[:, columns], y, np.ones(len(y)))
+        return np.mean(score[truth == 1][:, None] > score[truth == 0][None, :])
+
+    assert area([0, 1, 2, 3]) > 0.98 and area([0, 1]) > 0.98 and area([0, 2, 3]) < area([0, 1]) - 0.05
+
+
+def test_a_hot_id_stays_within_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_CHARS", 1000)
+    docs = spark.createDataFrame([(1, "x" * n) for n in (900, 800, 100)] * 20 + [(2, "y" * 950), (3, None), (4, "z" * 2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "doc_id long, quality int")
+    got = quality.training_sample(docs, labels, F.lit(True))[0]
+    assert sorted((len(t), q) for t, q in got) == [(0, 1), (100, 1), (950, 0)] and got == quality.training_sample(docs, labels, F.lit(True))[0]
+
+
 def test_quality_edges(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = quality.fit(odd, none, F.lit(True))
@@ -209,19 +239,19 @@ def plain_lines(rows, least=line_dedup.MIN_CHARS):
     for i, t in sorted(rows):
         kept = []
         for line in t.split("\n"):
-            if len(line) >= least and any(close(line, s) for s in seen):
-                seen.append(line)
-                continue
-            if len(line) >= least:
+            near = [s for s in seen if s == line or min(len(s), len(line)) >= least and close(line, s)]
+            if words(line):
                 seen.append(line)
-            kept.append(line)
+            if not words(line) or not near:
+                kept.append(line)
         out[i] = "\n".join(kept)
     return out
 
 
-@pytest.mark.parametrize("broadcast", [200_000, 0])
-def test_lines_equal_brute_force(spark, monkeypatch, broadcast):
+@pytest.mark.parametrize("broadcast,hot", [(200_000, 1000), (0, 3)])
+def test_lines_equal_brute_force(spark, monkeypatch, broadcast, hot):
     monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", hot)
     rng = random.Random(5)
     bases = [passage(s, 6) for s in range(8)] + ["a" * 30, "ab" * 15, "é\U0001f600" * 14]
 
@@ -231,7 +261,7 @@ def test_lines_equal_brute_force(spark, monkeypatch, broadcast):
 
     rows = []
     for i in range(40):
-        lines = [edited(edited(rng.choice(bases))) for _ in range(rng.randint(0, 5))] + rng.choice([[], ["short"], [""]])
+        lines = [edited(edited(rng.choice(bases))) for _ in range(rng.randint(0, 5))] + rng.choice([[], ["short"], [""], [" \t"], ["}"]])
         rows.append((i, "\n".join(lines)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
@@ -411,6 +441,16 @@ def test_short_items_are_found_whole(spark):
     assert sorted(r["doc_id"] for r in decontaminate.without_leaks(docs, bench).collect()) == [1, 3, 5, 6, 7]
 
 
+def test_matches_by_blocks(spark, monkeypatch):
+    items = [(i, passage(600 + i, 30)) for i in range(6)]
+    rows = [(d, passage(2000 + d, 40) + " " + items[d % 6][1]) for d in range(9)] + [(20, passage(9, 50)), (21, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.find_leaks(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 200)
+    assert sorted(map(tuple, decontaminate.find_leaks(docs, bench).collect())) == whole and len(whole) == 9
+    assert sorted(r["doc_id"] for r in decontaminate.without_leaks(docs, bench).collect()) == [20, 21]
+
+
 @pytest.mark.parametrize("size", [1_000_000, 7])
 def test_matches_in_parts(monkeypatch, size):
     for name in ("PASS_HITS", "PASS_WORDS"):
@@ -477,12 +517,23 @@ def test_distance(spark):
 @pytest.mark.parametrize("broadcast", [10_000, 3])
 def test_each_language_has_its_reference(spark, monkeypatch, broadcast):
     monkeypatch.setattr(rules, "BROADCAST_LANGUAGES", broadcast, raising=False)
-    rows = [(i, passage(i, 30 + i % 7) + "9" * (2 * i), f"l{i:03}", "s", 9) for i in range(230)] + [(230, passage(3, 120), None, "s", 9)]
+    rows = [(i, passage(i, 60 + i % 7) + "9" * (2 * i), f"l{i:03}", "s", 9) for i in range(230)] + [(230, passage(3, 120), None, "s", 9)]
     got = {r["doc_id"]: r["class_distance"] for r in rules.judge(spark.createDataFrame(rows, SCHEMA), ["doc_id"]).collect()}
     alone = {i for i, t, *_ in rows[:230] if len(t) >= rules.MIN_CHARS}
     assert max(alone) > 220 and {i for i, d in got.items() if d == 0} == alone and got[230] > 0
 
 
+def test_a_language_learns_its_common_words(spark):
+    junk = "buy now " * 200
+    rows = [(i, "zum zum und " + passage(i, 60), "xx", "s", 9) for i in range(40)] + [(100 + i, junk, "xx", "s", 9) for i in range(15)]
+    rows += [(200, "unlike all of the others " + " ".join(f"w{k}" for k in range(150)), "xx", "s", 9), (201, "zum und " * 3 + passage(77, 120), "xx", "s", 9), (202, None, "yy", "s", 9)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    lists = {r["list_language_"]: r["list_"] for r in rules.common_words(df).collect()}
+    assert lists["xx"][:2] == ["und", "zum"] and len(lists["xx"]) == rules.COMMON_WORDS and set(lists) == {"xx"}
+    got = {r["doc_id"]: r for r in rules.judge(df, ["doc_id"]).collect()}
+    assert got[200]["common_distance"] > got[201]["common_distance"] and got[100]["base_failed"] and got[202]["class_distance"] is None
+
+
 # --- 8 ---------------------------------------------------------------------------------------------
 
 
@@ -705,6 +756,15 @@ def test_scores_equal_a_plain_model(spark, odd):
     assert lm.score_texts(small.limit(0), held).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_many_equal_rows_are_scored_once(spark, monkeypatch, hot):
+    monkeypatch.setattr(lm, "HOT_ROWS", hot)
+    rows = [(None, "same text")] * 30 + [(None, None)] * 5 + [(i, passage(i, 10)) for i in range(6)] + [(7, "x"), (7, "x")]
+    got = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), quality.remainder(F.col("doc_id"), 7) == 2).collect()
+    assert len(got) == len(rows) and Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
+    assert sorted(Counter(round(r["score"], 9) for r in got if r["doc_id"] is None).values()) == [5, 30]
+
+
 def test_lookup_finds_all_and_nothing_else():
     keys = np.unique(np.random.default_rng(0).integers(0, 2**63, 5000, dtype=np.uint64))
     rng = np.random.default_rng(1)
