@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from plumbline.llm.pii_field import ENTITIES, STATES, Field, core, tokens, train, viterbi
+from plumbline.llm.pii_field import ENTITIES, STATES, Field, core, decode, tokens, train, viterbi, words_of
 from plumbline.llm.spans import Span, digest, spelled, without_overlaps
 from plumbline.llm.texts import with_kernel
 
@@ -66,6 +66,9 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+_BEGINS = np.array([s[0] == "B" for s in STATES])
+
+
 def plausible(kind: str, found: str) -> bool:
     """What an entity's text must have, whatever the field says."""
     digits = [c for c in found if "0" <= c <= "9"]
@@ -82,38 +85,23 @@ def plausible(kind: str, found: str) -> bool:
     return True
 
 
-def entity_spans(text: str, words: list[tuple[str, int, int]], states: np.ndarray, offset: int = 0) -> list[Span]:
-    """The spans of a line's states; offset: where the line starts in the text."""
-    out = []
-    for k in np.flatnonzero([STATES[s][0] == "B" for s in states]).tolist() if states.any() else []:
+def field_spans(field: Field, texts: list[str]) -> list[list[Span]]:
+    """What the field finds in each text; all lines are decoded together."""
+    whole = "\n".join(texts)
+    found = words_of(whole)
+    states = decode(field, found)
+    first = np.cumsum([0] + [len(t) + 1 for t in texts])
+    out: list[list[Span]] = [[] for _ in texts]
+    for k in np.flatnonzero(_BEGINS[states]).tolist():
         kind, last = STATES[states[k]][2:], k
         inside = STATES.index("I-" + kind)
-        while last + 1 < len(words) and states[last + 1] == inside:
+        while last + 1 < len(states) and states[last + 1] == inside and not found.opens[last + 1]:
             last += 1
-        start = words[k][1] + core(words[k][0])[0]
-        end = words[last][1] + core(words[last][0])[1]
-        if plausible(kind, text[start:end]):
-            out.append((f"crf_{kind.lower()}", offset + start, offset + end))
-    return out
-
-
-def field_spans(field: Field, texts: list[str]) -> list[list[Span]]:
-    """What the field finds in each text; lines are decoded together."""
-    owner, at, lines, shown = [], [], [], []
-    for i, t in enumerate(texts):
-        start = 0
-        for line in t.split("\n"):
-            words = tokens(line)
-            if words:
-                owner.append(i)
-                at.append(start)
-                lines.append(line)
-                shown.append(words)
-            start += len(line) + 1
-    out: list[list[Span]] = [[] for _ in texts]
-    for i, start, line, words, states in zip(owner, at, lines, shown, viterbi(field, shown), strict=True):
-        if states.any():
-            out[i] += entity_spans(line, words, states, start)
+        start = int(found.start[k]) + core(found.words[k])[0]
+        end = int(found.start[last]) + core(found.words[last])[1]
+        if plausible(kind, whole[start:end]):
+            i = int(np.searchsorted(first, start, side="right")) - 1
+            out[i].append((f"crf_{kind.lower()}", start - int(first[i]), end - int(first[i])))
     return out
 
 

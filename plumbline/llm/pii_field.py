@@ -12,6 +12,7 @@ stands before and after (`certain`), and there the line is cut.  So what is foun
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -53,8 +54,8 @@ _RUNS = re.compile(r"a+|A+")
 _DIGIT_RUNS = re.compile(r"9{6,}")
 _HEX_COLONS = re.compile(r"[0-9a-fA-F]{0,4}(:[0-9a-fA-F]{0,4}){2,7}")
 _SPELLED_AT = re.compile(r"[\w.+-]+[(\[]at[)\]][\w.-]+")
-#: Longer words are not remembered.
-LONGEST_REMEMBERED, REMEMBERED = 64, 60_000
+#: Longer words are not remembered, and so many others at most.
+LONGEST_REMEMBERED, REMEMBERED = 40, 150_000
 PLAIN, EDGE = ("plain",), ("edge",)
 #: What may stand between a word and the one before: bits of a number.
 STARTS, COMMA, SIGN, SAME = 1, 2, 4, 8
@@ -82,6 +83,8 @@ def core(word: str) -> tuple[int, int]:
 
 def features(word: str) -> tuple[str, ...]:
     """A word's own features.  Plain small-letter words have just one."""
+    if word not in CLASS_OF and word.islower() and word.isalpha() and not word.endswith(_STREET):
+        return PLAIN
     low = word.lower()
     known = CLASS_OF.get(low) or CLASS_OF.get(low.rstrip(".,:;!?"))
     if known:
@@ -136,6 +139,52 @@ def tokens(line: str) -> list[tuple[str, int, int]]:
     return out
 
 
+_SEPARATES = np.zeros(128, dtype=bool)
+_SEPARATES[[ord(c) for c in " \t\n\x0b\x0c\r\"=,;<>{}|"]] = True
+_SPACE = np.zeros(128, dtype=bool)
+_SPACE[[ord(c) for c in " \t\n\x0b\x0c\r"]] = True
+_STOPS = np.zeros(128, dtype=bool)
+_STOPS[[ord(c) for c in ".!?"]] = True
+
+
+@dataclass
+class Words:
+    """The words of several lines laid end to end: their text, start, end, what stands before each (bits), and which open and close a line."""
+
+    words: list[str]
+    start: np.ndarray
+    end: np.ndarray
+    between: np.ndarray
+    opens: np.ndarray
+    closes: np.ndarray
+
+
+def words_of(text: str) -> Words:
+    """The same as `tokens` of every line, in a few numpy passes over the text."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    low = np.minimum(code, 127)
+    held = np.concatenate(([False], ~(_SEPARATES[low] & (code < 128)), [False]))
+    edge = np.flatnonzero(held[1:] != held[:-1])
+    start, end = edge[::2], edge[1::2]
+    words = [text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    lines = np.flatnonzero(code == 10) + 1
+    line = np.searchsorted(lines, start, side="right")
+    opens, closes = np.ones(len(start), dtype=bool), np.ones(len(start), dtype=bool)
+    opens[1:] = closes[:-1] = line[1:] != line[:-1]
+    line_start = np.concatenate(([0], lines))[line]
+    gap = np.concatenate(([0], end[:-1])) if len(end) else end
+    gap = np.maximum(gap, line_start)
+    commas = np.concatenate(([0], np.cumsum(code == 44)))
+    signs = np.concatenate(([0], np.cumsum(~held[1:-1] & ~_SPACE[low] & (code != 44))))
+    between = np.where(opens, STARTS, 0)
+    if len(start) > 1:
+        between[1:] |= np.where(_STOPS[low[end[:-1] - 1]] & (code[end[:-1] - 1] < 128), STARTS, 0)
+        same = np.fromiter((a == b for a, b in zip(words[1:], words[:-1], strict=True)), dtype=bool, count=len(words) - 1)
+        between[1:] |= np.where(same & ~opens[1:], SAME, 0)
+    between |= np.where(commas[start] > commas[gap], COMMA, 0) | np.where(signs[start] > signs[gap], SIGN, 0)
+    return Words(words, start, end, between, opens, closes)
+
+
 def read_labelled(lines: list[str]) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Each line's text, and its entities: kind, start, end."""
     out = []
@@ -187,9 +236,12 @@ class Field:
     def __init__(self, index: dict[tuple[int, str], int], weights: np.ndarray, between: np.ndarray, moves: np.ndarray) -> None:
         self.index, self.weights, self.between, self.moves = index, weights, between, moves
         self.rows: dict[str, int] = {}
-        self.table = np.zeros((0, 3, len(STATES)))
+        self.row_of: dict[tuple[str, ...], int] = {}
+        self.emitted: list[np.ndarray] = []
         self.edge = self._emit(EDGE)
         self.plain = self._emit(PLAIN)
+        self.row_of[PLAIN] = 0
+        self.emitted.append(self.plain)
         self.cut_at = self.certain()
 
     def _emit(self, own: tuple[str, ...]) -> np.ndarray:
@@ -201,27 +253,26 @@ class Field:
         return out
 
     def rows_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's row in the table, and the table; words are remembered up to a bound."""
-        if len(self.rows) > REMEMBERED:
-            self.rows, self.table = {}, self.table[:0]
+        """Each word's row in the table of what its features emit, and the table (row 0: a plain word's)."""
         known = self.rows
-        new: dict[str, int] = {}
-        more = []
+        if len(known) > REMEMBERED:
+            known.clear()
+        if len(self.emitted) > REMEMBERED // 10:
+            known.clear()
+            self.row_of, self.emitted = {PLAIN: 0}, [self.plain]
         out = []
         for w in words:
             r = known.get(w)
             if r is None:
-                r = new.get(w)
+                own = features(w)
+                r = self.row_of.get(own)
                 if r is None:
-                    r = new[w] = len(self.table) + len(more)
-                    own = features(w)
-                    more.append(self.plain if own is PLAIN else self._emit(own))
+                    r = self.row_of[own] = len(self.emitted)
+                    self.emitted.append(self._emit(own))
+                if len(w) <= LONGEST_REMEMBERED:
+                    known[w] = r
             out.append(r)
-        table = np.concatenate((self.table, np.array(more))) if more else self.table
-        if all(len(w) <= LONGEST_REMEMBERED for w in new):
-            self.rows.update(new)
-            self.table = table
-        return np.array(out, dtype=np.int64), table
+        return np.array(out, dtype=np.int64), np.array(self.emitted)
 
     def certain(self, most: int = 24) -> int:
         """How many plain words on either side make the outside state the only best one for a plain word; 0 if not even `most` do."""
@@ -306,32 +357,39 @@ def train(lines: list[str] = LABELLED, steps: int = 120, rate: float = 0.15, pen
     return _trained(tuple(lines), steps, rate, penalty)
 
 
-def viterbi(field: Field, lines: list[list[tuple[str, int, int]]], cut: bool = True) -> list[np.ndarray]:
-    """The best states of each line's words.  cut=False walks through plain runs as well, with the same result."""
-    sizes = np.array([len(x) for x in lines], dtype=np.int64)
-    n = int(sizes.sum())
-    first = np.cumsum(sizes) - sizes
+def decode(field: Field, found: Words, cut: bool = True) -> np.ndarray:
+    """The best states of the words, line by line.  cut=False walks through plain runs as well, with the same result."""
+    n = len(found.words)
     state = np.zeros(n, dtype=np.int64)
     if n:
-        row, table = field.rows_of([w for x in lines for w, _, _ in x])
-        between = np.array([b for x in lines for _, _, b in x], dtype=np.int64)
-        begins, ends = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
-        begins[first[sizes > 0]] = True
-        ends[(first + sizes - 1)[sizes > 0]] = True
-        e = table[row, 1] + field.between[between]
-        e[1:] += np.where(begins[1:, None], field.edge[0], table[row[:-1], 0])
+        row, table = field.rows_of(found.words)
+        e = table[row, 1] + field.between[found.between]
+        e[1:] += np.where(found.opens[1:, None], field.edge[0], table[row[:-1], 0])
         e[0] += field.edge[0]
-        e[:-1] += np.where(ends[:-1, None], field.edge[2], table[row[1:], 2])
+        e[:-1] += np.where(found.closes[:-1, None], field.edge[2], table[row[1:], 2])
         e[-1] += field.edge[2]
-        dead = _dead(field, table, row, between, begins, ends) if cut and field.cut_at else np.zeros(n, dtype=bool)
-        _walk(field, e, dead, begins, ends, state)
+        dead = _dead(field, row, found) if cut and field.cut_at else np.zeros(n, dtype=bool)
+        _walk(field, e, dead, found.opens, found.closes, state)
+    return state
+
+
+def viterbi(field: Field, lines: list[list[tuple[str, int, int]]], cut: bool = True) -> list[np.ndarray]:
+    """The best states of each line's words, as `tokens` gives them."""
+    sizes = np.array([len(x) for x in lines], dtype=np.int64)
+    first = np.cumsum(sizes) - sizes
+    opens, closes = np.zeros(int(sizes.sum()), dtype=bool), np.zeros(int(sizes.sum()), dtype=bool)
+    opens[first[sizes > 0]] = True
+    closes[(first + sizes - 1)[sizes > 0]] = True
+    start = np.array([a for x in lines for _, a, _ in x], dtype=np.int64)
+    between = np.array([b for x in lines for _, _, b in x], dtype=np.int64)
+    state = decode(field, Words([w for x in lines for w, _, _ in x], start, start, between, opens, closes), cut)
     return np.split(state, np.cumsum(sizes)[:-1]) if len(lines) else []
 
 
-def _dead(field, table, row, between, begins, ends) -> np.ndarray:
+def _dead(field: Field, row: np.ndarray, found: Words) -> np.ndarray:
     """Words that `certain` says are outside: plain ones with enough plain ones before and after."""
-    plain = (table == field.plain).all(axis=(1, 2))[row]
-    inner = plain & (between == 0) & ~begins & ~ends
+    plain = row == 0
+    inner = plain & (found.between == 0) & ~found.opens & ~found.closes
     inner[1:] &= plain[:-1]
     inner[:-1] &= plain[1:]
     place = np.arange(len(inner))
@@ -358,13 +416,15 @@ def _walk(field, e, dead, begins, ends, state) -> None:
     final = np.where(ends[b - 1][:, None], 0.0, field.moves[:, OUT][None])
     back = np.zeros((n, k), dtype=np.int8)
     best = start + e[a]
-    moves = field.moves.T[None]
+    moves = np.ascontiguousarray(field.moves.T)[None]
+    offset = np.arange(len(a) * k) * k
     going = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), side="right")
     for t in range(1, int(length[0])):
         m = int(going[t])
         options = best[:m, None, :] + moves
-        back[a[:m] + t] = options.argmax(axis=2)
-        best[:m] = options.max(axis=2) + e[a[:m] + t]
+        here = options.argmax(axis=2)
+        back[a[:m] + t] = here
+        best[:m] = options.reshape(-1)[offset[: m * k] + here.reshape(-1)].reshape(m, k) + e[a[:m] + t]
     now = (best + final).argmax(axis=1)
     for t in range(int(length[0]) - 1, -1, -1):
         m = int(going[t])

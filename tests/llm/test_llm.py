@@ -657,6 +657,19 @@ def test_cut_lines_decode_as_whole_lines(documents):
         assert a.tolist() == b.tolist()
 
 
+def test_words_of_a_text_equal_those_of_its_lines():
+    rng = random.Random(3)
+    bits = ["a", "Bc", ".", ", ", " ", "  ", "\n", '"', "=", "é", "\U0001f600", "Bc", "!", "\t,", "|", "12", "\r\n"]
+    for _ in range(1500):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))
+        got, at, want = pii.words_of(t), 0, []
+        for line in t.split("\n"):
+            own = pii.tokens(line)
+            want += [(w, at + a, b, k == 0, k == len(own) - 1) for k, (w, a, b) in enumerate(own)]
+            at += len(line) + 1
+        assert list(zip(got.words, got.start.tolist(), got.between.tolist(), got.opens.tolist(), got.closes.tolist(), strict=True)) == want, t
+
+
 def test_the_field_looks_into_long_words_and_over_gaps():
     field = pii.train()
     for t in ("data " + "x" * 90 + "=" + "y" * 90 + ";ssn 321-54-9876;" + "z" * 90, "call (404)" + " " * 40 + "555-0102 now", "mail " + "a" * 80 + "(at)example.com please"):
