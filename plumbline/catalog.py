@@ -245,8 +245,11 @@ def latency_stats(spark: SparkSession, d: str) -> DataFrame:
     SELECT count(*) AS n, max(abs(x - y)) AS a, avg(abs(x - y)) AS b, max(abs(x - y) / greatest(abs(x), 1e-8)) AS c, bool_and(abs(x - y) <= 1e-2 + 1e-3 * abs(y)) AS all_close
     FROM (SELECT o_totalprice AS x, o_totalprice * (1 + (o_orderkey % 7) / 10000.0::DOUBLE) AS y FROM orders))""")
 def output_equivalence(spark: SparkSession, d: str) -> DataFrame:
-    pairs = table(spark, d, "orders").select(F.col("o_totalprice").alias("x"), (F.col("o_totalprice") * (1 + (F.col("o_orderkey") % 7) / 10000.0)).alias("y"))
-    return rounded(ev.equivalence(pairs, "x", "y"))
+    """Two backends' outputs, each a table of its own, joined by key."""
+    orders = table(spark, d, "orders")
+    one = orders.select("o_orderkey", F.col("o_totalprice").alias("x"))
+    other = orders.select("o_orderkey", (F.col("o_totalprice") * (1 + (F.col("o_orderkey") % 7) / 10000.0)).alias("y"))
+    return rounded(ev.equivalence(one.join(other, "o_orderkey"), "x", "y"))
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
@@ -327,8 +330,9 @@ def image_max_score(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT label, i - 1 AS feature, round(avg(v), 6) AS mean FROM (
     SELECT label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY 1, 2""")
 def patch_mean(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("feature", "v"))
-    return rows.groupBy("label", "feature").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
+    some = table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("label").cast("int").alias("patch_idx"), "embedding")
+    means = vectors.fit_gaussians(some).select(F.col("patch_idx").alias("label"), F.posexplode("mean").alias("feature", "mean"))
+    return rounded(means)
 
 
 MOMENTS_SQL = """SELECT label, avg(x) AS mx, avg(y) AS my, coalesce(var_samp(x), 0) + 0.01 AS vxx, coalesce(var_samp(y), 0) + 0.01 AS vyy, coalesce(covar_samp(x, y), 0) AS vxy

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import fixed
+from plumbline.session import cut
 
 CONDITIONS = ("clean", "blur", "rotated")
 
@@ -23,6 +24,7 @@ def _cumulated(counts: DataFrame, buckets: int = 64) -> DataFrame:
     Running sums in two steps: inside ranges of scores, and over the ranges' totals; so no task holds all
     scores.  The ranges' bounds are approximate quantiles, which decide the balance only.
     """
+    counts = cut(counts)
     bounds = [b for b in counts.agg(F.percentile_approx("s", [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []]
     place = F.lit(0)
     for b in sorted(set(bounds)):
@@ -77,8 +79,20 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 
 def p99_threshold(scores: DataFrame, score: str = "score", q: float = 0.99) -> DataFrame:
-    """The exact percentile, interpolated."""
-    return scores.agg(F.percentile(F.col(score), F.lit(q)).alias("threshold"))
+    """The exact percentile, interpolated; null without scores.
+
+    The two values around the rank are found by running counts inside ranges of scores, so no buffer holds all of them.
+    """
+    counts = scores.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("pos"))
+    rows = _cumulated(counts.withColumn("neg", F.lit(0).cast("long")))
+    below = F.col("all_pos") - F.col("pos_above")
+    place = F.lit(q) * (F.col("all_pos") - 1)
+
+    def at(rank):
+        return F.max(F.when((below <= rank) & (rank < below + F.col("pos")), F.col("s")))
+
+    found = rows.agg(at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high"), F.max(place - F.floor(place)).alias("part"))
+    return found.select(F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((1 - F.col("part")) * F.col("low") + F.col("part") * F.col("high")).alias("threshold"))
 
 
 def latency_stats(df: DataFrame, ms: str, by: list[str] | None = None) -> DataFrame:

@@ -197,14 +197,16 @@ def widths(gray: np.ndarray) -> np.ndarray:
 
 
 def thread_rows(v: np.ndarray, margin: float = HEAD_MARGIN) -> tuple[int, int]:
-    """The rows without the head's margin; see signal.thread_region."""
-    seen = np.flatnonzero(v)
-    if not len(seen):
+    """The rows that signal.thread_region gives: the margin comes off the end that the widest row is nearer to."""
+    rows = np.flatnonzero(v)
+    if not rows.size:
         raise MeasurementError("width profile has no foreground")
-    a, b = int(seen[0]), int(seen[-1]) + 1
-    head, cut = a + int(v[a:b].argmax()), round((b - a) * margin)
-    start, end = (min(a + cut, b - 1), b) if head <= (a + b) / 2 else (a, max(b - cut, a + 1))
-    return (a, b) if end - start < max(10, int(0.2 * (b - a))) else (start, end)
+    first, stop, widest = int(rows[0]), int(rows[-1]) + 1, int(np.argmax(v))
+    length = stop - first
+    off = min(round(length * margin), length - 1)
+    if length - off < max(10, int(0.2 * length)):
+        return first, stop
+    return (first + off, stop) if widest - first <= stop - widest else (first, stop - off)
 
 
 def measure(gray: np.ndarray, estimator: str = "peak", margin: float = HEAD_MARGIN) -> dict:

@@ -22,14 +22,16 @@ def sample_frames(frames: DataFrame, asked: Column | None = None, target_per_sec
 def worst_case(verdicts: DataFrame, key: str = "video_id") -> DataFrame:
     """For each video: frames, GO and NO_GO frames, the union of failed checks in order, and NO_GO if there are any.
 
-    Check names are few, so collect_set holds a few strings for each video however many frames it has.
+    One aggregation, so what comes before it runs once.  Sets of check names are few, so collect_set holds a few arrays for each
+    video however many frames it has.
     """
-    each = F.explode_outer("failed_checks")
-    counts = verdicts.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_frames"), F.count_if(F.size("failed_checks") == 0).alias("n_go"), F.count_if(F.size("failed_checks") > 0).alias("n_no_go")
+    checks = F.array_compact(F.flatten(F.collect_set("failed_checks")))
+    out = verdicts.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_frames"),
+        F.count_if(F.size("failed_checks") == 0).alias("n_go"),
+        F.count_if(F.size("failed_checks") > 0).alias("n_no_go"),
+        F.array_sort(F.array_distinct(checks)).alias("failed_checks"),
     )
-    checks = verdicts.select(key, each.alias("check")).groupBy(key).agg(F.array_sort(F.collect_set("check")).alias("failed_checks"))
-    out = counts.join(checks, key)
     return out.withColumn("verdict", F.when(F.size("failed_checks") > 0, "NO_GO").otherwise("GO"))
 
 
