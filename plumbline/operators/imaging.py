@@ -12,9 +12,11 @@ import numpy as np
 
 from plumbline.operators.signal import ESTIMATORS, HEAD_MARGIN
 
-#: The 5 x 5 elliptic structuring element and the 5-tap smoothing kernel.
+#: The 5 x 5 elliptic structuring element, the smoothing kernels of 5 and 7 taps, and the parts of a pixel that turning tells apart.
 ELLIPSE_5 = np.array([[0, 0, 1, 0, 0], [1, 1, 1, 1, 1], [1, 1, 1, 1, 1], [1, 1, 1, 1, 1], [0, 0, 1, 0, 0]], dtype=bool)
 SMOOTH_5 = np.array([1, 4, 6, 4, 1]) / 16.0
+SMOOTH_7 = np.array([2, 7, 14, 18, 14, 7, 2]) / 64.0
+PIXEL_PARTS = 32
 
 
 class MeasurementError(RuntimeError):
@@ -22,9 +24,9 @@ class MeasurementError(RuntimeError):
 
 
 def gaussian_kernel(size: int) -> np.ndarray:
-    """Taps of a Gaussian whose width follows its size; the five-tap one is the fixed kernel."""
-    if size == 5:
-        return SMOOTH_5
+    """Taps of a Gaussian whose width follows its size; those of five and seven taps are the fixed kernels."""
+    if size in (5, 7):
+        return SMOOTH_5 if size == 5 else SMOOTH_7
     sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
     x = np.arange(size) - size // 2
     k = np.exp(-(x**2) / (2 * sigma**2))
@@ -32,12 +34,12 @@ def gaussian_kernel(size: int) -> np.ndarray:
 
 
 def smooth(image: np.ndarray, size: int = 5) -> np.ndarray:
-    """Separable Gaussian blur with mirrored borders (the edge itself isn't repeated)."""
+    """Separable Gaussian blur with mirrored borders (the edge itself isn't repeated); halves are rounded up."""
     taps, r = gaussian_kernel(size), size // 2
     x = np.pad(image.astype(float), r, mode="reflect")
     x = sum(t * x[i : i + image.shape[0]] for i, t in enumerate(taps))
     x = sum(t * x[:, i : i + image.shape[1]] for i, t in enumerate(taps))
-    return np.clip(np.rint(x), 0, 255).astype(np.uint8)
+    return np.clip(np.floor(x + 0.5), 0, 255).astype(np.uint8)
 
 
 def otsu(gray: np.ndarray) -> int:
@@ -146,12 +148,15 @@ class Axis:
 
 
 def principal_axis(mask: np.ndarray) -> Axis:
+    """The long axis; of its two directions the one from -45 to 135 degrees, so a part that stands is not turned upside down."""
     ys, xs = np.nonzero(mask)
     if len(xs) < 10:
         raise MeasurementError("too few foreground pixels to estimate axis")
     cx, cy = xs.mean(), ys.mean()
     dx, dy = xs - cx, ys - cy
     angle = 0.5 * math.atan2(2 * (dx * dy).mean(), (dx * dx).mean() - (dy * dy).mean())
+    if angle < -math.pi / 4:
+        angle += math.pi
     along = dx * math.cos(angle) + dy * math.sin(angle)
     return Axis(float(cx), float(cy), math.degrees(angle), float(np.ptp(along)))
 
@@ -159,6 +164,7 @@ def principal_axis(mask: np.ndarray) -> Axis:
 def rotate(image: np.ndarray, centre: tuple[float, float], degrees: float, size: tuple[int, int] | None = None) -> np.ndarray:
     """The image turned about a point (counter-clockwise as seen), bilinear, black outside.
 
+    Where a pixel comes from is told to 1/32 of a pixel, so an edge that falls between two pixels counts for both in some rows.
     size: height and width to keep; otherwise the canvas grows to hold all of it.
     """
     h, w = image.shape
@@ -173,6 +179,7 @@ def rotate(image: np.ndarray, centre: tuple[float, float], degrees: float, size:
     back = np.linalg.inv(ahead[:, :2])
     ys, xs = np.mgrid[0 : size[0], 0 : size[1]]
     at = np.tensordot(back, np.stack((xs - ahead[0, 2], ys - ahead[1, 2])), axes=1)
+    at = np.floor(at * PIXEL_PARTS + 0.5) / PIXEL_PARTS
     x0, y0 = np.floor(at[0]).astype(int), np.floor(at[1]).astype(int)
     fx, fy = at[0] - x0, at[1] - y0
     framed = np.pad(image.astype(float), 1)
@@ -182,7 +189,7 @@ def rotate(image: np.ndarray, centre: tuple[float, float], degrees: float, size:
 
     top = pick(y0, x0) * (1 - fx) + pick(y0, x0 + 1) * fx
     bottom = pick(y0 + 1, x0) * (1 - fx) + pick(y0 + 1, x0 + 1) * fx
-    return np.clip(np.rint(top * (1 - fy) + bottom * fy), 0, 255).astype(np.uint8)
+    return np.clip(np.floor(top * (1 - fy) + bottom * fy + 0.5), 0, 255).astype(np.uint8)
 
 
 def derotate(mask: np.ndarray, axis: Axis) -> np.ndarray:

@@ -104,6 +104,30 @@ def test_image_and_video_inspection(spark):
     assert worst.first()["verdict"] == "NO_GO" and "measurement failed" in verdicts.first()["frame_note"]
 
 
+#: Published mean errors in mm by condition: diameter, pitch by spectrum, pitch by peaks, and how many of three have the last.
+PUBLISHED = {"clean": (0.05, 0.0014, 0.0, 3), "blur": (0.0333, 0.0005, 0.0, 3), "rotated": (0.1, 0.008, 0.0, 1)}
+
+
+def test_sweep_is_within_twice_the_published_errors(spark):
+    records = validation_records(spark, ["M3", "M6", "M10"], list(PUBLISHED)).collect()
+    for condition, (diameter, spectrum, peaks, n_peaks) in PUBLISHED.items():
+        own = {e: [r for r in records if r["condition"] == condition and r["estimator"] == e] for e in ("fft", "peak")}
+        found = [r["pitch_abs_error"] for r in own["peak"] if r["pitch_abs_error"] is not None]
+        assert diameter / 2 <= np.mean([r["diameter_abs_error"] for r in own["fft"]]) <= 2 * diameter
+        assert spectrum / 2 <= np.mean([r["pitch_abs_error"] for r in own["fft"]]) <= 2 * spectrum
+        assert len(found) == n_peaks and max(found) <= peaks + 1e-9
+
+
+def test_axis_of_a_standing_part_points_down():
+    mask = np.zeros((60, 60), dtype=bool)
+    for y in range(5, 55):
+        mask[y, 28 + y // 25 : 34 + y // 25] = True
+    for one in (mask, mask[:, ::-1]):
+        assert abs(imaging.principal_axis(one).angle_deg - 90) < 5
+    assert abs(imaging.principal_axis(mask.T).angle_deg) < 5
+    assert imaging.gaussian_kernel(7).sum() == 1 and imaging.gaussian_kernel(9).sum() == pytest.approx(1)
+
+
 def test_overlay_and_levels(spark):
     levels = imaging.min_max_bytes(np.array([[1.0, 2.0, 3.0]]))
     assert levels.tolist() == [[0, 127, 255]] and imaging.min_max_bytes(np.ones((2, 2))).max() == 0
