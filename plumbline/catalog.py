@@ -7,16 +7,18 @@ line items as error records.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
 from plumbline.operators import evaluation as ev
 from plumbline.operators import fusion, signal, tolerance, vectors, video
-from plumbline.session import table
-from plumbline.sources import manifest
+from plumbline.session import scratch_path, ship, table
+from plumbline.sources import images, manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,6 +112,21 @@ def px_to_mm(spark: SparkSession, d: str) -> DataFrame:
     return rounded(diameters(spark, d))
 
 
+@query("SELECT l_orderkey, l_linenumber, round(px_per_mm, 8) AS px_per_mm, round(12.5 * px_per_mm, 8) AS px FROM (SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS px_per_mm FROM lineitem)")
+def reference_scale(spark: SparkSession, d: str) -> DataFrame:
+    """The scale from an object of known length, and a length in pixels by it."""
+    scale = S.scale_from_reference(F.col("l_extendedprice"), F.col("l_quantity"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scale.alias("px_per_mm"))
+    return rows.select("l_orderkey", "l_linenumber", F.round("px_per_mm", 8).alias("px_per_mm"), F.round(S.mm_to_px(F.lit(12.5), F.col("px_per_mm")), 8).alias("px"))
+
+
+@query(f"SELECT item_id, name, round(CASE WHEN name = 'pitch_mm' THEN NULL ELSE mm END, 6) AS mm FROM ({DIAMETERS_SQL}), (VALUES ('major_diameter_mm'), ('pitch_mm')) n(name)")
+def measured_values(spark: SparkSession, d: str) -> DataFrame:
+    """The map of measured values; there is no pitch here."""
+    values = fusion.measurement_map(F.col("mm"), F.lit(None))
+    return diameters(spark, d).select("item_id", F.explode(values).alias("name", "mm")).withColumn("mm", F.round("mm", 6))
+
+
 @query(f"""SELECT item_id, arg_min(designation, (gap, ordinal)) AS designation FROM (
     SELECT item_id, ordinal, designation, abs(basic_mm - mm) AS gap FROM ({DIAMETERS_SQL}) CROSS JOIN {SIZES_SQL}) GROUP BY item_id""")
 def nearest_designation(spark: SparkSession, d: str) -> DataFrame:
@@ -133,6 +150,15 @@ def lookup_designation(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").withColumn("size", tolerance.size_of(name)).select("p_partkey", "size.designation", "size.pitch_mm", "size.basic_mm")
 
 
+@query(f"SELECT json_object('item_id', item_id, 'matched_designation', designation, 'in_tolerance', inside, 'note', CASE WHEN NOT inside THEN 'mm \"outside\" limits' END)::VARCHAR AS value FROM ({NEAREST_SQL})")
+def json_rows(spark: SparkSession, d: str) -> DataFrame:
+    from plumbline.plans.inspection import as_json
+
+    size = tolerance.nearest_size(F.col("mm"))
+    rows = diameters(spark, d).withColumn("size", size).select("item_id", F.col("size.designation").alias("matched_designation"), tolerance.within(F.col("mm"), F.col("size")).alias("in_tolerance"))
+    return as_json(rows.withColumn("note", F.when(~F.col("in_tolerance"), 'mm "outside" limits')))
+
+
 FUSED_SQL = f"""SELECT s.item_id, score, threshold, mm, designation, inside,
     CASE WHEN score > threshold AND NOT isnan(score) THEN 'anomaly_score' END AS f1, CASE WHEN NOT inside THEN 'major_diameter' END AS f2
     FROM ({SCORES_SQL}) s LEFT JOIN ({NEAREST_SQL}) m ON s.item_id = m.item_id"""
@@ -403,6 +429,76 @@ def heatmap_levels(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(reach, "label").select("vec_id", F.floor((F.col("x") - F.col("a")) / span * 255).cast("int").alias("level"))
 
 
+CELL_SQL = "greatest(0, least({n} - 1, ({at} + 0.5::DOUBLE) * {n} / {size} - 0.5::DOUBLE))"
+
+
+@query(f"""WITH g AS MATERIALIZED (SELECT vec_id // 10 AS image_id, (vec_id % 10) // 5 AS r, vec_id % 5 AS c, min_distance AS m FROM ({NEAR_SQL.replace("q.label <> 0 AND ", "")}))
+    SELECT image_id, (y * 10 + x)::INT AS pixel, round(sum(m * (1 - abs(r - sy)) * (1 - abs(c - sx)))::FLOAT::DOUBLE, 4) AS value FROM (
+        SELECT y, x, {CELL_SQL.format(n=2, at="y", size=4)} AS sy, {CELL_SQL.format(n=5, at="x", size=10)} AS sx FROM range(4) a(y), range(10) b(x)) s
+    JOIN g ON abs(r - sy) < 1 AND abs(c - sx) < 1 GROUP BY image_id, y, x""")
+def heatmap_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The heatmaps of embedding_heatmap, pixel by pixel."""
+    rows = embedding_heatmap(spark, d).select("image_id", F.posexplode("heatmap").alias("pixel", "value"))
+    return rows.withColumn("value", F.round(F.col("value").cast("double"), 4))
+
+
+def grid_patches(spark: SparkSession, d: str) -> DataFrame:
+    """(image_id, patch_idx, embedding): ten vectors in a row are an image's grid of 2 x 5."""
+    return table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("image_id"), (F.col("vec_id") % 10).cast("int").alias("patch_idx"), "embedding")
+
+
+CHOSEN = vectors.choose_features(64, 2)
+GRID_SQL = f"SELECT vec_id // 10 AS image_id, vec_id % 10 AS patch_idx, embedding[{CHOSEN[0] + 1}]::DOUBLE AS x, embedding[{CHOSEN[1] + 1}]::DOUBLE AS y FROM embeddings"
+GRID_MOMENTS_SQL = f"""SELECT patch_idx, avg(x) AS mx, avg(y) AS my, var_samp(x) + 0.01 AS vxx, var_samp(y) + 0.01 AS vyy, covar_samp(x, y) AS vxy
+    FROM ({GRID_SQL}) WHERE image_id % 3 <> 0 GROUP BY patch_idx"""
+GRID_SCORES_SQL = f"""SELECT image_id, max(sqrt(greatest((vyy * (x - mx) * (x - mx) - 2 * vxy * (x - mx) * (y - my) + vxx * (y - my) * (y - my)) / (vxx * vyy - vxy * vxy), 0))) AS score
+    FROM ({GRID_SQL}) g JOIN ({GRID_MOMENTS_SQL}) m USING (patch_idx) GROUP BY image_id"""
+
+
+def grid_model(spark: SparkSession, d: str):
+    """A Gaussian model of two chosen features, fitted on two images of three."""
+    from plumbline.plans import models
+
+    return models.fit_gaussian(grid_patches(spark, d).where("image_id % 3 <> 0"), (2, 5), 2)
+
+
+@query(f"SELECT image_id, round(score, 6) AS score, 2.5::DOUBLE AS threshold, score > 2.5 AS is_anomalous FROM ({GRID_SCORES_SQL})")
+def model_predict(spark: SparkSession, d: str) -> DataFrame:
+    from plumbline.plans import models
+
+    return rounded(models.predict(grid_model(spark, d), grid_patches(spark, d), 2.5))
+
+
+@query(f"""WITH t AS MATERIALIZED (SELECT image_id, score, image_id % 2 AS label FROM ({GRID_SCORES_SQL}) WHERE image_id % 3 = 0),
+    c AS (SELECT count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM t),
+    w AS (SELECT sum(CASE WHEN a.score > b.score THEN 1 WHEN a.score = b.score THEN 0.5 ELSE 0 END)::DOUBLE AS won FROM t a, t b WHERE a.label = 1 AND b.label = 0),
+    j AS (SELECT score, (count(*) FILTER (WHERE label = 1) OVER h)::DOUBLE / (SELECT p FROM c) - (count(*) FILTER (WHERE label = 0) OVER h)::DOUBLE / (SELECT n FROM c) AS j FROM t WINDOW h AS (ORDER BY score DESC)),
+    b AS (SELECT * FROM j ORDER BY j DESC, score DESC LIMIT 1)
+    SELECT round((SELECT quantile_cont(score, 0.99) FROM ({GRID_SCORES_SQL}) WHERE image_id % 3 <> 0), 6) AS threshold, round(won / (p * n), 6) AS auroc, n AS n_normal, p AS n_anomalous,
+        round(CASE WHEN j > 0 THEN score ELSE 'infinity'::DOUBLE END, 6) AS recommended_threshold, round(CASE WHEN j > 0 THEN j ELSE 0 END, 6) AS j FROM c, w, b""")
+def model_train(spark: SparkSession, d: str) -> DataFrame:
+    """Fit, threshold, save, load and evaluate; the model is left in the shared folder."""
+    from plumbline.plans import models
+
+    patches = grid_patches(spark, d)
+    test = patches.where("image_id % 3 = 0")
+    labels = test.select("image_id").distinct().withColumn("label", F.col("image_id") % 2)
+    model, result = models.train(lambda normal: models.fit_gaussian(normal, (2, 5), 2), patches.where("image_id % 3 <> 0"), test, labels, scratch_path(spark, "model"))
+    return rounded(result.withColumn("threshold", F.lit(model.threshold)))
+
+
+@query(f"""SELECT patch_idx, f AS feature, round(CASE WHEN f = 0 THEN mx ELSE my END::FLOAT::DOUBLE, 5) AS mean, round(CASE WHEN f = 0 THEN vyy ELSE vxx END / (vxx * vyy - vxy * vxy), 3) AS own_inverse,
+    round(-vxy / (vxx * vyy - vxy * vxy), 3) AS other_inverse, 2.5::DOUBLE AS threshold FROM ({GRID_MOMENTS_SQL}), range(2) r(f)""")
+def model_binary(spark: SparkSession, d: str) -> DataFrame:
+    """A model in its flat binary form, read again: a row for each position of the grid and feature."""
+    from plumbline.plans import models
+
+    read = models.from_binary(models.to_binary(grid_model(spark, d).with_threshold(2.5)))
+    rows = [(p, f, float(read["mean"][p, f]), float(c[f, f]), float(c[f, 1 - f]), float(read["threshold"])) for p, c in enumerate(read["cov_inv"]) for f in range(2)]
+    made = spark.createDataFrame(rows, "patch_idx long, feature long, mean double, own_inverse double, other_inverse double, threshold double")
+    return made.select("patch_idx", "feature", F.round("mean", 5).alias("mean"), *[F.round(c, 3).alias(c) for c in ("own_inverse", "other_inverse")], "threshold")
+
+
 # --- signals ----------------------------------------------------------------------------------------------
 
 
@@ -490,15 +586,47 @@ def pca_axis(spark: SparkSession, d: str) -> DataFrame:
     return rounded(signal.principal_axis(points), 4)
 
 
-@query()
+def estimates(spark: SparkSession, d: str, estimator: str) -> DataFrame:
+    rows = signal.estimate_pitch(hourly(spark, d), estimator)
+    return rows.select("signal_id", F.round("pitch_px", 6).alias("pitch_px"), F.round("confidence", 6).alias("confidence"), "method", F.array_join("notes", "; ").alias("notes"))
+
+
+#: Of peaks less than three apart (so two apart) the higher stays, of equals the later: along a run of such peaks that rises to its
+#: highest, every second one counted from there; a peak between two runs stays if both of them keep it.
+PEAK_PITCH_SQL = f"""WITH v AS MATERIALIZED ({HOURLY_SQL}), p AS MATERIALIZED (SELECT p.signal_id, p.peak, v.v FROM ({PEAKS_SQL}) p JOIN v ON v.signal_id = p.signal_id AND v.i = p.peak),
+    steps AS (SELECT *, coalesce(peak - lag(peak) OVER w < 3 AND lag(v) OVER w > v, false) AS left_higher, coalesce(lead(peak) OVER w - peak < 3 AND lead(v) OVER w >= v, false) AS right_higher,
+        row_number() OVER w AS n FROM p WINDOW w AS (PARTITION BY signal_id ORDER BY peak)),
+    kept AS MATERIALIZED (SELECT signal_id, peak, v FROM (SELECT *, n - max(n) FILTER (WHERE NOT left_higher) OVER (PARTITION BY signal_id ORDER BY n) AS from_left,
+        min(n) FILTER (WHERE NOT right_higher) OVER (PARTITION BY signal_id ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - n AS from_right FROM steps)
+        WHERE from_left % 2 = 0 AND from_right % 2 = 0),
+    ends AS (SELECT k.signal_id, k.peak, k.v, coalesce(max(v.i) FILTER (WHERE v.i < k.peak AND v.v > k.v), -1) AS a, coalesce(min(v.i) FILTER (WHERE v.i > k.peak AND v.v > k.v), 1 << 30) AS b
+        FROM kept k JOIN v ON v.signal_id = k.signal_id GROUP BY k.signal_id, k.peak, k.v),
+    high AS (SELECT e.signal_id, e.peak FROM ends e JOIN v ON v.signal_id = e.signal_id AND v.i > e.a AND v.i < e.b JOIN (SELECT signal_id, max(v) - min(v) AS reach FROM v GROUP BY signal_id) r ON r.signal_id = e.signal_id
+        GROUP BY e.signal_id, e.peak, e.v, reach HAVING e.v - greatest(min(v.v) FILTER (WHERE v.i <= e.peak), min(v.v) FILTER (WHERE v.i >= e.peak)) >= 0.15::DOUBLE * CASE WHEN reach > 0 THEN reach ELSE 1 END),
+    gaps AS (SELECT t.signal_id, count(h.peak) AS n, quantile_cont(h.gap, 0.5) AS median, avg(h.gap) AS mean, stddev_pop(h.gap) AS deviation FROM (SELECT DISTINCT signal_id FROM v) t
+        LEFT JOIN (SELECT signal_id, peak, (peak - lag(peak) OVER (PARTITION BY signal_id ORDER BY peak))::DOUBLE AS gap FROM high) h ON h.signal_id = t.signal_id GROUP BY t.signal_id)
+    SELECT signal_id, round(CASE WHEN n >= 3 THEN median END, 6) AS pitch_px, round(CASE WHEN n < 3 THEN 0 ELSE greatest(least(1 - deviation / mean, 1), 0) * CASE WHEN n < 5 THEN 0.7::DOUBLE ELSE 1 END END, 6) AS confidence,
+        'peak_spacing' AS method, CASE WHEN n < 3 THEN 'found only ' || n || ' thread-crest peaks; need >= 3' WHEN n < 5 THEN 'only ' || n || ' peaks found; pitch estimate may be unstable' ELSE '' END AS notes FROM gaps"""
+
+
+@query(PEAK_PITCH_SQL)
 def peak_pitch(spark: SparkSession, d: str) -> DataFrame:
-    """Peaks with distance and prominence are chosen in sequence; checked by tests."""
-    return signal.estimate_pitch(hourly(spark, d), "peak")
+    return estimates(spark, d, "peak")
 
 
-@query()
+DETRENDED_SQL = f"""SELECT signal_id, i, n, v - (sum(p) / w) AS x FROM (SELECT a.signal_id, a.i, a.n, a.v, a.w,
+    b.v AS p FROM (SELECT *, greatest(3, (n // 4) | 1) AS w FROM (SELECT *, count(*) OVER (PARTITION BY signal_id) AS n FROM ({HOURLY_SQL}))) a
+    CROSS JOIN LATERAL (SELECT unnest(range(-(a.w // 2), a.w // 2 + 1)) AS o) x
+    JOIN ({HOURLY_SQL}) b ON b.signal_id = a.signal_id AND b.i = greatest(0, least(a.n - 1, a.i + o))) GROUP BY signal_id, i, n, v, w"""
+
+
+@query(f"""WITH t AS MATERIALIZED (SELECT signal_id, i, n, x * (0.5 - 0.5 * cos(2 * pi() * i / (n - 1))) AS x FROM ({DETRENDED_SQL})),
+    bins AS (SELECT signal_id, n, k, sqrt(sum(x * cos(2 * pi() * ((k * i) % n) / n)) ** 2 + sum(x * sin(2 * pi() * ((k * i) % n) / n)) ** 2) AS magnitude
+        FROM t CROSS JOIN LATERAL (SELECT unnest(range(2, n // 2 + 1)) AS k) GROUP BY signal_id, n, k)
+    SELECT signal_id, round(n / arg_min(k, (-magnitude, k)), 6) AS pitch_px, round(greatest(least((max(magnitude) / avg(magnitude) - 1) / 5, 1), 0), 6) AS confidence, 'fft' AS method, '' AS notes
+    FROM bins GROUP BY signal_id, n""")
 def fft_pitch(spark: SparkSession, d: str) -> DataFrame:
-    return signal.estimate_pitch(hourly(spark, d), "fft")
+    return estimates(spark, d, "fft")
 
 
 # --- manifest ------------------------------------------------------------------------------------------------
@@ -562,6 +690,36 @@ def log_timestamp(spark: SparkSession, d: str) -> DataFrame:
 # --- images ----------------------------------------------------------------------------------------------------
 
 
+def drawings(spark: SparkSession, d: str) -> DataFrame:
+    """(image_id, content): a small PNG for each part, its levels made from key and place; every seventh is cut off, every eleventh isn't a PNG."""
+    ship(spark)
+
+    @F.pandas_udf("binary")
+    def drawn(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from plumbline.sources.png import encode
+
+        y, x = np.mgrid[0:4, 0:6]
+        for some in keys:
+            yield some.map(lambda k: b"no image" if k % 11 == 0 else encode(((k * 7 + y * 13 + x * 5) % 256).astype(np.uint8))[: 45 if k % 7 == 0 else None])
+
+    return table(spark, d, "part").select(F.col("p_partkey").alias("image_id"), drawn("p_partkey").alias("content"))
+
+
+PIXELS_SQL = "SELECT p_partkey AS image_id, y, x, (p_partkey * 7 + y * 13 + x * 5) % 256 AS level FROM part, range(4) a(y), range(6) b(x) WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0"
+
+
+@query(f"SELECT image_id, 4::INT AS height, 6::INT AS width, upper(string_agg(printf('%02x', level), '' ORDER BY y, x)) AS levels FROM ({PIXELS_SQL}) GROUP BY image_id")
+def image_decode(spark: SparkSession, d: str) -> DataFrame:
+    """The images that can be read."""
+    return images.readable(images.decode(drawings(spark, d))).select("image_id", "height", "width", F.hex("data").alias("levels"))
+
+
+@query("SELECT p_partkey AS image_id, CASE WHEN p_partkey % 11 = 0 THEN 'not a PNG' ELSE 'broken PNG' END AS error FROM part WHERE p_partkey % 7 = 0 OR p_partkey % 11 = 0")
+def image_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """Those that can't, and why."""
+    return images.quarantined(images.decode(drawings(spark, d))).select("image_id", "error")
+
+
 @query()
 def synthetic_measurement(spark: SparkSession, d: str) -> DataFrame:
     """Drawn threads, measured from their pixels and compared with the truth; checked by tests."""

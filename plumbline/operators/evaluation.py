@@ -49,12 +49,20 @@ def _cumulated(counts: DataFrame, buckets: int = 64) -> DataFrame:
     )
 
 
+def roc(df: DataFrame, score: str, label: str) -> DataFrame:
+    """(s, pos, neg, all_pos, all_neg, pos_above, neg_above): the curve's points, for both evaluations below; the scores are read once."""
+    return _cumulated(score_counts(df, score, label))
+
+
 def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
     """(auroc, n_normal, n_anomalous): the chance that an anomalous row scores higher, ties half.
 
     One class only is an error.
     """
-    rows = _cumulated(score_counts(df, score, label))
+    return auroc_of(roc(df, score, label))
+
+
+def auroc_of(rows: DataFrame) -> DataFrame:
     won = F.sum(F.col("pos") * (F.col("all_neg") - F.col("neg_above")).cast("double") + F.col("pos") * F.col("neg") / 2.0)
     out = rows.agg(won.alias("won"), F.sum("pos").alias("n_anomalous"), F.sum("neg").alias("n_normal"))
     pairs = F.col("n_anomalous").cast("double") * F.col("n_normal")
@@ -67,7 +75,10 @@ def youden(df: DataFrame, score: str, label: str) -> DataFrame:
 
     If no score does better than chance, the threshold is above all scores (infinity) and j is 0.
     """
-    rows = _cumulated(score_counts(df, score, label))
+    return youden_of(roc(df, score, label))
+
+
+def youden_of(rows: DataFrame) -> DataFrame:
     j = F.try_divide(F.col("pos_above"), F.col("all_pos")) - F.try_divide(F.col("neg_above"), F.col("all_neg"))
     best = rows.agg(F.max(F.struct(j.alias("j"), F.col("s").alias("s"))).alias("b"))
     good = F.col("b.j") > 0
@@ -78,30 +89,64 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
     return df.agg(F.count_if(F.col(label) == 0).alias("n_normal"), F.count_if(F.col(label) == 1).alias("n_anomalous"))
 
 
-def p99_threshold(scores: DataFrame, score: str = "score", q: float = 0.99) -> DataFrame:
-    """The exact percentile, interpolated; null without scores.
+def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """(by, q0, q1, ...): exact percentiles of each group, interpolated; nulls don't count, and without groups there is always a row.
 
-    The two values around the rank are found by running counts inside ranges of scores, so no buffer holds all of them.
+    Equal values are counted before the shuffle.  The values around a rank are found by running counts inside ranges of a group's
+    values, so no buffer or task holds all values of a group; the ranges' bounds are approximate and decide the balance only.
     """
-    counts = scores.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("pos"))
-    rows = _cumulated(counts.withColumn("neg", F.lit(0).cast("long")))
-    below = F.col("all_pos") - F.col("pos_above")
-    place = F.lit(q) * (F.col("all_pos") - 1)
+    by = by or []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(counts)
+    bounds = counts.groupBy(*by).agg(F.percentile_approx("s", [i / buckets for i in range(1, buckets)], 1000).alias("bounds"))
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"o.{k}")) for k in by]
+
+    def beside(rows: DataFrame, other: DataFrame, more: list[Column], names: list[str]) -> DataFrame:
+        left, right = rows.alias("c"), other.alias("o")
+        both = left.join(right, [*same, *more]) if same or more else left.crossJoin(F.broadcast(right))
+        return both.select("c.*", *[F.col(f"o.{k}").alias(k) for k in names])
+
+    rows = beside(counts, bounds, [], ["bounds"])
+    rows = rows.withColumn("range_", F.size(F.filter("bounds", lambda b: b < F.col("s")))).drop("bounds")
+    order = Window.partitionBy(*by).orderBy("range_")
+    totals = rows.groupBy(*by, "range_").agg(F.sum("n").alias("m"))
+    totals = totals.select(
+        *by, "range_", F.coalesce(F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"),
+        F.sum("m").over(Window.partitionBy(*by)).alias("all_"),
+    )
+    rows = beside(rows, totals, [F.col("c.range_") == F.col("o.range_")], ["before_", "all_"])
+    upto = F.col("before_") + F.sum("n").over(Window.partitionBy(*by, "range_").orderBy("s"))
+    rows = rows.withColumn("upto", upto).withColumn("below", F.col("upto") - F.col("n"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("below") <= rank) & (rank < F.col("upto")), F.col("s")))
+
+    places = [F.lit(q) * (F.col("all_") - 1) for q in shares]
+    found = rows.groupBy(*by).agg(
+        *[x for i, p in enumerate(places) for x in (at(F.floor(p)).alias(f"low{i}"), at(F.ceil(p)).alias(f"high{i}"), F.max(p - F.floor(p)).alias(f"part{i}"))]
+    )
 
-    def at(rank):
-        return F.max(F.when((below <= rank) & (rank < below + F.col("pos")), F.col("s")))
+    def between(i: int) -> Column:
+        low, high, part = F.col(f"low{i}"), F.col(f"high{i}"), F.col(f"part{i}")
+        return F.when(low == high, low).otherwise((1 - part) * low + part * high).alias(f"q{i}")
 
-    found = rows.agg(at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high"), F.max(place - F.floor(place)).alias("part"))
-    return found.select(F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((1 - F.col("part")) * F.col("low") + F.col("part") * F.col("high")).alias("threshold"))
+    return found.select(*by, *[between(i) for i in range(len(shares))])
+
+
+def p99_threshold(scores: DataFrame, score: str = "score", q: float = 0.99) -> DataFrame:
+    """The exact percentile, interpolated; null without scores."""
+    return percentiles(scores, score, [q]).select(F.col("q0").alias("threshold"))
 
 
 def latency_stats(df: DataFrame, ms: str, by: list[str] | None = None) -> DataFrame:
     """mean, p50, p95 and throughput per second (infinite for a mean that isn't positive)."""
-    out = df.groupBy(*(by or [])).agg(
-        F.avg(ms).alias("mean_ms"), F.percentile(F.col(ms), F.lit(0.5)).alias("p50_ms"), F.percentile(F.col(ms), F.lit(0.95)).alias("p95_ms")
-    )
+    by = by or []
+    means = df.groupBy(*by).agg(F.avg(ms).alias("mean_ms"))
+    exact = percentiles(df, ms, [0.5, 0.95], by).select(*[F.col(k).alias(f"{k}_") for k in by], F.col("q0").alias("p50_ms"), F.col("q1").alias("p95_ms"))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in by]
+    out = means.join(exact, same, "left") if by else means.crossJoin(exact)
     rate = F.when(F.col("mean_ms") > 0, F.try_divide(F.lit(1000.0), F.col("mean_ms"))).otherwise(F.lit(float("inf")))
-    return out.withColumn("throughput", rate)
+    return out.select(*by, "mean_ms", "p50_ms", "p95_ms", rate.alias("throughput"))
 
 
 def equivalence(df: DataFrame, a: str, b: str, atol: float = 1e-2, rtol: float = 1e-3) -> DataFrame:

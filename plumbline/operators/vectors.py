@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import ship
+from plumbline.session import cut, ship
 
 REGULARISATION = 0.01
 #: Images whose vectors of one position are held in one task at a time.
@@ -39,6 +39,13 @@ def _matrix(column: pd.Series | list) -> np.ndarray:
     return np.array([np.asarray(v, dtype=np.float64) for v in column])
 
 
+def _arrow_matrix(vectors: pa.Array) -> np.ndarray:
+    """The same from Arrow lists of one length, without an object for each row."""
+    if vectors.null_count:
+        raise ValueError("a vector is null")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
 # --- per-position Gaussians -------------------------------------------------------------------
 
 
@@ -129,8 +136,9 @@ def mahalanobis_2d(x: Column, y: Column, mean_x: Column, mean_y: Column, vxx: Co
 def nearest_distance(vectors: DataFrame, bank: DataFrame, embedding: str = "embedding", features: str = "features") -> DataFrame:
     """vectors with min_distance: the Euclidean distance to the nearest vector of the bank.
 
-    A bank of at most BANK_BLOCK vectors, the usual coreset, is broadcast whole; a larger one in blocks, by hash,
-    each of which all vectors meet.  An empty bank is an error.
+    A bank of at most BANK_BLOCK vectors, the usual coreset, is broadcast whole.  A larger one is used in blocks of about
+    that size, by a hash of the vector (equal vectors count once), one after the other: each block's result is written
+    before the next one is broadcast, so no plan or driver holds more than one.  An empty bank is an error.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -138,26 +146,35 @@ def nearest_distance(vectors: DataFrame, bank: DataFrame, embedding: str = "embe
     if not size:
         raise ValueError("scoring needs a fitted memory bank")
     blocks = math.ceil(size / BANK_BLOCK)
-    rows = bank.select(F.col(features).alias("f"), F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).alias("b")) if blocks > 1 else bank.select(F.col(features).alias("f"), F.lit(0).alias("b"))
-    least: list[Column] = []
+    held_rows = bank.select(F.col(features).alias("f"))
+    if blocks > 1:
+        held_rows = held_rows.distinct().withColumn("b", F.pmod(F.xxhash64("f"), F.lit(blocks)))
+    out = vectors
     for b in range(blocks):
-        held = spark.sparkContext.broadcast(_matrix([r["f"] for r in rows.where(F.col("b") == b).collect()]))
+        part = held_rows.where(F.col("b") == b) if blocks > 1 else held_rows
+        found = part.collect()
+        if not found:
+            continue
+        held = spark.sparkContext.broadcast(_matrix([r["f"] for r in found]))
 
         @F.arrow_udf("double")
         def distance(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             bank_block = held.value
             norms = (bank_block**2).sum(axis=1)
             for batch in batches:
-                out = []
-                values = batch.to_pylist()
-                for a in range(0, len(values), 1024):
-                    x = _matrix(values[a : a + 1024])
-                    near = ((x**2).sum(axis=1)[:, None] - 2 * x @ bank_block.T + norms).argmin(axis=1)
-                    out.append(np.sqrt(((x - bank_block[near]) ** 2).sum(axis=1)))
-                yield pa.array(np.concatenate(out) if out else np.zeros(0))
-
-        least.append(distance(F.col(embedding)))
-    return vectors.withColumn("min_distance", F.least(*least) if len(least) > 1 else least[0])
+                near = [np.zeros(0)]
+                for a in range(0, len(batch), 1024):
+                    x = _arrow_matrix(batch.slice(a, 1024))
+                    nearest = ((x**2).sum(axis=1)[:, None] - 2 * x @ bank_block.T + norms).argmin(axis=1)
+                    near.append(np.sqrt(((x - bank_block[nearest]) ** 2).sum(axis=1)))
+                yield pa.array(np.concatenate(near))
+
+        own = distance(F.col(embedding))
+        out = out.withColumn("min_distance", F.least("min_distance", own) if out is not vectors else own)
+        if blocks > 1:
+            out = cut(out)
+            held.destroy()
+    return out
 
 
 def image_scores(distances: DataFrame, distance: str = "distance") -> DataFrame:

@@ -102,8 +102,8 @@ def train(fit: Callable[[DataFrame], Model], normal: DataFrame, test: DataFrame,
     threshold = evaluation.p99_threshold(predict(model, normal)).first()["threshold"]
     model = model.with_threshold(threshold)
     save_meta(spark, model, path)
-    scored = predict(model, test).join(labels, "image_id")
-    result = evaluation.auroc(scored, "score", "label").crossJoin(evaluation.youden(scored, "score", "label").withColumnRenamed("threshold", "recommended_threshold"))
+    curve = evaluation.roc(predict(model, test).join(labels, "image_id"), "score", "label")
+    result = evaluation.auroc_of(curve).crossJoin(evaluation.youden_of(curve).withColumnRenamed("threshold", "recommended_threshold"))
     return model, result
 
 

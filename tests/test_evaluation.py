@@ -52,3 +52,17 @@ def test_summary_and_pivot_with_missing_pitch(spark):
     assert lines[0].startswith("| Method | Clean pitch MAE (mm)") and lines[1] == "|---|---|---|---|"
     assert lines[2] == "| fft | n/a (0/0 produced an estimate) | n/a (0/1 produced an estimate) | n/a (0/0 produced an estimate) |"
     assert lines[3].startswith("| peak | 0.2000 (1/2 produced an estimate)")
+
+
+def test_percentiles_of_groups(spark):
+    rng = np.random.default_rng(3)
+    groups = {"many": rng.normal(size=3000), "ties": rng.integers(0, 4, 500).astype(float), "one": np.array([7.0]), None: np.array([1.0, 2.0])}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("many", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["q0"], r["q1"], r["q2"]) for r in ev.percentiles(df, "v", [0.0, 0.5, 0.95], ["g"]).collect()}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        assert np.allclose(got[g], np.quantile(values, [0.0, 0.5, 0.95]), rtol=1e-12)
+    stats = {r["g"]: r for r in ev.latency_stats(df, "v", ["g"]).collect()}
+    assert len(stats) == 5 and stats["empty"]["p50_ms"] is None and stats[None]["p50_ms"] == 1.5
+    assert ev.percentiles(df.limit(0), "v", [0.5]).collect()[0]["q0"] is None
