@@ -2,7 +2,8 @@
 
 The field (pii_field.py) labels the words of each line by the features of their shapes and of their neighbours' shapes.  It
 finds what the rules can't: names, addresses, numbers of persons, phone numbers without a country's code, spelled-out mail
-addresses.  It is trained on the small labelled table of pii_lines.py and decoded by Viterbi in numpy batches.
+addresses.  It is trained on the small labelled table of pii_lines.py and decoded by Viterbi in numpy batches.  A name or an
+address is reported only if the field is sure of each of its words (LEAST_SURE, by marginal probabilities).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from plumbline.llm.pii_field import ENTITIES, STATES, Field, core, decode, tokens, train, viterbi, words_of
+from plumbline.llm.pii_field import ENTITIES, STATES, Field, core, decode_surely, tokens, train, viterbi, words_of
 from plumbline.llm.spans import Span, digest, spelled, without_overlaps
 from plumbline.llm.texts import with_kernel
 
@@ -69,6 +70,10 @@ def base_spans(text: str) -> list[Span]:
 _BEGINS = np.array([s[0] == "B" for s in STATES])
 
 
+#: How probable the least sure word of an entity must be.  Names and addresses are made of words that other sentences have as well.
+LEAST_SURE = {"NAME": 0.95, "ADDRESS": 0.7}
+
+
 def plausible(kind: str, found: str) -> bool:
     """What an entity's text must have, whatever the field says."""
     digits = [c for c in found if "0" <= c <= "9"]
@@ -89,7 +94,7 @@ def field_spans(field: Field, texts: list[str]) -> list[list[Span]]:
     """What the field finds in each text; all lines are decoded together."""
     whole = "\n".join(texts)
     found = words_of(whole)
-    states = decode(field, found)
+    states, chance = decode_surely(field, found, LEAST_SURE)
     first = np.cumsum([0] + [len(t) + 1 for t in texts])
     out: list[list[Span]] = [[] for _ in texts]
     for k in np.flatnonzero(_BEGINS[states]).tolist():
@@ -99,7 +104,7 @@ def field_spans(field: Field, texts: list[str]) -> list[list[Span]]:
             last += 1
         start = int(found.start[k]) + core(found.words[k])[0]
         end = int(found.start[last]) + core(found.words[last])[1]
-        if plausible(kind, whole[start:end]):
+        if chance[k : last + 1].min() >= LEAST_SURE.get(kind, 0.0) and plausible(kind, whole[start:end]):
             i = int(np.searchsorted(first, start, side="right")) - 1
             out[i].append((f"crf_{kind.lower()}", start - int(first[i]), end - int(first[i])))
     return out

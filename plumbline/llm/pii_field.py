@@ -12,6 +12,7 @@ stands before and after (`certain`), and there the line is cut.  So what is foun
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -359,8 +360,16 @@ def train(lines: list[str] = LABELLED, steps: int = 120, rate: float = 0.15, pen
 
 def decode(field: Field, found: Words, cut: bool = True) -> np.ndarray:
     """The best states of the words, line by line.  cut=False walks through plain runs as well, with the same result."""
+    return decode_surely(field, found, (), cut)[0]
+
+
+def decode_surely(field: Field, found: Words, kinds: Iterable[str], cut: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The best states of the words, line by line, and how probable each one is: its marginal, over all states of the words around it.
+
+    The second is computed only for stretches in which some word is of one of the kinds, and is 1 elsewhere.
+    """
     n = len(found.words)
-    state = np.zeros(n, dtype=np.int64)
+    state, chance = np.zeros(n, dtype=np.int64), np.ones(n)
     if n:
         row, table = field.rows_of(found.words)
         e = table[row, 1] + field.between[found.between]
@@ -369,8 +378,13 @@ def decode(field: Field, found: Words, cut: bool = True) -> np.ndarray:
         e[:-1] += np.where(found.closes[:-1, None], field.edge[2], table[row[1:], 2])
         e[-1] += field.edge[2]
         dead = _dead(field, row, found) if cut and field.cut_at else np.zeros(n, dtype=bool)
-        _walk(field, e, dead, found.opens, found.closes, state)
-    return state
+        stretches = _stretches(dead, found.opens, found.closes)
+        _walk(field, e, stretches, found.opens, found.closes, state)
+        asked = np.isin(state, [i for i, s in enumerate(STATES) if s[2:] in set(kinds)])
+        if asked.any():
+            held = np.concatenate(([0], np.cumsum(asked)))
+            _marginals(field, e, stretches[:, held[stretches[1]] > held[stretches[0]]], found.opens, found.closes, state, chance)
+    return state, chance
 
 
 def viterbi(field: Field, lines: list[list[tuple[str, int, int]]], cut: bool = True) -> list[np.ndarray]:
@@ -398,19 +412,55 @@ def _dead(field: Field, row: np.ndarray, found: Words) -> np.ndarray:
     return inner & (place - last_break > field.cut_at) & (next_break - place > field.cut_at)
 
 
-def _walk(field, e, dead, begins, ends, state) -> None:
-    """Viterbi over the stretches between dead words; they are walked side by side, the longest first."""
-    n, k = e.shape
+def _stretches(dead: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Start and end of each stretch of a line between dead words, the longest first."""
     alive = ~dead
-    opens = alive & begins
+    opens, closes = alive & begins, alive & ends
     opens[1:] |= alive[1:] & dead[:-1]
-    closes = alive & ends
     closes[:-1] |= alive[:-1] & dead[1:]
     a, b = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    order = np.argsort(a - b, kind="stable")
+    return np.array([a[order], b[order]])
+
+
+def _marginals(field, e, stretches, begins, ends, state, chance) -> None:
+    """The marginal of each word's state, forward and backward over the stretches side by side."""
+    a, b = stretches
+    if not len(a):
+        return
+    length = b - a
+    forward = np.zeros((int(length.sum()), e.shape[1]))  # the stretches' words, end to end
+    first = np.cumsum(length) - length
+    weight = np.exp(field.moves)
+    going = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), side="right")
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        return np.exp(x - x.max(axis=1, keepdims=True))
+
+    now = scaled(np.where(begins[a][:, None], _start()[None], field.moves[OUT][None]) + e[a])
+    forward[first] = now
+    for t in range(1, int(length[0])):
+        m = int(going[t])
+        now = (now[:m] @ weight) * scaled(e[a[:m] + t])
+        now /= now.sum(axis=1, keepdims=True)
+        forward[first[:m] + t] = now
+    after = np.where(ends[b - 1][:, None], 1.0, weight[:, OUT][None])
+    for t in range(int(length[0]) - 1, -1, -1):
+        m = int(going[t])
+        at = a[:m] + t
+        both = forward[first[:m] + t] * after[:m]
+        chance[at] = both[np.arange(m), state[at]] / both.sum(axis=1)
+        if t:
+            back = (after[:m] * scaled(e[at])) @ weight.T
+            after[:m] = back / back.sum(axis=1, keepdims=True)
+
+
+def _walk(field, e, stretches, begins, ends, state) -> None:
+    """Viterbi over the stretches between dead words; they are walked side by side, the longest first."""
+    n, k = e.shape
+    a, b = stretches
     if not len(a):
         return
-    order = np.argsort(a - b, kind="stable")
-    a, b = a[order], b[order]
     length = b - a
     start = np.where(begins[a][:, None], _start()[None], field.moves[OUT][None])
     final = np.where(ends[b - 1][:, None], 0.0, field.moves[:, OUT][None])

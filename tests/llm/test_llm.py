@@ -694,6 +694,35 @@ def test_viterbi_equals_all_paths():
     assert pii.viterbi(field, [seq])[0].tolist() == list(best)
 
 
+def test_marginals_equal_all_paths():
+    field = pii.train()
+    for text in ("Dear Anna Lee\nÜ. Ahm wer", "at 5 Oak Road"):
+        found = pii.words_of(text)
+        state, chance = pii_field.decode_surely(field, found, pii.LEAST_SURE, cut=False)
+        at, known = 0, False
+        for line in text.split("\n"):
+            seq = pii.tokens(line)
+            own = [pii_field.features(w) for w, _, _ in seq]
+            emit = [pii_field.Field._emit(field, f) for f in own]
+            emit = [emit[j][1] + (emit[j - 1][0] if j else field.edge[0]) + (emit[j + 1][2] if j + 1 < len(own) else field.edge[2]) + field.between[seq[j][2]] for j in range(len(own))]
+            start = [-1e9 if s.startswith("I") else 0 for s in pii.STATES]
+            paths = np.array(list(itertools.product(range(len(pii.STATES)), repeat=len(own))))
+            score = np.array(start)[paths[:, 0]] + sum(emit[j][paths[:, j]] for j in range(len(own))) + sum(field.moves[paths[:, j], paths[:, j + 1]] for j in range(len(own) - 1))
+            p = np.exp(score - score.max())
+            p /= p.sum()
+            asked = any(pii.STATES[s][2:] in pii.LEAST_SURE for s in state[at : at + len(own)])
+            for j in range(len(own)):
+                assert abs(chance[at + j] - (p[paths[:, j] == state[at + j]].sum() if asked else 1)) < 1e-6
+            at, known = at + len(own), known or asked
+        assert known
+
+
+def test_sentences_without_persons_have_no_names():
+    field = pii.train()
+    prose = ["The rain came. Ü. Ahmer went out.", "Mill Hall stood empty.", "la ville. É ê. Ö. Vermer"]
+    assert not [s for t in prose for s in pii.field_spans(field, [t])[0] if s[0] in ("crf_name", "crf_address")]
+
+
 def test_personal_data_of_texts(spark):
     df = spark.createDataFrame([(1, "tel (404) 555-0102 or +1 (404) 555-0102, a@b.co"), (2, "version 3.0 of 2004"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in pii.find_personal_data(df, ["doc_id"]).collect()}
