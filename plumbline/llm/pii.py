@@ -94,17 +94,28 @@ def field_spans(field: Field, texts: list[str]) -> list[list[Span]]:
     """What the field finds in each text; all lines are decoded together."""
     whole = "\n".join(texts)
     found = words_of(whole)
-    states, chance = decode_surely(field, found, LEAST_SURE)
+    entities = []
+
+    def asked(states: np.ndarray) -> np.ndarray:
+        """Fills entities with what is plausible, and marks those that must be sure."""
+        marks = np.zeros(len(states), dtype=bool)
+        for k in np.flatnonzero(_BEGINS[states]).tolist():
+            kind, last = STATES[states[k]][2:], k
+            inside = STATES.index("I-" + kind)
+            while last + 1 < len(states) and states[last + 1] == inside and not found.opens[last + 1]:
+                last += 1
+            start = int(found.start[k]) + core(found.words[k])[0]
+            end = int(found.start[last]) + core(found.words[last])[1]
+            if plausible(kind, whole[start:end]):
+                entities.append((kind, k, last, start, end))
+                marks[k] = kind in LEAST_SURE
+        return marks
+
+    chance = decode_surely(field, found, asked)[1]
     first = np.cumsum([0] + [len(t) + 1 for t in texts])
     out: list[list[Span]] = [[] for _ in texts]
-    for k in np.flatnonzero(_BEGINS[states]).tolist():
-        kind, last = STATES[states[k]][2:], k
-        inside = STATES.index("I-" + kind)
-        while last + 1 < len(states) and states[last + 1] == inside and not found.opens[last + 1]:
-            last += 1
-        start = int(found.start[k]) + core(found.words[k])[0]
-        end = int(found.start[last]) + core(found.words[last])[1]
-        if chance[k : last + 1].min() >= LEAST_SURE.get(kind, 0.0) and plausible(kind, whole[start:end]):
+    for kind, k, last, start, end in entities:
+        if chance[k : last + 1].min() >= LEAST_SURE.get(kind, 0.0):
             i = int(np.searchsorted(first, start, side="right")) - 1
             out[i].append((f"crf_{kind.lower()}", start - int(first[i]), end - int(first[i])))
     return out

@@ -12,7 +12,7 @@ stands before and after (`certain`), and there the line is cut.  So what is foun
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -360,13 +360,13 @@ def train(lines: list[str] = LABELLED, steps: int = 120, rate: float = 0.15, pen
 
 def decode(field: Field, found: Words, cut: bool = True) -> np.ndarray:
     """The best states of the words, line by line.  cut=False walks through plain runs as well, with the same result."""
-    return decode_surely(field, found, (), cut)[0]
+    return decode_surely(field, found, lambda state: np.zeros(len(state), dtype=bool), cut)[0]
 
 
-def decode_surely(field: Field, found: Words, kinds: Iterable[str], cut: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def decode_surely(field: Field, found: Words, asked: Callable[[np.ndarray], np.ndarray], cut: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The best states of the words, line by line, and how probable each one is: its marginal, over all states of the words around it.
 
-    The second is computed only for stretches in which some word is of one of the kinds, and is 1 elsewhere.
+    The second is computed only for stretches in which `asked`, given all states, marks a word, and is 1 elsewhere.
     """
     n = len(found.words)
     state, chance = np.zeros(n, dtype=np.int64), np.ones(n)
@@ -380,9 +380,9 @@ def decode_surely(field: Field, found: Words, kinds: Iterable[str], cut: bool =
         dead = _dead(field, row, found) if cut and field.cut_at else np.zeros(n, dtype=bool)
         stretches = _stretches(dead, found.opens, found.closes)
         _walk(field, e, stretches, found.opens, found.closes, state)
-        asked = np.isin(state, [i for i, s in enumerate(STATES) if s[2:] in set(kinds)])
-        if asked.any():
-            held = np.concatenate(([0], np.cumsum(asked)))
+        marked = asked(state)
+        if marked.any():
+            held = np.concatenate(([0], np.cumsum(marked)))
             _marginals(field, e, stretches[:, held[stretches[1]] > held[stretches[0]]], found.opens, found.closes, state, chance)
     return state, chance
 

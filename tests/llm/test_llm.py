@@ -698,7 +698,7 @@ def test_marginals_equal_all_paths():
     field = pii.train()
     for text in ("Dear Anna Lee\nÜ. Ahm wer", "at 5 Oak Road"):
         found = pii.words_of(text)
-        state, chance = pii_field.decode_surely(field, found, pii.LEAST_SURE, cut=False)
+        state, chance = pii_field.decode_surely(field, found, lambda s: np.array([pii.STATES[x][2:] in pii.LEAST_SURE for x in s]), cut=False)
         at, known = 0, False
         for line in text.split("\n"):
             seq = pii.tokens(line)
