@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, conversations, decontaminate, line_dedup, lm, near, pii, quality, rules, secrets, token_counts
+from plumbline.llm import bpe, conversations, decontaminate, licenses, line_dedup, lm, near, pii, quality, rules, secrets, token_counts
 from plumbline.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op12_conversation_repair"] = conversations.ORACLE
 
 
+@_query
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
