@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
 from plumbline.operators import evaluation as ev
-from plumbline.operators import fusion, signal, tolerance, vectors, video
+from plumbline.operators import fusion, gaussians, signal, tolerance, vectors, video
 from plumbline.session import scratch_path, ship, table
 from plumbline.sources import images, manifest
 
@@ -357,7 +357,7 @@ def image_max_score(spark: SparkSession, d: str) -> DataFrame:
     SELECT label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY 1, 2""")
 def patch_mean(spark: SparkSession, d: str) -> DataFrame:
     some = table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("label").cast("int").alias("patch_idx"), "embedding")
-    means = vectors.fit_gaussians(some).select(F.col("patch_idx").alias("label"), F.posexplode("mean").alias("feature", "mean"))
+    means = gaussians.fit_gaussians(some).select(F.col("patch_idx").alias("label"), F.posexplode("mean").alias("feature", "mean"))
     return rounded(means)
 
 
@@ -372,7 +372,7 @@ def two_features(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT label, round(vxx, 6) AS vxx, round(vyy, 6) AS vyy, round(vxy, 6) AS vxy FROM ({MOMENTS_SQL})")
 def patch_covariance(spark: SparkSession, d: str) -> DataFrame:
     some = table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("label").cast("int").alias("patch_idx"), vectors.select_features(F.col("embedding"), [0, 1]).alias("embedding"))
-    inverse = vectors.fit_gaussians(some).select("patch_idx", *[F.get("cov_inv", F.lit(i)).alias(c) for i, c in enumerate("abcd")])
+    inverse = gaussians.fit_gaussians(some).select("patch_idx", *[F.get("cov_inv", F.lit(i)).alias(c) for i, c in enumerate("abcd")])
     det = F.col("a") * F.col("d") - F.col("b") * F.col("c")
     return rounded(inverse.select(F.col("patch_idx").alias("label"), (F.col("d") / det).alias("vxx"), (F.col("a") / det).alias("vyy"), (-F.col("b") / det).alias("vxy")))
 
@@ -381,12 +381,12 @@ def patch_covariance(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT e.vec_id, e.embedding[1]::DOUBLE - mx AS dx, e.embedding[2]::DOUBLE - my AS dy, m.* FROM embeddings e JOIN ({MOMENTS_SQL}) m ON e.label = m.label)""")
 def mahalanobis_2d(spark: SparkSession, d: str) -> DataFrame:
     rows = two_features(spark, d)
-    ridge, zero = F.lit(vectors.REGULARISATION), F.lit(0.0)
+    ridge, zero = F.lit(gaussians.REGULARISATION), F.lit(0.0)
     m = rows.groupBy("label").agg(
         F.avg("x").alias("mx"), F.avg("y").alias("my"), (F.coalesce(F.var_samp("x"), zero) + ridge).alias("vxx"), (F.coalesce(F.var_samp("y"), zero) + ridge).alias("vyy"), F.coalesce(F.covar_samp("x", "y"), zero).alias("vxy")
     )
     c = F.col
-    return rows.join(m, "label").select("vec_id", F.round(vectors.mahalanobis_2d(c("x"), c("y"), c("mx"), c("my"), c("vxx"), c("vyy"), c("vxy")), 6).alias("distance"))
+    return rows.join(m, "label").select("vec_id", F.round(gaussians.mahalanobis_2d(c("x"), c("y"), c("mx"), c("my"), c("vxx"), c("vyy"), c("vxy")), 6).alias("distance"))
 
 
 @query(f"""SELECT vec_id, round(sqrt(greatest((vyy * dx * dx - 2 * vxy * dx * dy + vxx * dy * dy) / (vxx * vyy - vxy * vxy), 0)), 6) AS distance
@@ -394,7 +394,7 @@ def mahalanobis_2d(spark: SparkSession, d: str) -> DataFrame:
 def gaussian_distance(spark: SparkSession, d: str) -> DataFrame:
     """The general kernel, on two features so that SQL can follow."""
     some = table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("label").cast("int").alias("patch_idx"), vectors.select_features(F.col("embedding"), [0, 1]).alias("embedding"))
-    return vectors.mahalanobis(some, vectors.fit_gaussians(some)).select(F.col("image_id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+    return gaussians.mahalanobis(some, gaussians.fit_gaussians(some)).select(F.col("image_id").alias("vec_id"), F.round("distance", 6).alias("distance"))
 
 
 @query("""WITH RECURSIVE p AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings WHERE label = 0),

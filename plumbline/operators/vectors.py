@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 
 from plumbline.session import cut, ship
 
-REGULARISATION = 0.01
-#: Images whose vectors of one position are held in one task at a time.
-IMAGES_PER_GROUP = 20_000
 #: Vectors of a memory bank that are broadcast at once; a larger bank is used in blocks of so many.
 BANK_BLOCK = 20_000
 
@@ -46,90 +43,6 @@ def _arrow_matrix(vectors: pa.Array) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
 
 
-# --- per-position Gaussians -------------------------------------------------------------------
-
-
-def _groups_per_patch(images: int) -> int:
-    return max(1, math.ceil(images / IMAGES_PER_GROUP))
-
-
-def _salt(parts: int) -> Column:
-    return F.pmod(F.xxhash64("image_id"), F.lit(parts)).cast("int")
-
-
-def fit_gaussians(patches: DataFrame, regularisation: float = REGULARISATION) -> DataFrame:
-    """(patch_idx, n, mean, cov_inv): mean and inverse covariance of the vectors at each position.
-
-    Covariance with n - 1 (1 for a single image) in the denominator, plus regularisation on the diagonal; cov_inv
-    is row-major.  Moments are taken in groups of bounded size and merged, so a position may have any number of images.
-    """
-    ship(patches.sparkSession)
-    counts = patches.groupBy("patch_idx").agg(F.count(F.lit(1)).alias("n"))
-    most = counts.agg(F.max("n")).first()[0]
-    if not most:
-        raise ValueError("fitting needs at least one image")
-    parts = _groups_per_patch(most)
-
-    def moments(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _matrix(pdf["embedding"])
-        mean = x.mean(axis=0)
-        centred = x - mean
-        return pd.DataFrame({"patch_idx": [int(pdf["patch_idx"].iloc[0])], "n": [len(x)], "mean": [mean], "m2": [(centred.T @ centred).ravel()]})
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, mean, m2 = 0, None, None
-        for k, own, spread in zip(pdf["n"], pdf["mean"], pdf["m2"], strict=True):
-            own = np.asarray(own)
-            spread = np.asarray(spread).reshape(len(own), len(own))
-            if mean is None:
-                n, mean, m2 = k, own, spread
-                continue
-            gap = own - mean
-            m2 = m2 + spread + np.outer(gap, gap) * n * k / (n + k)
-            mean = mean + gap * k / (n + k)
-            n += k
-        cov = m2 / max(n - 1, 1) + regularisation * np.eye(len(mean))
-        return pd.DataFrame({"patch_idx": [int(pdf["patch_idx"].iloc[0])], "n": [n], "mean": [mean], "cov_inv": [np.linalg.inv(cov).ravel()]})
-
-    part = patches.select("patch_idx", "embedding", _salt(parts).alias("salt")).groupBy("patch_idx", "salt")
-    part = part.applyInPandas(moments, "patch_idx int, n long, mean array<double>, m2 array<double>")
-    return part.groupBy("patch_idx").applyInPandas(merge, "patch_idx int, n long, mean array<double>, cov_inv array<double>")
-
-
-def mahalanobis(patches: DataFrame, stats: DataFrame) -> DataFrame:
-    """(image_id, patch_idx, distance) from each position's Gaussian; a position without one is an error.
-
-    A position's images are dealt into groups of bounded size, each with its own copy of the position's model.
-    """
-    ship(patches.sparkSession)
-    most = patches.groupBy("patch_idx").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    parts = _groups_per_patch(most)
-
-    def score(images: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        if images.empty:
-            return pd.DataFrame({"image_id": [], "patch_idx": [], "distance": []})
-        if model.empty:
-            raise ValueError(f"no model for position {images['patch_idx'].iloc[0]}")
-        mean = np.asarray(model["mean"].iloc[0])
-        inverse = np.asarray(model["cov_inv"].iloc[0]).reshape(len(mean), len(mean))
-        gap = _matrix(images["embedding"]) - mean
-        squared = np.einsum("nd,de,ne->n", gap, inverse, gap, optimize=True)
-        return pd.DataFrame({"image_id": images["image_id"], "patch_idx": images["patch_idx"], "distance": np.sqrt(np.clip(squared, 0, None))})
-
-    kind = dict(patches.dtypes)["image_id"]
-    left = patches.select("image_id", "patch_idx", "embedding", _salt(parts).alias("salt")).groupBy("patch_idx", "salt")
-    right = stats.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).groupBy("patch_idx", "salt")
-    return left.cogroup(right).applyInPandas(score, f"image_id {kind}, patch_idx int, distance double")
-
-
-def mahalanobis_2d(x: Column, y: Column, mean_x: Column, mean_y: Column, vxx: Column, vyy: Column, vxy: Column) -> Column:
-    """The closed form for two features, without Python."""
-    det = vxx * vyy - vxy * vxy
-    dx, dy = x - mean_x, y - mean_y
-    squared = F.try_divide(vyy * dx * dx - 2.0 * vxy * dx * dy + vxx * dy * dy, det)
-    return F.sqrt(F.greatest(squared, F.lit(0.0)))
-
-
 # --- memory bank ------------------------------------------------------------------------------
 
 

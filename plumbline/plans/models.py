@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import exceeds
-from plumbline.operators import evaluation, vectors
+from plumbline.operators import evaluation, gaussians, vectors
 from plumbline.session import ship
 
 #: Fixed values of the flat binary form: its mark and version.
@@ -52,7 +52,7 @@ def _features(patches: DataFrame, wanted: int, seed: int) -> list[int]:
 
 def fit_gaussian(patches: DataFrame, grid: tuple[int, int], n_features: int = 100, seed: int = 0) -> Model:
     indices = _features(patches, n_features, seed)
-    return Model("gaussian", vectors.fit_gaussians(_selected(patches, indices)), indices, grid, None, seed)
+    return Model("gaussian", gaussians.fit_gaussians(_selected(patches, indices)), indices, grid, None, seed)
 
 
 def fit_bank(patches: DataFrame, grid: tuple[int, int], n_features: int = 100, coreset: int = 2000, pool: int = 20_000, seed: int = 0) -> Model:
@@ -69,7 +69,7 @@ def patch_distances(model: Model | None, patches: DataFrame) -> DataFrame:
     cells = model.grid[0] * model.grid[1]
     rows = rows.where(F.assert_true(F.col("patch_idx").between(0, cells - 1), "grid size mismatch").isNull())
     if model.kind == "gaussian":
-        return vectors.mahalanobis(rows, model.table)
+        return gaussians.mahalanobis(rows, model.table)
     return vectors.nearest_distance(rows, model.table).select("image_id", "patch_idx", F.col("min_distance").alias("distance"))
 
 

@@ -1,10 +1,11 @@
+import math
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import vectors
+from plumbline.operators import gaussians, vectors
 from plumbline.plans import models
 
 
@@ -25,21 +26,48 @@ def test_feature_choice_and_selection(spark):
 def test_identity_covariance_gives_euclid(spark):
     stats = spark.createDataFrame([(0, 1, [0.0] * 3, np.eye(3).ravel().tolist())], "patch_idx int, n long, mean array<double>, cov_inv array<double>")
     rows = spark.createDataFrame([("a", 0, [3.0, 4.0, 0.0]), ("b", 0, [0.0] * 3)], "image_id string, patch_idx int, embedding array<float>")
-    assert {r["image_id"]: r["distance"] for r in vectors.mahalanobis(rows, stats).collect()} == {"a": 5.0, "b": 0.0}
+    assert {r["image_id"]: r["distance"] for r in gaussians.mahalanobis(rows, stats).collect()} == {"a": 5.0, "b": 0.0}
 
 
-def test_gaussians_in_groups_equal_numpy(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "IMAGES_PER_GROUP", 4)
-    rows = patches(spark, images=11)
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("d", [2, 8, 30])
+def test_gaussians_equal_numpy_and_move_no_vector(spark, monkeypatch, d):
+    rows = patches(spark, images=17, d=d).repartition(6)
     x = {p: np.array([r["embedding"] for r in rows.where(F.col("patch_idx") == p).collect()], dtype=float) for p in range(4)}
-    for r in vectors.fit_gaussians(rows).collect():
-        own = x[r["patch_idx"]]
-        assert r["n"] == 11 and np.allclose(r["mean"], own.mean(axis=0))
-        assert np.allclose(np.reshape(r["cov_inv"], (8, 8)), np.linalg.inv(np.cov(own.T) + 0.01 * np.eye(8)))
+    for limit in (1 << 20, 1):
+        monkeypatch.setattr(gaussians, "MOMENTS_BYTES", limit)
+        stats = gaussians.fit_gaussians(rows)
+        made = stats.collect()
+        assert len(made) == 4
+        for r in made:
+            own = x[r["patch_idx"]]
+            assert r["n"] == 17 and np.allclose(r["mean"], own.mean(axis=0))
+            assert np.allclose(np.reshape(r["cov_inv"], (d, d)), np.linalg.inv(np.cov(own.T) + 0.01 * np.eye(d)))
+    here = gaussians.mahalanobis(rows, stats)
+    monkeypatch.setattr(gaussians, "MODEL_BYTES", 0)
+    monkeypatch.setattr(gaussians, "IMAGES_PER_GROUP", 4)
+    apart = {(r["image_id"], r["patch_idx"]): r["distance"] for r in gaussians.mahalanobis(rows, stats).collect()}
+    got = {(r["image_id"], r["patch_idx"]): r["distance"] for r in here.collect()}
+    assert got.keys() == apart.keys() and len(got) == 68 and all(abs(got[k] - apart[k]) < 1e-9 for k in got)
+    for r in rows.collect():
+        gap = np.array(r["embedding"], dtype=float) - x[r["patch_idx"]].mean(axis=0)
+        inverse = np.linalg.inv(np.cov(x[r["patch_idx"]].T) + 0.01 * np.eye(d))
+        assert got[r["image_id"], r["patch_idx"]] == pytest.approx(math.sqrt(gap @ inverse @ gap), abs=1e-6)
+
+
+def test_scoring_moves_no_vector(spark, data):
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), F.col("label").alias("patch_idx"), "embedding")
+    stats = gaussians.fit_gaussians(rows)
+    assert "Exchange" not in plan_of(gaussians.mahalanobis(rows, stats))
+    with pytest.raises(Exception, match="no model for position"):
+        gaussians.mahalanobis(rows, stats.where("patch_idx <> 3")).collect()
 
 
 def test_single_image_has_only_the_ridge(spark):
-    r = vectors.fit_gaussians(patches(spark, images=1, cells=1, d=2)).first()
+    r = gaussians.fit_gaussians(patches(spark, images=1, cells=1, d=2)).first()
     assert np.allclose(np.reshape(r["cov_inv"], (2, 2)), 100 * np.eye(2))
 
 
