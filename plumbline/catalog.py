@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
 from plumbline.operators import evaluation as ev
-from plumbline.operators import fusion, gaussians, signal, tolerance, vectors, video
+from plumbline.operators import coreset, fusion, gaussians, nearest, signal, tolerance, vectors, video
 from plumbline.session import scratch_path, ship, table
 from plumbline.sources import images, manifest
 
@@ -335,7 +335,7 @@ def feature_select(spark: SparkSession, d: str) -> DataFrame:
 
 def near_bank(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return vectors.nearest_distance(e.where("label <> 0"), e.where("label = 0").select(F.col("embedding").alias("features")))
+    return nearest.nearest_distance(e.where("label <> 0"), e.where("label = 0").select(F.col("embedding").alias("features")))
 
 
 NEAR_SQL = """SELECT q.vec_id, min(sqrt(list_sum(list_transform(list_zip(q.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))))) AS min_distance
@@ -347,6 +347,14 @@ def knn_min_distance(spark: SparkSession, d: str) -> DataFrame:
     return near_bank(spark, d).select("vec_id", F.round("min_distance", 6).alias("min_distance"))
 
 
+@query(f"SELECT vec_id, round(min_distance, 6) AS min_distance FROM ({NEAR_SQL})")
+def knn_by_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The same by cells around pivots, as for a bank that is too large to be broadcast."""
+    e = table(spark, d, "embeddings")
+    rows = nearest.nearest_distance(e.where("label <> 0"), e.where("label = 0").select(F.col("embedding").alias("features")), block=16, pivots=8)
+    return rows.select("vec_id", F.round("min_distance", 6).alias("min_distance"))
+
+
 @query(f"SELECT vec_id // 10 AS image_id, round(max(min_distance), 6) AS score FROM ({NEAR_SQL}) GROUP BY 1")
 def image_max_score(spark: SparkSession, d: str) -> DataFrame:
     rows = near_bank(spark, d).withColumn("image_id", F.floor(F.col("vec_id") / 10))
@@ -403,7 +411,7 @@ def gaussian_distance(spark: SparkSession, d: str) -> DataFrame:
         SELECT a FROM (SELECT a, min(g) AS gap FROM dist WHERE list_contains(chosen, b) GROUP BY a) ORDER BY gap DESC, a LIMIT 1)) FROM pick WHERE k < 4)
     SELECT (i - 1)::INT AS ordinal, p.vec_id FROM (SELECT unnest(chosen) AS n, unnest(range(1, 6)) AS i FROM pick WHERE k = 4) c JOIN p ON p.n = c.n""")
 def coreset_k5(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.fit_bank(table(spark, d, "embeddings").where("label = 0"), "vec_id", 5, first=0).select("ordinal", "vec_id")
+    return coreset.fit_bank(table(spark, d, "embeddings").where("label = 0"), "vec_id", 5, start="least").select("ordinal", "vec_id")
 
 
 @query()
@@ -415,7 +423,7 @@ def embedding_heatmap(spark: SparkSession, d: str) -> DataFrame:
     from plumbline.plans.models import heatmaps
 
     e = table(spark, d, "embeddings")
-    near = vectors.nearest_distance(e, e.where("label = 0").select(F.col("embedding").alias("features")))
+    near = nearest.nearest_distance(e, e.where("label = 0").select(F.col("embedding").alias("features")))
     rows = near.select(F.floor(F.col("vec_id") / 10).alias("image_id"), (F.col("vec_id") % 10).cast("int").alias("patch_idx"), F.col("min_distance").alias("distance"))
     whole = rows.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).where("n = 10").select("image_id")
     return heatmaps(rows.join(whole, "image_id"), (2, 5), 4, 10)

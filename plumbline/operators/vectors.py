@@ -1,24 +1,14 @@
-"""Patch vectors: feature selection, per-position Gaussians, nearest neighbours in a memory bank, k-center coresets.
+"""Patch vectors: feature selection, image scores, and maps of patches resized to their image.
 
 A patch table is long: (image_id, patch_idx, embedding ARRAY<FLOAT>).
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import cut, ship
-
-#: Vectors of a memory bank that are broadcast at once; a larger bank is used in blocks of so many.
-BANK_BLOCK = 20_000
-
 
 def select_features(embedding: Column, indices: list[int]) -> Column:
     """The features at those places (from 0); a vector that is too short is an error."""
@@ -32,100 +22,11 @@ def choose_features(total: int, wanted: int, seed: int = 0) -> list[int]:
     return sorted(np.random.default_rng(seed).choice(total, size=min(wanted, total), replace=False).tolist())
 
 
-def _matrix(column: pd.Series | list) -> np.ndarray:
-    return np.array([np.asarray(v, dtype=np.float64) for v in column])
-
-
-def _arrow_matrix(vectors: pa.Array) -> np.ndarray:
-    """The same from Arrow lists of one length, without an object for each row."""
-    if vectors.null_count:
-        raise ValueError("a vector is null")
-    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
-
-
-# --- memory bank ------------------------------------------------------------------------------
-
-
-def nearest_distance(vectors: DataFrame, bank: DataFrame, embedding: str = "embedding", features: str = "features") -> DataFrame:
-    """vectors with min_distance: the Euclidean distance to the nearest vector of the bank.
-
-    A bank of at most BANK_BLOCK vectors, the usual coreset, is broadcast whole.  A larger one is used in blocks of about
-    that size, by a hash of the vector (equal vectors count once), one after the other: each block's result is written
-    before the next one is broadcast, so no plan or driver holds more than one.  An empty bank is an error.
-    """
-    spark = vectors.sparkSession
-    ship(spark)
-    size = bank.count()
-    if not size:
-        raise ValueError("scoring needs a fitted memory bank")
-    blocks = math.ceil(size / BANK_BLOCK)
-    held_rows = bank.select(F.col(features).alias("f"))
-    if blocks > 1:
-        held_rows = held_rows.distinct().withColumn("b", F.pmod(F.xxhash64("f"), F.lit(blocks)))
-    out = vectors
-    for b in range(blocks):
-        part = held_rows.where(F.col("b") == b) if blocks > 1 else held_rows
-        found = part.collect()
-        if not found:
-            continue
-        held = spark.sparkContext.broadcast(_matrix([r["f"] for r in found]))
-
-        @F.arrow_udf("double")
-        def distance(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            bank_block = held.value
-            norms = (bank_block**2).sum(axis=1)
-            for batch in batches:
-                near = [np.zeros(0)]
-                for a in range(0, len(batch), 1024):
-                    x = _arrow_matrix(batch.slice(a, 1024))
-                    nearest = ((x**2).sum(axis=1)[:, None] - 2 * x @ bank_block.T + norms).argmin(axis=1)
-                    near.append(np.sqrt(((x - bank_block[nearest]) ** 2).sum(axis=1)))
-                yield pa.array(np.concatenate(near))
-
-        own = distance(F.col(embedding))
-        out = out.withColumn("min_distance", F.least("min_distance", own) if out is not vectors else own)
-        if blocks > 1:
-            out = cut(out)
-            held.destroy()
-    return out
-
-
 def image_scores(distances: DataFrame, distance: str = "distance") -> DataFrame:
     """An image's score: its largest patch distance."""
     return distances.groupBy("image_id").agg(F.max(distance).alias("score"))
 
 
-def candidate_pool(vectors: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
-    """A seeded sample of vectors: those whose hashed key is least.  No task sees all of them."""
-    return vectors.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(size)
-
-
-def greedy_coreset(features: np.ndarray, size: int, seed: int = 0, first: int | None = None) -> list[int]:
-    """Places of a k-center coreset: from a seeded first vector on, always the farthest one; the first of equals."""
-    n = len(features)
-    chosen = [int(np.random.default_rng(seed).integers(0, n)) if first is None else first]
-    gap = ((features - features[chosen[0]]) ** 2).sum(axis=1)
-    while len(chosen) < min(size, n):
-        far = int(gap.argmax())
-        chosen.append(far)
-        gap = np.minimum(gap, ((features - features[far]) ** 2).sum(axis=1))
-    return chosen
-
-
-def fit_bank(vectors: DataFrame, key: str, size: int = 2000, pool: int = 20_000, seed: int = 0, first: int | None = None, embedding: str = "embedding") -> DataFrame:
-    """(ordinal, key, features): a coreset of a candidate pool of bounded size, chosen on the driver.
-
-    k-center is sequential; the pool's bound keeps it small.
-    """
-    rows = candidate_pool(vectors.select(key, embedding), key, pool, seed).orderBy(key).collect()
-    if not rows:
-        raise ValueError("fitting needs at least one image")
-    chosen = greedy_coreset(_matrix([r[embedding] for r in rows]), size, seed, first)
-    kind = dict(vectors.dtypes)[key]
-    made = [(i, rows[c][key], [float(v) for v in rows[c][embedding]]) for i, c in enumerate(chosen)]
-    return vectors.sparkSession.createDataFrame(made, f"ordinal int, {key} {kind}, features array<double>")
-
-
 def resize_map(values: np.ndarray, height: int, width: int) -> np.ndarray:
     """Bilinear resize with half-pixel centres and clamped edges."""
 

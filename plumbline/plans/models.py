@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import exceeds
-from plumbline.operators import evaluation, gaussians, vectors
+from plumbline.operators import coreset, evaluation, gaussians, nearest, vectors
 from plumbline.session import ship
 
 #: Fixed values of the flat binary form: its mark and version.
@@ -55,10 +55,10 @@ def fit_gaussian(patches: DataFrame, grid: tuple[int, int], n_features: int = 10
     return Model("gaussian", gaussians.fit_gaussians(_selected(patches, indices)), indices, grid, None, seed)
 
 
-def fit_bank(patches: DataFrame, grid: tuple[int, int], n_features: int = 100, coreset: int = 2000, pool: int = 20_000, seed: int = 0) -> Model:
+def fit_bank(patches: DataFrame, grid: tuple[int, int], n_features: int = 100, size: int = 2000, pool: int | None = 20_000, seed: int = 0) -> Model:
     indices = _features(patches, n_features, seed)
     rows = _selected(patches, indices).withColumn("key", F.concat_ws("/", F.col("image_id").cast("string"), F.lpad(F.col("patch_idx").cast("string"), 9, "0")))
-    return Model("bank", vectors.fit_bank(rows, "key", coreset, pool, seed).select("ordinal", "features"), indices, grid, None, seed)
+    return Model("bank", coreset.fit_bank(rows, "key", size, pool, seed).select("ordinal", "features"), indices, grid, None, seed)
 
 
 def patch_distances(model: Model | None, patches: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def patch_distances(model: Model | None, patches: DataFrame) -> DataFrame:
     rows = rows.where(F.assert_true(F.col("patch_idx").between(0, cells - 1), "grid size mismatch").isNull())
     if model.kind == "gaussian":
         return gaussians.mahalanobis(rows, model.table)
-    return vectors.nearest_distance(rows, model.table).select("image_id", "patch_idx", F.col("min_distance").alias("distance"))
+    return nearest.nearest_distance(rows, model.table).select("image_id", "patch_idx", F.col("min_distance").alias("distance"))
 
 
 def predict(model: Model | None, patches: DataFrame, threshold: float | None = None) -> DataFrame:

@@ -2,10 +2,11 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import gaussians, vectors
+from plumbline.operators import coreset, gaussians, nearest, vectors
 from plumbline.plans import models
 
 
@@ -71,30 +72,88 @@ def test_single_image_has_only_the_ridge(spark):
     assert np.allclose(np.reshape(r["cov_inv"], (2, 2)), 100 * np.eye(2))
 
 
-def test_nearest_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("block, rows", [(20_000, 20_000), (16, 20_000), (16, 3)])
+def test_nearest_equals_brute_force(spark, monkeypatch, block, rows):
     rng = np.random.default_rng(3)
-    bank, some = rng.normal(size=(50, 5)), rng.normal(size=(20, 5))
+    bank = np.concatenate([rng.normal(size=(60, 5)), rng.normal(9, 0.1, size=(60, 5)), np.zeros((40, 5))])
+    some = np.concatenate([rng.normal(size=(20, 5)), rng.normal(9, 0.1, size=(20, 5)), bank[:3], np.full((2, 5), 1e4)])
     b = spark.createDataFrame([(v.tolist(),) for v in bank], "features array<double>")
-    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(some)], "id int, embedding array<double>")
+    q = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(some)], "id int, embedding array<double>, cell string")
     want = np.sqrt(((some[:, None] - bank[None]) ** 2).sum(axis=2)).min(axis=1)
-    for block in (20_000, 16):
-        monkeypatch.setattr(vectors, "BANK_BLOCK", block)
-        got = [r["min_distance"] for r in vectors.nearest_distance(q, b).orderBy("id").collect()]
-        assert np.allclose(got, want)
+    monkeypatch.setattr(nearest, "BANK_BLOCK", block)
+    monkeypatch.setattr(nearest, "PIVOTS", 8)
+    monkeypatch.setattr(nearest, "CELL_ROWS", rows)
+    got = nearest.nearest_distance(q, b, compared="seen").orderBy("id").collect()
+    assert [r["id"] for r in got] == list(range(len(some))) and got[0]["cell"] == "x"
+    assert np.allclose([r["min_distance"] for r in got], want, atol=1e-12)
     with pytest.raises(ValueError, match="fitted"):
-        vectors.nearest_distance(q, b.limit(0))
+        nearest.nearest_distance(q, b.limit(0))
+
+
+def test_nearest_in_a_large_bank(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(300, 16)) * 4
+    bank = (centres[rng.integers(0, 300, 100_000)] + rng.normal(0, 0.4, size=(100_000, 16))).astype(np.float32)
+    some = (centres[rng.integers(0, 300, 400)] + rng.normal(0, 0.4, size=(400, 16))).astype(np.float32)
+    b = spark.createDataFrame(pa.table({"features": list(bank)}))
+    q = spark.createDataFrame(pa.table({"id": range(400), "embedding": list(some)}))
+    got = nearest.nearest_distance(q, b, compared="seen").orderBy("id").toPandas()
+    want = np.concatenate([np.sqrt(((x - bank.astype(float)) ** 2).sum(axis=1)).min(keepdims=True) for x in some.astype(float)])
+    assert np.abs(got["min_distance"].to_numpy() - want).max() < 1e-9
+    assert got["seen"].mean() < 0.35 * len(bank)  # a fifth of it is the sample
+
+
+def plain_farthest(x, keys, size, first):
+    chosen = [first]
+    while len(chosen) < size:
+        gap = np.min([((x - x[c]) ** 2).sum(axis=1) for c in chosen], axis=0)
+        if not gap.max():
+            break
+        chosen.append(min(np.flatnonzero(gap == gap.max()), key=lambda i: keys[i]))
+    return [keys[c] for c in chosen]
+
+
+def radius(x, chosen):
+    return math.sqrt(np.min([((x - c) ** 2).sum(axis=1) for c in chosen], axis=0).max())
+
+
+@pytest.mark.parametrize("rows", [1, 7, 2048])
+def test_farthest_points_equal_the_sequential_choice(spark, monkeypatch, rows):
+    monkeypatch.setattr(coreset, "FARTHEST_ROWS", rows)
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.integers(-3, 4, (60, 2)), rng.normal(20, 1, (60, 2))]).astype(float)
+    keys = rng.permutation(120).tolist()
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in zip(keys, x, strict=True)], "id long, embedding array<double>").repartition(5)
+    got = [r["id"] for r in coreset.farthest_points(table, "id", 12, start="least").orderBy("ordinal").collect()]
+    assert got == plain_farthest(x, keys, 12, keys.index(0))
+    same = table.limit(30).withColumn("embedding", F.array(F.lit(1.0), F.lit(2.0)))
+    assert coreset.farthest_points(same, "id", 5).count() == 1
+    with pytest.raises(ValueError, match="at least one image"):
+        coreset.farthest_points(table.limit(0), "id", 3)
+
+
+def test_composed_centres_keep_their_bound(spark, data):
+    table = spark.read.parquet(f"{data}/embeddings.parquet").repartition(7)
+    x = np.array([r["embedding"] for r in table.collect()], dtype=float)
+    exact = coreset.farthest_points(table, "vec_id", 10)
+    made = coreset.fit_bank(table, "vec_id", 10, pool=None)
+    assert made.count() == 10 and coreset.composed(table, "vec_id", 10).count() <= 70
+    assert radius(x, [r["features"] for r in made.collect()]) <= 4 * radius(x, [r["features"] for r in exact.collect()])
+    assert "Exchange" not in plan_of(coreset.composed(spark.read.parquet(f"{data}/embeddings.parquet"), "vec_id", 10))
 
 
-def test_coreset_size_cap_and_coverage():
-    x = np.concatenate((np.random.default_rng(0).normal(0, 1, (100, 4)), np.random.default_rng(1).normal(20, 1, (100, 4))))
-    chosen = vectors.greedy_coreset(x, 10)
-    assert len(set(chosen)) == 10 and min(chosen) < 100 <= max(chosen)
-    assert len(vectors.greedy_coreset(x[:7], 10)) == 7
+@pytest.mark.parametrize("size", [1, 50, 777, 3000, 5000])
+def test_sample_equals_ordered_limit(spark, monkeypatch, size):
+    monkeypatch.setattr(coreset, "RANGE_BITS", 3)
+    monkeypatch.setattr(coreset, "RANGE_ROWS", 4)
+    rows = spark.range(3000).withColumnRenamed("id", "k")
+    want = {r["k"] for r in rows.orderBy(F.xxhash64(F.col("k"), F.lit(9)), "k").limit(size).collect()}
+    assert {r["k"] for r in coreset.sample_by_rank(rows, "k", size, 9).collect()} == want
 
 
 def test_models_fit_save_load_predict(spark, tmp_path):
     normal, odd = patches(spark, 12), patches(spark, 3, seed=5, shift=6.0)
-    for fit in (lambda p: models.fit_gaussian(p, (2, 2), 5), lambda p: models.fit_bank(p, (2, 2), 5, coreset=10, pool=100)):
+    for fit in (lambda p: models.fit_gaussian(p, (2, 2), 5), lambda p: models.fit_bank(p, (2, 2), 5, size=10, pool=100)):
         model = fit(normal).with_threshold(1.23)
         models.save(model, str(tmp_path / model.kind))
         again = models.load(spark, str(tmp_path / model.kind))
