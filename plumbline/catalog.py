@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
 from plumbline.operators import evaluation as ev
-from plumbline.operators import coreset, fusion, gaussians, nearest, signal, tolerance, vectors, video
+from plumbline.operators import coreset, fusion, gaussians, nearest, nearest_key, signal, tolerance, vectors, video
 from plumbline.session import scratch_path, ship, table
 from plumbline.sources import images, manifest
 
@@ -159,6 +159,16 @@ def json_rows(spark: SparkSession, d: str) -> DataFrame:
     return as_json(rows.withColumn("note", F.when(~F.col("in_tolerance"), 'mm "outside" limits')))
 
 
+@query("""WITH k AS (SELECT p_retailprice AS k, min(p_partkey) AS p_partkey FROM part GROUP BY 1), v AS (SELECT l_orderkey, l_linenumber, 900 + l_extendedprice % 100 AS v FROM lineitem)
+    SELECT v.l_orderkey, v.l_linenumber, CASE WHEN a.k IS NULL OR abs(b.k - v.v) < abs(a.k - v.v) OR (abs(b.k - v.v) = abs(a.k - v.v) AND b.p_partkey < a.p_partkey) THEN b.p_partkey ELSE a.p_partkey END AS p_partkey
+    FROM v ASOF LEFT JOIN k a ON v.v >= a.k ASOF LEFT JOIN k b ON v.v <= b.k""")
+def nearest_price(spark: SparkSession, d: str) -> DataFrame:
+    """The part whose price is nearest to an amount taken from a line item: a nearest-key join with a table of any size."""
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.lit(900) + F.col("l_extendedprice") % 100).alias("unit"))
+    near = nearest_key.nearest_key(items, "unit", table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice", "p_partkey")
+    return near.select("l_orderkey", "l_linenumber", "nearest.p_partkey")
+
+
 FUSED_SQL = f"""SELECT s.item_id, score, threshold, mm, designation, inside,
     CASE WHEN score > threshold AND NOT isnan(score) THEN 'anomaly_score' END AS f1, CASE WHEN NOT inside THEN 'major_diameter' END AS f2
     FROM ({SCORES_SQL}) s LEFT JOIN ({NEAREST_SQL}) m ON s.item_id = m.item_id"""

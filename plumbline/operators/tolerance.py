@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.nearest_key import nearest_key
+
 #: Fixed values, in order: designation, pitch, basic, largest and smallest major diameter in mm.
 SIZES = (
     ("M1.6", 0.35, 1.600, 1.581, 1.496),
@@ -69,13 +71,6 @@ def within(diameter_mm: Column, size: Column) -> Column:
     return (diameter_mm >= size["min_mm"]) & (diameter_mm <= size["max_mm"])
 
 
-def with_size(df: DataFrame, sizes: DataFrame, diameter: str, key: str) -> DataFrame:
-    """The nearest row of a size table given as a DataFrame, for tables other than the fixed one.
-
-    The table is broadcast: it is a dimension of at most a thousand rows, which is checked.
-    """
-    if sizes.limit(1001).count() > 1000:
-        raise ValueError("a size table has at most 1000 rows")
-    near = df.select(key, diameter).crossJoin(F.broadcast(sizes))
-    near = near.groupBy(key).agg(F.min(F.struct(F.abs(F.col("basic_mm") - F.col(diameter)), "ordinal", "designation", "min_mm", "max_mm")).alias("size"))
-    return df.join(near, key, "left")
+def with_size(df: DataFrame, sizes: DataFrame, diameter: str) -> DataFrame:
+    """df with size, the nearest row of a size table given as a DataFrame of any number of rows; ties by ordinal."""
+    return nearest_key(df, diameter, sizes, "basic_mm", "ordinal", "size")

@@ -1,9 +1,10 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import fusion, tolerance
+from plumbline.operators import fusion, nearest_key, tolerance
 from plumbline.operators.video import worst_case
 
 SCHEMA = "item_id int, score double, threshold double, major_diameter_mm double, designation string, calibrated boolean, calibration_source string"
@@ -51,8 +52,28 @@ def test_nearest_size_tie_goes_to_the_first(spark):
     got = [r[0] for r in rows.select(tolerance.nearest_size(F.col("d"))["designation"]).collect()]
     assert got == ["M2", "M1.6", "M12", None]
     sizes = tolerance.size_table(spark)
-    joined = tolerance.with_size(rows.where("d is not null").withColumn("k", F.col("d")), sizes, "d", "k")
-    assert {r["d"]: r["size"]["designation"] for r in joined.collect()} == {2.25: "M2", 0.0: "M1.6", 100.0: "M12"}
+    joined = tolerance.with_size(rows.withColumn("k", F.col("d")), sizes, "d")
+    assert {r["d"]: r["size"] and r["size"]["designation"] for r in joined.collect()} == {2.25: "M2", 0.0: "M1.6", 100.0: "M12", None: None}
+
+
+@pytest.mark.parametrize("keys_per_range, rows_per_deal", [(2_000, 500_000), (7, 40), (1, 1)])
+def test_nearest_key_equals_all_pairs(spark, monkeypatch, keys_per_range, rows_per_deal):
+    monkeypatch.setattr(nearest_key, "KEYS_PER_RANGE", keys_per_range)
+    monkeypatch.setattr(nearest_key, "ROWS_PER_DEAL", rows_per_deal)
+    rng = random.Random(6)
+    keys = [(i, rng.choice([None, float("nan"), rng.randrange(60) / 2, rng.uniform(0, 30)])) for i in rng.sample(range(500), 60)]
+    values = [rng.choice([None, float("nan"), -4.0, 99.0, 7.25, rng.randrange(120) / 4]) for _ in range(150)] + [7.25] * 100
+    table = spark.createDataFrame(keys, "part long, price double")
+    rows = spark.createDataFrame(list(enumerate(values)), "range_ long, v double")
+    got = {r["range_"]: r["nearest"] for r in nearest_key.nearest_key(rows, "v", table, "price", "part").collect()}
+    assert len(got) == len(values)
+    for i, v in enumerate(values):
+        real = [(abs(k - v), part) for part, k in keys if k is not None and k == k] if v is not None and v == v else []
+        assert (got[i] and got[i]["part"]) == (min(real)[1] if real else None), v
+    none = nearest_key.nearest_key(rows, "v", table.limit(0), "price", "part").collect()
+    assert len(none) == len(values) and all(r["nearest"] is None for r in none)
+    plan = nearest_key.nearest_key(rows, "v", table, "price", "part")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_unknown_designation_raises(spark):
