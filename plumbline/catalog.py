@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
 from plumbline.operators import evaluation as ev
-from plumbline.operators import coreset, fusion, gaussians, nearest, nearest_key, signal, tolerance, vectors, video
+from plumbline.operators import coreset, fusion, gaussians, nearest, nearest_key, signal, spectra, tolerance, vectors, video
 from plumbline.session import scratch_path, ship, table
 from plumbline.sources import images, manifest
 
@@ -540,7 +540,7 @@ DFT_SQL = f"""SELECT signal_id, k, sqrt(sum(v * cos(2 * pi() * ((k * i) % n) / n
 
 @query(f"SELECT signal_id, k, round(magnitude, 4) AS magnitude FROM ({DFT_SQL})")
 def dft_magnitude(spark: SparkSession, d: str) -> DataFrame:
-    return signal.spectrum(hourly(spark, d)).select("signal_id", "k", F.round("magnitude", 4).alias("magnitude"))
+    return spectra.spectrum(hourly(spark, d)).select("signal_id", "k", F.round("magnitude", 4).alias("magnitude"))
 
 
 @query(f"SELECT signal_id, k, round(magnitude, 4) AS magnitude FROM ({DFT_SQL})")
@@ -553,7 +553,7 @@ def dft_by_join(spark: SparkSession, d: str) -> DataFrame:
 def dominant_frequency(spark: SparkSession, d: str) -> DataFrame:
     rows = hourly(spark, d)
     sizes = rows.groupBy("signal_id").agg(F.count(F.lit(1)).alias("n"))
-    return signal.dominant_frequency(signal.spectrum(rows), sizes).select("signal_id", F.round("pitch_px", 6).alias("pitch_px"), F.round("confidence", 4).alias("confidence"))
+    return spectra.dominant_frequency(spectra.spectrum(rows), sizes).select("signal_id", F.round("pitch_px", 6).alias("pitch_px"), F.round("confidence", 4).alias("confidence"))
 
 
 PEAKS_SQL = f"""SELECT signal_id, (a + b) // 2 AS peak FROM (SELECT *, lag(v) OVER w AS before, lead(v) OVER w AS after FROM (
