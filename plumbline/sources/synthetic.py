@@ -21,34 +21,35 @@ DRAWN = (
 )
 
 
+def half_widths(major: float, minor: float, pitch: float, px_per_mm: float) -> np.ndarray:
+    """Half the part's width in pixels at each row of the canvas; minus infinity where there is none."""
+    y = np.arange(HEIGHT)
+    top = int(0.08 * HEIGHT)
+    below_head = top + HEAD_LENGTH_MM * px_per_mm
+    depth = y - int(below_head)
+    swing = (major + minor + (major - minor) * np.sin(2 * np.pi * depth / (pitch * px_per_mm))) * px_per_mm / 4
+    head = np.where((y >= top) & (y <= below_head), HEAD_MM * px_per_mm / 2, -np.inf)
+    shank = np.where((depth >= 0) & (depth < int(SHANK_MM * px_per_mm)), swing, -np.inf)
+    return np.maximum(head, shank)
+
+
 def draw_thread(major: float, minor: float, pitch: float, px_per_mm: float = 20.0, condition: str = "clean", turn: float = 20.0, blur: int = 7) -> np.ndarray:
     """A head, a shank whose width swings between the diameters at the pitch, and a bar of known length, white on black.
 
-    Row by row, ends truncated to whole pixels and inclusive.  A part that doesn't fit is an error.
+    The part stands in the middle of the left half, the bar in the right one; both ends of a row
+    are cut down to whole pixels and belong to it.  A part or a bar that doesn't fit is an error.
     """
-    if condition not in ("clean", "blur", "rotated"):
+    finish = {"clean": lambda x: x, "blur": lambda x: imaging.smooth(x, blur), "rotated": lambda x: imaging.rotate(x, (WIDTH / 2, HEIGHT / 2), turn, (HEIGHT, WIDTH))}
+    if condition not in finish:
         raise ValueError(f"unknown condition: {condition!r}")
-    image = np.zeros((HEIGHT, WIDTH), dtype=np.uint8)
-    half_column = WIDTH * 0.5
-    centre = half_column / 2
-    head = HEAD_MM * px_per_mm
-    if centre + max(head, major * px_per_mm) / 2 >= half_column:
-        raise ValueError("the canvas is too narrow for the part")
-    top = int(0.08 * HEIGHT)
-    image[top : int(top + HEAD_LENGTH_MM * px_per_mm) + 1, int(centre - head / 2) : int(centre + head / 2) + 1] = 255
-    shank = top + HEAD_LENGTH_MM * px_per_mm
-    rows = np.arange(int(SHANK_MM * px_per_mm))
-    rows = rows[(shank + rows).astype(int) < HEIGHT]
-    half = ((major + minor) + (major - minor) * np.sin(2 * np.pi * rows / (pitch * px_per_mm))) * px_per_mm / 4
-    for y, r in zip((shank + rows).astype(int), half, strict=True):
-        image[y, int(centre - r) : int(centre + r) + 1] = 255
-    bar = int(half_column + 0.1 * WIDTH)
-    if int(bar + BAR_MM * px_per_mm) >= WIDTH:
-        raise ValueError("the canvas is too narrow for the reference bar")
-    image[HEIGHT // 2 - 1 : HEIGHT // 2 + 2, bar : int(bar + BAR_MM * px_per_mm) + 1] = 255
-    if condition == "rotated":
-        return imaging.rotate(image, (WIDTH / 2, HEIGHT / 2), turn, (HEIGHT, WIDTH))
-    return imaging.smooth(image, blur) if condition == "blur" else image
+    half, middle = half_widths(major, minor, pitch, px_per_mm)[:, None], WIDTH / 4
+    bar = int(0.6 * WIDTH), int(int(0.6 * WIDTH) + BAR_MM * px_per_mm)
+    if max(half.max(), major * px_per_mm / 2) >= middle or bar[1] >= WIDTH:
+        raise ValueError("the canvas is too narrow")
+    y, x = np.mgrid[0:HEIGHT, 0:WIDTH]
+    part = (x >= np.floor(middle - half)) & (x <= np.floor(middle + half))
+    part |= (abs(y - HEIGHT // 2) <= 1) & (x >= bar[0]) & (x <= bar[1])
+    return finish[condition](part.astype(np.uint8) * 255)
 
 
 def parameter_table(spark: SparkSession, designations: list[str], conditions: list[str], px_per_mm: float = 20.0) -> DataFrame:
