@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
 from plumbline.operators import evaluation as ev
-from plumbline.operators import coreset, fusion, gaussians, nearest, nearest_key, signal, spectra, tolerance, vectors, video
+from plumbline.operators import coreset, fusion, gaussians, nearest, nearest_key, regions, signal, spectra, tolerance, vectors, video
 from plumbline.session import scratch_path, ship, table
 from plumbline.sources import images, manifest
 
@@ -738,6 +738,28 @@ def image_quarantine(spark: SparkSession, d: str) -> DataFrame:
     return images.quarantined(images.decode(drawings(spark, d))).select("image_id", "error")
 
 
+OTSU_SQL = f"""SELECT image_id, level, (all_n - below)::BIGINT AS n_above, all_n::BIGINT AS n FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY between_ DESC, level) AS place FROM (
+    SELECT *, coalesce(CASE WHEN all_n > below THEN below * (all_n - below) * (total / below - (all_total - total) / (all_n - below)) * (total / below - (all_total - total) / (all_n - below)) END, 0) AS between_ FROM (
+    SELECT image_id, level, sum(n) OVER w AS below, sum(n * level) OVER w AS total, sum(n) OVER (PARTITION BY image_id) AS all_n, sum(n * level) OVER (PARTITION BY image_id) AS all_total FROM (
+    SELECT image_id, level::INT AS level, count(*)::DOUBLE AS n FROM ({PIXELS_SQL}) GROUP BY 1, 2) WINDOW w AS (PARTITION BY image_id ORDER BY level)))) WHERE place = 1"""
+
+
+@query(OTSU_SQL)
+def otsu_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The threshold of each drawing that can be read."""
+    return regions.otsu_levels(regions.pixels(images.readable(images.decode(drawings(spark, d)))))
+
+
+@query(f"""WITH RECURSIVE m AS MATERIALIZED (SELECT p.image_id, y, x, y * 6 + x AS i FROM ({PIXELS_SQL}) p JOIN ({OTSU_SQL}) o USING (image_id) WHERE (p.level > o.level) <> (n_above > n // 2)),
+    l(image_id, y, x, label) AS (SELECT image_id, y, x, i FROM m UNION SELECT m.image_id, m.y, m.x, l.label FROM l JOIN m ON m.image_id = l.image_id AND abs(m.y - l.y) <= 1 AND abs(m.x - l.x) <= 1),
+    r AS (SELECT image_id, label, count(*) AS area, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height
+        FROM (SELECT image_id, y, x, min(label) AS label FROM l GROUP BY 1, 2, 3) GROUP BY 1, 2)
+    SELECT image_id, n_regions, area, x, y, width, height FROM (SELECT *, count(*) OVER (PARTITION BY image_id) AS n_regions, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, label) AS place FROM r) WHERE place = 1""")
+def largest_region(spark: SparkSession, d: str) -> DataFrame:
+    """The largest connected region of each drawing's minority class."""
+    return regions.largest_region(regions.minority(regions.pixels(images.readable(images.decode(drawings(spark, d))))))
+
+
 @query()
 def synthetic_measurement(spark: SparkSession, d: str) -> DataFrame:
     """Drawn threads, measured from their pixels and compared with the truth; checked by tests."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,18 +66,38 @@ def spacing_confidence(mean: Column, std: Column, n_peaks: Column) -> Column:
     return clip01(1.0 - cv) * F.when(n_peaks < 5, F.lit(0.7)).otherwise(F.lit(1.0))
 
 
-def fixed(x: Column, digits: int) -> Column:
-    """A number with so many decimals, rounded from its exact binary value (ties to even); null stays null.
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value named once, so that an expression that needs it often stays small."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    The built-in formatting rounds the shortest decimal form instead, which differs for values such as 1.0005.
-    """
 
-    @F.pandas_udf("string")
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda v: f"{v:.{digits}f}")
+def fixed(x: Column, digits: int) -> Column:
+    """A number with so many decimals (1 to 6), rounded from its exact binary value (ties to even); null stays null.
 
-    return F.when(F.isnan(x), F.lit("nan")).when(x.isNotNull(), text(F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))))
+    The built-in formatting rounds the shortest decimal form instead, which differs for values such as 1.0005.  So the part below
+    the point is taken in units of 2 ** -62 as a whole number: an exact tie is a multiple of 2 ** -7 and has no smaller bits.  From
+    2 ** 62 on there are no decimals, and the built-in digits are used.
+    """
+    unit = F.lit(Decimal(2**62)).cast("decimal(19,0)")
+
+    def long_as_decimal(c: Column) -> Column:
+        return c.cast("long").cast("decimal(19,0)")
+
+    def rounded(size: Column, units: Column) -> Column:
+        guess = F.floor(units / unit)  # one too many where the quotient was rounded up
+        part = _let(guess, lambda g: g - F.when(long_as_decimal(g) * unit > units, 1).otherwise(0))
+        even = _let(part, lambda p: _let(2 * (units - long_as_decimal(p) * unit), lambda rest: p + F.when((rest > unit) | ((rest == unit) & (p % 2 == 1)), 1).otherwise(0)))
+        return _let(even.cast("long"), lambda p: F.concat((F.floor(size) + F.floor(p / 10**digits)).cast("string"), F.lit("."), F.lpad((p % 10**digits).cast("string"), digits, "0")))
+
+    def text(v: Column) -> Column:
+        size = F.abs(v)
+        small = F.when(size < float(2**62), size).otherwise(F.lit(0.0))
+        exact = _let(small, lambda s: _let(long_as_decimal((s - F.floor(s)) * float(2**62)) * F.lit(10**digits).cast("decimal(7,0)"), lambda u: rounded(s, u)))
+        sign = F.when(v.cast("string").startswith("-"), "-").otherwise("")
+        plain = F.when(size < float(2**62), exact).when(size == float("inf"), F.lit("inf")).otherwise(F.format_string(f"%.{digits}f", size))
+        return F.when(F.isnan(v), F.lit("nan")).when(v.isNotNull(), F.concat(sign, plain))
+
+    return _let(x.cast("double"), text)
 
 
 def joined(names: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,48 +92,48 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
     return df.agg(F.count_if(F.col(label) == 0).alias("n_normal"), F.count_if(F.col(label) == 1).alias("n_anomalous"))
 
 
-def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None, buckets: int = 64) -> DataFrame:
-    """(by, q0, q1, ...): exact percentiles of each group, interpolated; nulls don't count, and without groups there is always a row.
+def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None, buckets: int = 64, empty: bool = False) -> DataFrame:
+    """(by, q0, q1, ..., n, total): exact percentiles of each group, interpolated, with the values' number and sum; nulls don't count.
+
+    Without groups there is always a row; empty: groups of nulls alone have one too.
 
-    Equal values are counted before the shuffle.  The values around a rank are found by running counts inside ranges of a group's
-    values, so no buffer or task holds all values of a group; the ranges' bounds are approximate and decide the balance only.
+    Equal values are counted before the shuffle, which deals them by ranges of values inside a group; the ranges' bounds are approximate and
+    decide the balance only.  Each range then knows its count, so the ranks are sought in running counts of just the ranges that hold
+    one: no buffer or task holds all values of a group.  The values are read twice (a costly input is cut first, by the caller); the
+    counts' shuffle is used twice.
     """
     by = by or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    counts = cut(counts)
-    bounds = counts.groupBy(*by).agg(F.percentile_approx("s", [i / buckets for i in range(1, buckets)], 1000).alias("bounds"))
-    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"o.{k}")) for k in by]
-
-    def beside(rows: DataFrame, other: DataFrame, more: list[Column], names: list[str]) -> DataFrame:
-        left, right = rows.alias("c"), other.alias("o")
-        both = left.join(right, [*same, *more]) if same or more else left.crossJoin(F.broadcast(right))
-        return both.select("c.*", *[F.col(f"o.{k}").alias(k) for k in names])
-
-    rows = beside(counts, bounds, [], ["bounds"])
-    rows = rows.withColumn("range_", F.size(F.filter("bounds", lambda b: b < F.col("s")))).drop("bounds")
-    order = Window.partitionBy(*by).orderBy("range_")
-    totals = rows.groupBy(*by, "range_").agg(F.sum("n").alias("m"))
+    s = F.col(value).cast("double")
+    rows = df if empty else df.where(F.col(value).isNotNull())
+    counts = rows.groupBy(*by, s.alias("s")).agg(F.count(value).alias("n"))
+    bounds = rows.agg(F.percentile_approx(s, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
+    edges = F.array(*[F.lit(b) for b in [*sorted(set(bounds)), float("inf")]])
+    rows = counts.withColumn("range_", F.size(F.filter(edges, lambda b: b < F.col("s"))))
+    totals = rows.groupBy(*by, "range_").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("s")).alias("t"))
+    order, whole = Window.partitionBy(*by).orderBy("range_"), Window.partitionBy(*by)
     totals = totals.select(
-        *by, "range_", F.coalesce(F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"),
-        F.sum("m").over(Window.partitionBy(*by)).alias("all_"),
+        *[F.col(k).alias(f"{k}_") for k in by], F.col("range_").alias("held_"), "m",
+        F.coalesce(F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"), F.sum("m").over(whole).alias("all_"), F.sum("t").over(whole).alias("total_"),
     )
-    rows = beside(rows, totals, [F.col("c.range_") == F.col("o.range_")], ["before_", "all_"])
-    upto = F.col("before_") + F.sum("n").over(Window.partitionBy(*by, "range_").orderBy("s"))
-    rows = rows.withColumn("upto", upto).withColumn("below", F.col("upto") - F.col("n"))
+    ranks = [r for q in shares for r in (F.floor(F.lit(q) * (F.col("all_") - 1)), F.ceil(F.lit(q) * (F.col("all_") - 1)))]
+    sought = totals.where(reduce(or_, [F.col("all_") == 0] + [(r >= F.col("before_")) & (r < F.col("before_") + F.col("m")) for r in ranks]))  # 2 ranges for each share at most
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in by], F.col("range_") == F.col("held_"))
+    inside = Window.partitionBy(*by, "range_").orderBy("s")
+    rows = rows.join(sought, same).withColumn("upto", F.col("before_") + F.sum("n").over(inside)).withColumn("below", F.col("upto") - F.col("n"))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("below") <= rank) & (rank < F.col("upto")), F.col("s")))
 
-    places = [F.lit(q) * (F.col("all_") - 1) for q in shares]
     found = rows.groupBy(*by).agg(
-        *[x for i, p in enumerate(places) for x in (at(F.floor(p)).alias(f"low{i}"), at(F.ceil(p)).alias(f"high{i}"), F.max(p - F.floor(p)).alias(f"part{i}"))]
+        F.max("all_").alias("n"), F.max("total_").alias("total"), *[x for i, _ in enumerate(shares) for x in (at(ranks[2 * i]).alias(f"low{i}"), at(ranks[2 * i + 1]).alias(f"high{i}"))]
     )
 
-    def between(i: int) -> Column:
-        low, high, part = F.col(f"low{i}"), F.col(f"high{i}"), F.col(f"part{i}")
+    def between(i: int, q: float) -> Column:
+        place = F.lit(q) * (F.col("n") - 1)
+        low, high, part = F.col(f"low{i}"), F.col(f"high{i}"), place - F.floor(place)
         return F.when(low == high, low).otherwise((1 - part) * low + part * high).alias(f"q{i}")
 
-    return found.select(*by, *[between(i) for i in range(len(shares))])
+    return found.select(*by, *[between(i, q) for i, q in enumerate(shares)], "n", "total")
 
 
 def p99_threshold(scores: DataFrame, score: str = "score", q: float = 0.99) -> DataFrame:
@@ -139,14 +142,11 @@ def p99_threshold(scores: DataFrame, score: str = "score", q: float = 0.99) -> D
 
 
 def latency_stats(df: DataFrame, ms: str, by: list[str] | None = None) -> DataFrame:
-    """mean, p50, p95 and throughput per second (infinite for a mean that isn't positive)."""
+    """mean, p50, p95 and throughput per second (infinite for a mean that isn't positive); the input is read once."""
     by = by or []
-    means = df.groupBy(*by).agg(F.avg(ms).alias("mean_ms"))
-    exact = percentiles(df, ms, [0.5, 0.95], by).select(*[F.col(k).alias(f"{k}_") for k in by], F.col("q0").alias("p50_ms"), F.col("q1").alias("p95_ms"))
-    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in by]
-    out = means.join(exact, same, "left") if by else means.crossJoin(exact)
+    found = percentiles(df, ms, [0.5, 0.95], by, empty=True).withColumn("mean_ms", F.try_divide(F.col("total"), F.col("n")))
     rate = F.when(F.col("mean_ms") > 0, F.try_divide(F.lit(1000.0), F.col("mean_ms"))).otherwise(F.lit(float("inf")))
-    return out.select(*by, "mean_ms", "p50_ms", "p95_ms", rate.alias("throughput"))
+    return found.select(*by, "mean_ms", F.col("q0").alias("p50_ms"), F.col("q1").alias("p95_ms"), rate.alias("throughput"))
 
 
 def equivalence(df: DataFrame, a: str, b: str, atol: float = 1e-2, rtol: float = 1e-3) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import exceeds, fixed
-from plumbline.operators.tolerance import TOLERANCE_CLASS, matched_size, within
+from plumbline.operators.tolerance import matched_size, within
 
 #: Texts of the reasons.
 DISCLAIMER = (
@@ -39,7 +39,7 @@ def fuse_verdict(
     An item fails if its score exceeds the threshold (NaN never does) or its diameter is outside its
     size's limits.  A null diameter is a measurement that failed: its check is skipped, not failed.
     Other measurement columns (pitch_mm, confidence, calibrated, calibration_source) pass through;
-    calibrated = false adds a reason.  reasons=False leaves the texts, and with them all Python, out.
+    calibrated = false adds a reason.  reasons=False leaves the texts out.
     """
     d = F.col(diameter)
     rows = items.withColumn("size_", matched_size(d, F.col(designation) if designation else None))
@@ -51,9 +51,8 @@ def fuse_verdict(
     if reasons:
         said = F.when(anomalous, " exceeds threshold ").otherwise(" within threshold ")
         first = F.concat(F.lit("anomaly score "), fixed(F.col(score), 3), said, fixed(F.col(threshold), 3))
-        limits = F.concat(F.lit(f" class-{TOLERANCE_CLASS} limits ["), fixed(F.col("size_.min_mm"), 3), F.lit(", "), fixed(F.col("size_.max_mm"), 3), F.lit("]mm"))
         where = F.when(F.col("in_tolerance"), "mm within ").otherwise("mm outside ")
-        checked = F.concat(F.lit("major diameter "), fixed(d, 3), where, F.col("matched_designation"), limits)
+        checked = F.concat(F.lit("major diameter "), fixed(d, 3), where, F.col("matched_designation"), F.lit(" "), F.col("size_.limits"))
         second = F.when(d.isNull(), F.lit(SKIPPED)).otherwise(checked)
         third = F.lit(None).cast("string")
         if "calibrated" in items.columns:

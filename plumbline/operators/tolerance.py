@@ -32,7 +32,8 @@ def size_table(spark: SparkSession) -> DataFrame:
 def _entry(i: int) -> Column:
     name, pitch, basic, most, least = SIZES[i]
     return F.struct(
-        F.lit(name).alias("designation"), F.lit(pitch).alias("pitch_mm"), F.lit(basic).alias("basic_mm"), F.lit(most).alias("max_mm"), F.lit(least).alias("min_mm")
+        F.lit(name).alias("designation"), F.lit(pitch).alias("pitch_mm"), F.lit(basic).alias("basic_mm"), F.lit(most).alias("max_mm"), F.lit(least).alias("min_mm"),
+        F.lit(f"class-{TOLERANCE_CLASS} limits [{least:.3f}, {most:.3f}]mm").alias("limits"),
     )
 
 
@@ -54,7 +55,7 @@ def size_of(designation: Column) -> Column:
     names = ", ".join(sorted(s[0] for s in SIZES))
     wrong = F.raise_error(F.concat(F.lit("unknown designation "), designation, F.lit(f"; known: {names}")))
     return F.when(designation.isNull(), F.lit(None)).when(found.isNotNull(), found).otherwise(
-        F.struct(wrong.cast("string").alias("designation"), *[F.lit(0.0).alias(c) for c in ("pitch_mm", "basic_mm", "max_mm", "min_mm")])
+        F.struct(wrong.cast("string").alias("designation"), *[F.lit(0.0).alias(c) for c in ("pitch_mm", "basic_mm", "max_mm", "min_mm")], F.lit("").alias("limits"))
     )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import exceeds
 from plumbline.operators import coreset, evaluation, gaussians, nearest, vectors
-from plumbline.session import ship
+from plumbline.session import cut, ship
 
 #: Fixed values of the flat binary form: its mark and version.
 MARK, VERSION = b"GVPD", 1
@@ -99,7 +99,7 @@ def train(fit: Callable[[DataFrame], Model], normal: DataFrame, test: DataFrame,
     spark = normal.sparkSession
     save(model, path)
     model = load(spark, path)
-    threshold = evaluation.p99_threshold(predict(model, normal)).first()["threshold"]
+    threshold = evaluation.p99_threshold(cut(predict(model, normal))).first()["threshold"]
     model = model.with_threshold(threshold)
     save_meta(spark, model, path)
     curve = evaluation.roc(predict(model, test).join(labels, "image_id"), "score", "label")

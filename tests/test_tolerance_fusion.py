@@ -45,6 +45,12 @@ def test_text_rounds_the_exact_value(spark):
 
     rows = spark.createDataFrame([(1.0005,), (0.0625,), (float("nan"),), (None,), (-2.5,)], "x double")
     assert [r[0] for r in rows.select(fixed(F.col("x"), 3)).collect()] == ["1.000", "0.062", "nan", None, "-2.500"]
+    rng = random.Random(2)
+    values = [rng.choice([-1, 1]) * rng.uniform(0, 10 ** rng.randrange(-8, 15)) for _ in range(3000)] + [k / 2**j for j in (1, 3, 4, 5, 7) for k in range(-300, 300)]
+    values += [round(rng.uniform(0, 99), 4) + rng.choice([0.0005, 0.00005, 0.05]) for _ in range(2000)] + [0.0, -0.0, 9.9995, 0.99995, 2.0**61, 123456789.9999999, 5e-324, float("inf"), -float("inf")]
+    table = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (1, 2, 3, 4, 6):
+        assert [r[0] for r in table.select(fixed(F.col("x"), digits)).collect()] == [f"{v:.{digits}f}" for v in values]
 
 
 def test_nearest_size_tie_goes_to_the_first(spark):
