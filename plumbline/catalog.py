@@ -505,6 +505,27 @@ def model_train(spark: SparkSession, d: str) -> DataFrame:
     return rounded(result.withColumn("threshold", F.lit(model.threshold)))
 
 
+@query(f"""WITH RECURSIVE g AS MATERIALIZED ({GRID_SQL}), p AS MATERIALIZED (SELECT x, y, row_number() OVER (ORDER BY image_id || '/' || lpad(patch_idx::VARCHAR, 9, '0')) AS n FROM g WHERE image_id % 3 <> 0),
+    dist AS MATERIALIZED (SELECT a.n AS a, b.n AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS g FROM p a CROSS JOIN p b),
+    pick(k, chosen) AS (SELECT 0, [1::BIGINT] UNION ALL SELECT k + 1, list_append(chosen, (
+        SELECT a FROM (SELECT a, min(g) AS gap FROM dist WHERE list_contains(chosen, b) GROUP BY a) ORDER BY gap DESC, a LIMIT 1)) FROM pick WHERE k < 5),
+    bank AS MATERIALIZED (SELECT p.x, p.y FROM (SELECT unnest(chosen) AS n FROM pick WHERE k = 5) JOIN p USING (n)),
+    s AS MATERIALIZED (SELECT image_id, max(d) AS score FROM (SELECT image_id, patch_idx, min(sqrt((g.x - b.x) * (g.x - b.x) + (g.y - b.y) * (g.y - b.y))) AS d FROM g CROSS JOIN bank b GROUP BY 1, 2) GROUP BY 1),
+    t AS MATERIALIZED (SELECT image_id, score, image_id % 2 AS label FROM s WHERE image_id % 3 = 0),
+    c AS (SELECT count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM t),
+    w AS (SELECT sum(CASE WHEN a.score > b.score THEN 1 WHEN a.score = b.score THEN 0.5 ELSE 0 END)::DOUBLE AS won FROM t a, t b WHERE a.label = 1 AND b.label = 0)
+    SELECT round((SELECT quantile_cont(score, 0.99) FROM s WHERE image_id % 3 <> 0), 6) AS threshold, round(won / (p * n), 6) AS auroc, n AS n_normal, p AS n_anomalous FROM c, w""")
+def bank_train(spark: SparkSession, d: str) -> DataFrame:
+    """A memory bank: fit, threshold, save, load and evaluate; the model is left in the shared folder."""
+    from plumbline.plans import models
+
+    patches = grid_patches(spark, d)
+    test = patches.where("image_id % 3 = 0")
+    labels = test.select("image_id").distinct().withColumn("label", F.col("image_id") % 2)
+    model, result = models.train(lambda normal: models.fit_bank(normal, (2, 5), 2, size=6, start="least"), patches.where("image_id % 3 <> 0"), test, labels, scratch_path(spark, "model"))
+    return rounded(result.select(F.lit(model.threshold).alias("threshold"), "auroc", "n_normal", "n_anomalous"))
+
+
 @query(f"""SELECT patch_idx, f AS feature, round(CASE WHEN f = 0 THEN mx ELSE my END::FLOAT::DOUBLE, 5) AS mean, round(CASE WHEN f = 0 THEN vyy ELSE vxx END / (vxx * vyy - vxy * vxy), 3) AS own_inverse,
     round(-vxy / (vxx * vyy - vxy * vxy), 3) AS other_inverse, 2.5::DOUBLE AS threshold FROM ({GRID_MOMENTS_SQL}), range(2) r(f)""")
 def model_binary(spark: SparkSession, d: str) -> DataFrame:

@@ -1,17 +1,19 @@
 """Anomaly models as tables: fit, score, threshold, save and load.
 
-A model is a folder of Parquet: its table, and one metadata row.  Embeddings are an input table; an extractor
+A model is a folder of Parquet: a table for each version, and a manifest whose rows name them; a version is there once its row is.  Embeddings are an input table; an extractor
 that makes them from images is a plug-in.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from plumbline.session import cut, ship
 
 #: Fixed values of the flat binary form: its mark and version.
 MARK, VERSION = b"GVPD", 1
-META = "kind string, feature_indices array<int>, grid_height int, grid_width int, threshold double, seed int"
+MANIFEST = "version long, folder string, kind string, feature_indices array<int>, grid_height int, grid_width int, threshold double, seed int"
 
 
 @dataclass(frozen=True)
@@ -55,10 +57,10 @@ def fit_gaussian(patches: DataFrame, grid: tuple[int, int], n_features: int = 10
     return Model("gaussian", gaussians.fit_gaussians(_selected(patches, indices)), indices, grid, None, seed)
 
 
-def fit_bank(patches: DataFrame, grid: tuple[int, int], n_features: int = 100, size: int = 2000, pool: int | None = 20_000, seed: int = 0) -> Model:
+def fit_bank(patches: DataFrame, grid: tuple[int, int], n_features: int = 100, size: int = 2000, pool: int | None = 20_000, seed: int = 0, start: str = "hashed") -> Model:
     indices = _features(patches, n_features, seed)
     rows = _selected(patches, indices).withColumn("key", F.concat_ws("/", F.col("image_id").cast("string"), F.lpad(F.col("patch_idx").cast("string"), 9, "0")))
-    return Model("bank", coreset.fit_bank(rows, "key", size, pool, seed).select("ordinal", "features"), indices, grid, None, seed)
+    return Model("bank", coreset.fit_bank(rows, "key", size, pool, seed, start=start).select("ordinal", "features"), indices, grid, None, seed)
 
 
 def patch_distances(model: Model | None, patches: DataFrame) -> DataFrame:
@@ -101,28 +103,61 @@ def train(fit: Callable[[DataFrame], Model], normal: DataFrame, test: DataFrame,
     model = load(spark, path)
     threshold = evaluation.p99_threshold(cut(predict(model, normal))).first()["threshold"]
     model = model.with_threshold(threshold)
-    save_meta(spark, model, path)
+    save_threshold(spark, path, threshold)
     curve = evaluation.roc(predict(model, test).join(labels, "image_id"), "score", "label")
     result = evaluation.auroc_of(curve).crossJoin(evaluation.youden_of(curve).withColumnRenamed("threshold", "recommended_threshold"))
     return model, result
 
 
-def save_meta(spark: SparkSession, model: Model, path: str) -> None:
-    row = (model.kind, model.feature_indices, *model.grid, model.threshold, model.seed)
-    spark.createDataFrame([row], META).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
-def save(model: Model, path: str) -> None:
-    model.table.write.mode("overwrite").parquet(f"{path}/table")
-    save_meta(model.table.sparkSession, model, path)
+def _commit(spark: SparkSession, model: Model, path: str, folder: str) -> None:
+    """A further row of the manifest; it is one file that appears as a whole, and the last thing that is written."""
+    before = _manifest(spark, path)
+    version = 1 + (before.agg(F.max("version").alias("v")).first()["v"] or 0 if before is not None else 0)
+    row = (version, folder, model.kind, model.feature_indices, *model.grid, model.threshold, model.seed)
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
 
-def load(spark: SparkSession, path: str) -> Model:
-    """A saved model; a missing threshold, stored as null or NaN, is none."""
-    m = spark.read.parquet(f"{path}/meta").first()
+def save(model: Model, path: str) -> str:
+    """Writes the table to a folder of its own, then commits it; gives the folder's name.
+
+    A write that fails or is lost leaves nothing in the manifest, and the former model stays what readers get.
+    """
+    folder = uuid.uuid4().hex
+    model.table.write.parquet(f"{path}/{folder}")
+    _commit(model.table.sparkSession, model, path, folder)
+    return folder
+
+
+def save_threshold(spark: SparkSession, path: str, threshold: float | None) -> None:
+    """A new version of the saved model: the same table with another threshold."""
+    model, folder = _read(spark, path)
+    _commit(spark, model.with_threshold(threshold), path, folder)
+
+
+def _read(spark: SparkSession, path: str, version: int | None = None) -> tuple[Model, str]:
+    manifest = _manifest(spark, path)
+    if manifest is not None and version is not None:
+        manifest = manifest.where(F.col("version") == version)
+    m = manifest.orderBy(F.col("version").desc(), F.col("folder").desc()).first() if manifest is not None else None
+    if m is None:
+        raise FileNotFoundError(f"no saved model in {path}")
     limit = m["threshold"]
     limit = None if limit is None or np.isnan(limit) else limit
-    return Model(m["kind"], spark.read.parquet(f"{path}/table"), list(m["feature_indices"]), (m["grid_height"], m["grid_width"]), limit, m["seed"])
+    return Model(m["kind"], spark.read.parquet(f"{path}/{m['folder']}"), list(m["feature_indices"]), (m["grid_height"], m["grid_width"]), limit, m["seed"]), m["folder"]
+
+
+def load(spark: SparkSession, path: str, version: int | None = None) -> Model:
+    """The last committed version of a saved model, or the one asked for; a missing threshold, stored as null or NaN, is none."""
+    return _read(spark, path, version)[0]
 
 
 def info(model: Model | None) -> dict:

@@ -182,6 +182,23 @@ def test_training_job(spark, tmp_path):
     assert models.info(model)["status"] == "ok" and models.info(None)["status"] == "unavailable"
 
 
+def test_a_failed_save_leaves_the_former_model(spark, tmp_path):
+    path = str(tmp_path / "m")
+    with pytest.raises(FileNotFoundError):
+        models.load(spark, path)
+    model = models.fit_gaussian(patches(spark, 5), (2, 2), 3).with_threshold(1.0)
+    models.save(model, path)
+    broken = models.Model(model.kind, model.table.withColumn("n", F.raise_error(F.lit("lost")).cast("long")), [0], (1, 1), 9.0)
+    with pytest.raises(Exception, match="lost"):
+        models.save(broken, path)
+    again = models.load(spark, path)
+    assert (again.threshold, again.grid, again.table.count()) == (1.0, (2, 2), 4)
+    models.save_threshold(spark, path, 2.5)
+    models.save(model.with_threshold(None), path)
+    assert models.load(spark, path).threshold is None
+    assert [models.load(spark, path, v).threshold for v in (1, 2, 3)] == [1.0, 2.5, None]
+
+
 def test_flat_binary_form(spark):
     model = models.fit_gaussian(patches(spark, 5, 4, 6), (2, 2), 3).with_threshold(1.2345)
     data = models.to_binary(model)
