@@ -18,6 +18,7 @@ from plumbline.functions import scalars as S
 from plumbline.operators import evaluation as ev
 from plumbline.operators import coreset, fusion, gaussians, nearest, nearest_key, regions, signal, spectra, tolerance, vectors, video
 from plumbline.session import scratch_path, ship, table
+from plumbline.sources import frames as frame_source
 from plumbline.sources import images, manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -759,6 +760,15 @@ def image_quarantine(spark: SparkSession, d: str) -> DataFrame:
     return images.quarantined(images.decode(drawings(spark, d))).select("image_id", "error")
 
 
+@query("""SELECT p_partkey % 40 AS video_id, (p_partkey % 40)::DOUBLE AS fps, count(*) AS frame_count, CASE WHEN count(*) FILTER (WHERE p_partkey % 11 <> 0) > 0 THEN 6 END::INT AS width,
+    CASE WHEN count(*) FILTER (WHERE p_partkey % 11 <> 0) > 0 THEN 4 END::INT AS height FROM part GROUP BY 1, 2""")
+def video_probe(spark: SparkSession, d: str) -> DataFrame:
+    """Rate, number and size of frames; drawings as frames of forty videos."""
+    video_id = F.col("image_id") % 40
+    rows = drawings(spark, d).select(video_id.alias("video_id"), F.floor(F.col("image_id") / 40).alias("frame_index"), video_id.cast("double").alias("fps"), "content")
+    return frame_source.probe(rows)
+
+
 OTSU_SQL = f"""SELECT image_id, level, (all_n - below)::BIGINT AS n_above, all_n::BIGINT AS n FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY between_ DESC, level) AS place FROM (
     SELECT *, coalesce(CASE WHEN all_n > below THEN below * (all_n - below) * (total / below - (all_total - total) / (all_n - below)) * (total / below - (all_total - total) / (all_n - below)) END, 0) AS between_ FROM (
     SELECT image_id, level, sum(n) OVER w AS below, sum(n * level) OVER w AS total, sum(n) OVER (PARTITION BY image_id) AS all_n, sum(n * level) OVER (PARTITION BY image_id) AS all_total FROM (
