@@ -37,6 +37,8 @@ _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MIN_CHAR
 DIGEST_CHARS = {32, 40, 56, 64, 96, 128}
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+#: Letters of alphabets whose words are written without spaces inside: what touches one is a part of a word.
+_LETTER = re.compile(r"[\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F\u0370-\u052F\u1E00-\u1FFF]")
 _SIGNS = re.compile(r"[+/_=-]+")
 _WORDS = re.compile(r"[A-Z]?[a-z]{%d,}|[A-Z]{%d,}(?![a-z])" % (WORD_LETTERS - 1, WORD_LETTERS))
 
@@ -83,12 +85,19 @@ def is_random(s: str, count) -> bool:
 
 
 def random_spans(text: str, count) -> list[Span]:
-    """Runs that are spelled with too many tokens."""
+    """Runs that are spelled with too many tokens; of a run that touches a further letter, the part beyond its first sign on that side."""
     out = []
     for m in _CANDIDATE.finditer(text):
-        s = m[0].strip("=-+/_")
+        a, b = m.span()
+        if a and _LETTER.match(text, a - 1):
+            sign = _SIGNS.search(text, a, b)
+            a = sign.end() if sign else b
+        if b < len(text) and _LETTER.match(text, b):
+            signs = [x.start() for x in _SIGNS.finditer(text, a, b)]
+            b = signs[-1] if signs else a
+        s = text[a:b].strip("=-+/_")
         if len(s) >= MIN_CHARS and is_random(s, count):
-            start = m.start() + m[0].index(s)
+            start = text.index(s, a)
             out.append(("random", start, start + len(s)))
     return out
 

@@ -111,6 +111,11 @@ def test_random_strings_of_every_alphabet():
             found = [secrets.random_spans(f"say {r}.", count) == [("random", 4, 4 + n)] for r in runs]
             assert sum(found) >= 0.95 * len([r for r in runs if r[0] not in "+/-_" and r[-1] not in "+/-_"]) - 4, (letters, n)
     assert not [s for s in IDENTIFIERS if secrets.random_spans(s, count)]
+    key = "q7ZpX0vLm3KdT9wRbY2n"
+    for text in (f"Schl\u00fcssel={key}", f"{key} \u00fcber", f"{key}\u3001", f"\u5bc6\u7801{key}", f"cl\u00e9-{key}-\u00e9"):
+        assert [text[a:b] for _, a, b in secrets.random_spans(text, count)] == [key]
+    for text in (f"\u00e9{key}", f"{key}\u00df", "chte\u00e4einpfauaueinchpfenau\u00e4"):
+        assert secrets.random_spans(text, count) == []
 
 
 def plain_random(t, count):
@@ -121,8 +126,14 @@ def plain_random(t, count):
         while n < len(t) and t[n] in allowed:
             n += 1
         run = t[k:n]
-        left = len(run) - len(run.lstrip("+/_=-"))
-        s = run.strip("+/_=-")
+        begin = 0
+        if k and t[k - 1].isalpha():
+            begin = next((i for i, c in enumerate(run) if c in "+/_=-"), len(run))
+        if n < len(t) and t[n].isalpha():
+            run = run[: next((i for i in range(len(run) - 1, begin - 1, -1) if run[i] in "+/_=-"), begin)]
+        run = " " * begin + run[begin:] if begin else run
+        left = len(run) - len(run.lstrip("+/_=- "))
+        s = run.strip("+/_=- ")
         if len(s) >= secrets.MIN_CHARS and secrets.is_random(s, count):
             out.append(("random", k + left, k + left + len(s)))
         k = n + 1
