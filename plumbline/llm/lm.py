@@ -28,7 +28,7 @@ from plumbline.session import cut, ship
 from plumbline.llm.bytewords import Batch, in_slices
 
 ORDER = 4
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 12_000_000
 #: Bytes that no UTF-8 text contains: before a text, and its end.
 START, END = 0xFE, 0xFF
 #: Symbols that can follow a context: all bytes but START.
