@@ -296,10 +296,25 @@ def _neighbours(own: list[tuple[str, ...]]) -> list[list[tuple[int, str]]]:
     return [[(s, f) for s, fs in zip((-1, 0, 1), three, strict=True) for f in fs] for three in zip([EDGE, *own[:-1]], own, [*own[1:], EDGE], strict=True)]
 
 
+class _Sums:
+    """Sums of a table's rows: row `of` of the table is added to row `to` of the result.  A sparse product, without the zeros."""
+
+    def __init__(self, to: np.ndarray, of: np.ndarray, n: int) -> None:
+        pairs = np.unique(np.stack((to, of)), axis=1)  # a feature that a word has twice counts once
+        self.of, self.n = pairs[1], n
+        self.first = np.flatnonzero(np.concatenate(([True], pairs[0][1:] != pairs[0][:-1])))
+        self.rows = pairs[0][self.first]
+
+    def __call__(self, table: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, table.shape[1]))
+        out[self.rows] = np.add.reduceat(table[self.of], self.first, axis=0)
+        return out
+
+
 @lru_cache(maxsize=2)
 def _trained(lines: tuple[str, ...], steps: int, rate: float, penalty: float) -> Field:
     data = [(tokens(t), spans) for t, spans in read_labelled(list(lines))]
-    data = [(w, states_of(w, spans)) for w, spans in data if w]
+    data = sorted(((w, states_of(w, spans)) for w, spans in data if w), key=lambda x: -len(x[0]))
     index: dict[tuple[int, str], int] = {}
     n, k = len(data), len(STATES)
     t = max((len(w) for w, _ in data), default=1)
@@ -312,15 +327,18 @@ def _trained(lines: tuple[str, ...], steps: int, rate: float, penalty: float) ->
             for x in names:
                 at.append(i * t + j)
                 feature.append(index.setdefault(x, len(index)))
-    used = np.zeros((n * t, len(index) + N_BETWEEN), dtype=np.float32)
-    used[at, feature] = 1
     for b in range(4):
-        used[np.flatnonzero((bits.ravel() >> b & 1) & real.ravel()), len(index) + b] = 1
+        there = np.flatnonzero((bits.ravel() >> b & 1) & real.ravel())
+        at += there.tolist()
+        feature += [len(index) + b] * len(there)
+    by_word, by_feature = _Sums(np.array(at), np.array(feature), n * t), _Sums(np.array(feature), np.array(at), len(index) + 4)
     hot = np.eye(k)[gold] * real[:, :, None]
     block, start = allowed_moves(), _start()
     both = real[:, 1:] & real[:, :-1]
     gold_moves = np.einsum("ntj,ntk,nt->jk", hot[:, :-1], hot[:, 1:], both)
-    theta = [np.zeros((used.shape[1], k)), np.zeros((k, k))]
+    last = real.sum(axis=1) - 1
+    going = real.sum(axis=0)  # lines that have so many words; the longest are the first
+    theta = [np.zeros((len(index) + 4, k)), np.zeros((k, k))]
     first, second = ([np.zeros_like(x) for x in theta] for _ in range(2))
 
     def add(x: np.ndarray, axis: int) -> np.ndarray:
@@ -328,20 +346,22 @@ def _trained(lines: tuple[str, ...], steps: int, rate: float, penalty: float) ->
         return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
     for step in range(1, steps + 1):
-        e = (used @ theta[0].astype(np.float32)).reshape(n, t, k).astype(float)
+        e = by_word(theta[0]).reshape(n, t, k)
         moves = theta[1] + block
         alpha, beta = np.zeros((n, t, k)), np.zeros((n, t, k))
         alpha[:, 0] = e[:, 0] + start
         for j in range(1, t):
-            forward = add(alpha[:, j - 1, :, None] + moves[None], 1) + e[:, j]
-            alpha[:, j] = np.where(real[:, j, None], forward, alpha[:, j - 1])
+            m = going[j]
+            alpha[:m, j] = add(alpha[:m, j - 1, :, None] + moves[None], 1) + e[:m, j]
+        z = add(alpha[np.arange(n), last], 1)
+        pairs = np.zeros((k, k))
         for j in range(t - 2, -1, -1):
-            back = add(moves[None] + (e[:, j + 1] + beta[:, j + 1])[:, None, :], 2)
-            beta[:, j] = np.where(real[:, j + 1, None], back, beta[:, j + 1])
-        z = add(alpha[:, -1], 1)
+            m = going[j + 1]
+            ahead = moves[None] + (e[:m, j + 1] + beta[:m, j + 1])[:, None, :]
+            beta[:m, j] = add(ahead, 2)
+            pairs += np.exp(np.minimum(alpha[:m, j, :, None] + ahead - z[:m, None, None], 0)).sum(axis=0)
         p = np.exp(np.minimum(alpha + beta - z[:, None, None], 0)) * real[:, :, None]
-        pair = np.exp(np.minimum(alpha[:, :-1, :, None] + moves[None, None] + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None], 0))
-        grad = [used.T @ (hot - p).reshape(n * t, k).astype(np.float32), gold_moves - np.einsum("ntjk,nt->jk", pair, both)]
+        grad = [by_feature((hot - p).reshape(n * t, k)), gold_moves - pairs]
         for x, g, m, v in zip(theta, grad, first, second, strict=True):
             g = g - penalty * x
             m += 0.1 * (g - m)
