@@ -442,10 +442,7 @@ def embedding_heatmap(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT vec_id, floor((v - a) / CASE WHEN b > a THEN b - a ELSE 1 END * 255)::INT AS level FROM (SELECT vec_id, embedding[1]::DOUBLE AS v, min(embedding[1]::DOUBLE) OVER (PARTITION BY label) AS a, max(embedding[1]::DOUBLE) OVER (PARTITION BY label) AS b FROM embeddings)")
 def heatmap_levels(spark: SparkSession, d: str) -> DataFrame:
-    rows = two_features(spark, d)
-    reach = rows.groupBy("label").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    span = F.when(F.col("b") > F.col("a"), F.col("b") - F.col("a")).otherwise(F.lit(1.0))
-    return rows.join(reach, "label").select("vec_id", F.floor((F.col("x") - F.col("a")) / span * 255).cast("int").alias("level"))
+    return vectors.min_max_levels(two_features(spark, d), "label", "x").select("vec_id", "level")
 
 
 CELL_SQL = "greatest(0, least({n} - 1, ({at} + 0.5::DOUBLE) * {n} / {size} - 0.5::DOUBLE))"

@@ -27,6 +27,17 @@ def image_scores(distances: DataFrame, distance: str = "distance") -> DataFrame:
     return distances.groupBy("image_id").agg(F.max(distance).alias("score"))
 
 
+def min_max_levels(rows: DataFrame, group: str, value: str, level: str = "level") -> DataFrame:
+    """rows with the value's place between its group's least and greatest as 0 to 255, cut down; 0 where all are equal.
+
+    The ends are combined before the shuffle; groups of any size come back by a join.
+    """
+    ends = rows.groupBy(group).agg(F.min(value).alias("least_"), F.max(value).alias("most_"))
+    span = F.when(F.col("most_") > F.col("least_"), F.col("most_") - F.col("least_")).otherwise(F.lit(1.0))
+    both = rows.join(ends, group)
+    return both.select(*[F.col(c) for c in rows.columns], F.floor((F.col(value) - F.col("least_")) / span * 255).cast("int").alias(level))
+
+
 def resize_map(values: np.ndarray, height: int, width: int) -> np.ndarray:
     """Bilinear resize with half-pixel centres and clamped edges."""
 

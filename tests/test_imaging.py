@@ -161,3 +161,23 @@ def test_json_log_lines():
     said = json.loads(inspection.JsonLines().format(record))
     assert len(own) == 1 and said["message"] == "hi you" and said["frames"] == 3 and said["timestamp"] != "no"
     logging.getLogger().removeHandler(own[0])
+
+
+def test_network_input_has_the_fixed_scale():
+    flat = imaging.normalised_input(np.full((7, 9), 128, np.uint8), 4)
+    assert flat.shape == (3, 4, 4) and flat.dtype == np.float32
+    for c, (mean, deviation) in enumerate(((0.485, 0.229), (0.456, 0.224), (0.406, 0.225))):
+        assert np.allclose(flat[c], (128 / 255 - mean) / deviation, atol=1e-6)
+    ramp = imaging.normalised_input(np.tile(np.array([0, 255], np.uint8), (2, 1)), 4)[0] * 0.229 + 0.485
+    assert np.allclose(ramp, [[0, 0.25, 0.75, 1]] * 4, atol=1e-6)
+
+
+def test_levels_of_groups_equal_the_kernel(spark):
+    from plumbline.operators import vectors
+
+    rng = np.random.default_rng(1)
+    groups = {"a": rng.normal(size=50), "flat": np.full(4, 2.5)}
+    rows = spark.createDataFrame([(g, i, float(v)) for g, vs in groups.items() for i, v in enumerate(vs)], "g string, i int, v double")
+    got = {(r["g"], r["i"]): r["level"] for r in vectors.min_max_levels(rows, "g", "v").collect()}
+    for g, vs in groups.items():
+        assert [got[g, i] for i in range(len(vs))] == imaging.min_max_bytes(vs).tolist()
