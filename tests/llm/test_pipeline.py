@@ -107,5 +107,5 @@ def test_run_writes_and_reads_every_stage(spark, data):
 
 
 def test_names():
-    assert {q.split("_")[0] for q in queries.QUERIES if q != "pipeline"} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES if q != "pipeline"} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.ORACLES) <= set(queries.QUERIES)
