@@ -1,11 +1,12 @@
 """Benchmark decontamination: n-gram seeds find where a test item may stand, and Smith-Waterman scores it.
 
-Items and documents are read as words in lower case, without punctuation.  (1) Each of an item's n-grams is a
-seed, however often it is found, so a copy needs one of them only.  (2) Where a document has a seed,
+Items and documents are read as words in lower case, without punctuation.  (1) Three words of four in a row, one at most
+of the inner two left out, are a seed: of items and documents alike, so that a word that was changed, put in or left out between them does not
+part them.  Each seed of an item counts, however often it is found, so a copy needs one of them only.  (2) Where a document has a seed,
 the words around it are aligned with the item's; the score is the best local alignment's over the item's length, so
 edited copies score less than 1 but far more than chance.  Before that, a window that cannot reach the
-threshold is left out: a score is never more than the share of the item's words that the window has.  Short items
-are told from chance by no part of them: they are sought as runs of all their words, without seeds.
+threshold is left out: a score is never more than the share of the item's words that the window has.  A part of a short item
+says little: one edit is all that items of 5 to 7 words may have, and shorter ones are sought as runs of all their words, without seeds.
 
 The benchmark is handled in blocks of bounded size, one after the other: each is broadcast, all documents meet it, and what they
 keep or match is written before the next one is read.  Nothing of the documents comes back to the driver.
@@ -24,12 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.session import cut, ship
-from plumbline.llm.bytewords import Batch, shingles
+from plumbline.llm.bytewords import Batch, mix, shingles
 from plumbline.llm.texts import free_name, kernel_column
 
-SEED_WORDS = 3
-#: Items of fewer words are found just where all their words stand in a row.
-MIN_ITEM_WORDS = 8
+#: Which words of a row make a seed.
+SEEDS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
+#: Items of fewer words are found just where all their words stand in a row; from there to MIN_FREE_WORDS they may have one edit.
+MIN_ITEM_WORDS, MIN_FREE_WORDS = 5, 8
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Characters of benchmark text in a block.
@@ -45,6 +47,25 @@ def normal(text: str | None) -> str:
     return _PUNCTUATION.sub(" ", (text or "").lower())
 
 
+def needed(n_words: int) -> float:
+    """The least score of a match with an item of so many words: that of one changed word below MIN_FREE_WORDS, else THRESHOLD of its length."""
+    return n_words - MATCH + MISMATCH if n_words < MIN_FREE_WORDS else THRESHOLD * n_words
+
+
+def seeds(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The seeds' hashes, and the word where each begins; first: each text's first word (one more entry than texts)."""
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    found, places = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    for pattern in SEEDS:
+        at = np.flatnonzero(text[: len(text) - pattern[-1]] == text[pattern[-1] :])
+        own = np.zeros(len(at), dtype=np.uint64)
+        for k in pattern:
+            own = mix(own) + hashes[at + k]
+        found.append(mix(own))
+        places.append(at)
+    return np.concatenate(found), np.concatenate(places)
+
+
 @dataclass
 class Block:
     """Items as word hashes, and their seeds: sorted hashes, and the places (hash's number, item, word) where they stand, sorted.
@@ -73,30 +94,31 @@ def read_block(rows: list[tuple[int, str | None]]) -> Block:
                 whole = int(shingles(own, np.array([0, len(own)]), len(own))[0][0])
                 short.setdefault(len(own), {}).setdefault(whole, []).append(item)
             continue
-        runs.append(shingles(own, np.array([0, len(own)]), SEED_WORDS)[0])
+        runs.append(seeds(own, np.array([0, len(own)])))
         ids.append(item)
         words.append(own)
     if not ids:
         return Block(ids, words, np.zeros(0, dtype=np.uint64), np.zeros((0, 3), dtype=np.int64), short)
-    grams, gram = np.unique(np.concatenate(runs), return_inverse=True)
-    item = np.repeat(np.arange(len(ids)), [len(r) for r in runs])
-    at = np.concatenate([np.arange(len(r)) for r in runs])
+    grams, gram = np.unique(np.concatenate([r for r, _ in runs]), return_inverse=True)
+    item = np.repeat(np.arange(len(ids)), [len(r) for r, _ in runs])
+    at = np.concatenate([a for _, a in runs])
     return Block(ids, words, grams, np.stack((gram, item, at), axis=1)[np.lexsort((at, item, gram))], short)
 
 
 def gram_places(texts: list[str | None], grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Where the texts have n-grams of the sorted list: text, word in the text, place in the list; and the words' hashes and first words."""
+    """Where the texts have seeds of the sorted list: text, word in the text, place in the list; and the words' hashes and first words."""
     batch = Batch([normal(t) for t in texts])
     begin, end, first = batch.words()
     hashes = batch.word_hashes(begin, end)
-    runs, offset = shingles(hashes, first, SEED_WORDS)
-    if not len(grams) or not len(runs):
+    if not len(grams):
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, hashes, first
+    runs, word = seeds(hashes, first)
     at = np.minimum(np.searchsorted(grams, runs), len(grams) - 1)
     hit = np.flatnonzero(grams[at] == runs)
-    text = np.searchsorted(offset, hit, side="right") - 1
-    return text, hit - offset[text], at[hit], hashes, first
+    hit = hit[np.argsort(word[hit], kind="stable")]
+    text = np.searchsorted(first, word[hit], side="right") - 1
+    return text, word[hit] - first[text], at[hit], hashes, first
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int]:
@@ -132,6 +154,7 @@ class _Matcher:
         self.block = block
         self.size = np.array([len(w) for w in block.words], dtype=np.int64)
         self.first = np.cumsum(self.size) - self.size
+        self.needed = np.array([needed(n) for n in self.size.tolist()])
         self.vocabulary, self.word = np.unique(np.concatenate(block.words), return_inverse=True) if block.ids else (np.zeros(0, dtype=np.uint64),) * 2
         self.keys = block.places[:, 0] * len(block.ids) + block.places[:, 1]
         self.short = {n: np.array(sorted(whole), dtype=np.uint64) for n, whole in block.short.items()}
@@ -194,10 +217,10 @@ class _Matcher:
         of = np.searchsorted(pairs, window, side="right") - 1
         ends = np.concatenate((pairs[1:], [len(text)]))
         best: dict[int, tuple[float, int, int]] = {}
-        for k in np.flatnonzero(self._share(item[window], a, b, len(hashes) + 1, stands) >= THRESHOLD * self.size[item[window]]).tolist():
+        for k in np.flatnonzero(self._share(item[window], a, b, len(hashes) + 1, stands) >= self.needed[item[window]]).tolist():
             own, words = self.block.words[item[window[k]]], hashes[a[k] : b[k]]
             score, end = align(own, words)
-            if score >= THRESHOLD * len(own) and score > best.get(of[k], (0.0,))[0]:
+            if score >= needed(len(own)) and score > best.get(of[k], (0.0,))[0]:
                 back, length = align(own[::-1], words[:end][::-1])
                 begin = int(a[k] - first[text[window[k]]])
                 best[of[k]] = score, begin + end - length, begin + end
@@ -265,9 +288,9 @@ def _matched(docs: DataFrame, block: Block, text: str) -> Column:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, n_seeds, first_word, end_word): the best match of each document with each item.
 
-    Only matches of THRESHOLD or more; of items of fewer than MIN_ITEM_WORDS words, only whole ones, the first in
-    the document.  Words are counted from 0 in the text as it is read here; n_seeds are the item's seeds inside
-    the match (1 for a short item).  Null and empty texts match nothing, and null items are not sought; an item
+    Only matches whose score is enough (see needed); of items of fewer than MIN_ITEM_WORDS words, only whole ones, the first in
+    the document.  Words are counted from 0 in the text as it is read here; n_seeds is at how many of the item's words a seed begins that is
+    inside the match (1 for an item sought whole).  Of equal scores the first window's counts, and in it the first place where one ends.  Null and empty texts match nothing, and null items are not sought; an item
     whose id repeats is sought in each form.  Repeated rows give repeated matches; an empty table gives no
     rows; other columns are ignored, whatever their names.
     """

@@ -433,23 +433,50 @@ def test_leaks_equal_brute_force_and_edited_copies_are_found(spark):
 def test_a_lone_copy_with_few_seeds_is_found(spark):
     item = [f"w{k}" for k in range(20)]
     copy = [w if k not in (3, 7, 11, 15) else "other" for k, w in enumerate(item)]
-    kept = sum("other" not in copy[k : k + 3] for k in range(18))
+    kept = sum(any(k + s[-1] < 20 and "other" not in [copy[k + x] for x in s] for s in decontaminate.SEEDS) for k in range(18))
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     leaks = [(k, passage(k, 5) + " " + " ".join(item)) for k in range(1, 60)]
     for rows in ([], leaks):
         docs = spark.createDataFrame([(0, passage(0, 30) + " " + " ".join(copy) + " " + passage(99, 30)), *rows], "doc_id long, text string")
         got = {r["doc_id"]: (r["score"], r["n_seeds"]) for r in decontaminate.find_leaks(docs, bench).collect()}
-        assert set(got) == {0, *dict(rows)} and kept < 9 and got[0] == (0.7, kept)
+        assert set(got) == {0, *dict(rows)} and kept < 15 and got[0] == (0.7, kept)
 
 
-def test_short_items_are_found_whole(spark):
+def test_copies_without_three_words_in_a_row_are_found(spark):
+    """Every third word replaced, or a word put in after every other one."""
+    item = [f"w{k}" for k in range(24)]
+    third = ["other" if k % 3 == 2 else w for k, w in enumerate(item)]
+    wider = [x for k, w in enumerate(item) for x in ((w, "more") if k % 2 else (w,))]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join([passage(k, 20), *copy, passage(50 + k, 20)])) for k, copy in enumerate((third, wider, item[:9]))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["score"], r["first_word"], r["end_word"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert set(got) == {0, 1} and got[0][0] == round((16 - 7 * 0.5) / 24, 6) and got[1][0] == round((24 - 11 * 0.5) / 24, 6)
+
+
+def test_short_items_may_have_one_edit(spark):
+    """All copies of items of 5 to 7 words with a word changed, left out or put in; two changed words are too many."""
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in (4, 5, 6, 7)]
+    rows, want = [], set()
+    for n, text in items:
+        w = words(text)
+        once = [w[:k] + edit + w[k + 1 :] for k in range(n) for edit in ([], ["other"], [w[k], "other"])]
+        twice = [["other" if k in (a, b) else x for k, x in enumerate(w)] for a in range(1, n) for b in range(a + 1, n - 1)]
+        for copy, few in [(w, True), *((c, n > 4 or w == c[:n]) for c in once), *((c, False) for c in twice)]:
+            want |= {(len(rows), n)} if few else set()
+            rows.append((len(rows), " ".join(["x y z", *copy, "u v"])))
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()} == want
+
+
+def test_short_items(spark):
     items = [(1, "What is the capital, then?"), (2, "Who wrote it"), (3, "Kumquat!"), (4, "one two three four five six seven"), (5, "?!"), (6, "who wrote it?")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     texts = ["a b what is the capital then c what is the capital then", "what is the capital", "who wrote it", "say who wrote", "so a KUMQUAT, a kumquat", "one two three four six seven", "", None, "one two three four five six seven"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted(tuple(r) for r in decontaminate.find_leaks(docs, bench).collect())
-    assert got == [(0, 1, 1.0, 1, 2, 7), (2, 2, 1.0, 1, 0, 3), (2, 6, 1.0, 1, 0, 3), (4, 3, 1.0, 1, 2, 3), (8, 4, 1.0, 1, 0, 7)]
-    assert sorted(r["doc_id"] for r in decontaminate.without_leaks(docs, bench).collect()) == [1, 3, 5, 6, 7]
+    whole = [(2, 2, 1.0, 1, 0, 3), (2, 6, 1.0, 1, 0, 3), (4, 3, 1.0, 1, 2, 3)]
+    assert got == [(0, 1, 1.0, 3, 2, 7), (1, 1, 0.8, 2, 0, 4), *whole, (5, 4, round(5.5 / 7, 6), 4, 0, 6), (8, 4, 1.0, 5, 0, 7)]
+    assert sorted(r["doc_id"] for r in decontaminate.without_leaks(docs, bench).collect()) == [3, 6, 7]
 
 
 def test_matches_by_blocks(spark, monkeypatch):
