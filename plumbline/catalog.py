@@ -326,11 +326,24 @@ def comparison_table(spark: SparkSession, d: str) -> DataFrame:
     return ev.comparison_rows(ev.summarize(records(spark, d)))
 
 
-@query(f"SELECT designation, c AS condition, e AS estimator, round(basic_mm - 1.2::DOUBLE * pitch_mm, 6) AS minor_mm FROM {SIZES_SQL}, (VALUES ('clean'), ('blur'), ('rotated')) x(c), (VALUES ('peak'), ('fft')) y(e) WHERE designation IN ('M3', 'M6', 'M10')")
+def samples(spark: SparkSession, d: str) -> DataFrame:
+    """(image_id, designation, px_per_mm, number): each supplier sends a sample of one of the ten sizes, taken at one of five scales."""
+    key = F.col("s_suppkey")
+    names = F.array(*[F.lit(s[0]) for s in tolerance.SIZES])
+    return table(spark, d, "supplier").select(
+        key.cast("string").alias("image_id"), F.get(names, (key % 10).cast("int")).alias("designation"), (16 + F.floor(key / 30) % 5).cast("double").alias("px_per_mm"), key.alias("number")
+    )
+
+
+@query(f"""SELECT s_suppkey::VARCHAR AS image_id, designation, c AS condition, e AS estimator, basic_mm AS major_mm, round(basic_mm - 1.2::DOUBLE * pitch_mm, 6) AS minor_mm, pitch_mm
+    FROM supplier JOIN {SIZES_SQL} ON ordinal = s_suppkey % 10, (VALUES ('clean'), ('blur'), ('rotated')) x(c), (VALUES ('peak'), ('fft')) y(e)""")
 def validation_cross(spark: SparkSession, d: str) -> DataFrame:
-    sizes = tolerance.size_table(spark).where(F.col("designation").isin("M3", "M6", "M10"))
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), F.lit(e).alias("estimator")) for c in ev.CONDITIONS for e in ("peak", "fft")]))
-    return sizes.select("designation", cells.alias("x"), F.round(F.col("basic_mm") - 1.2 * F.col("pitch_mm"), 6).alias("minor_mm")).select("designation", "x.*", "minor_mm")
+    """The true dimensions for each cell of the suppliers' sweep."""
+    from plumbline.plans.measurement import sweep
+    from plumbline.sources.synthetic import dimensions
+
+    rows = dimensions(sweep(samples(spark, d), ev.CONDITIONS))
+    return rows.select("image_id", "designation", "condition", "estimator", "major_mm", F.round("minor_mm", 6).alias("minor_mm"), "pitch_mm")
 
 
 # --- vectors --------------------------------------------------------------------------------------------
@@ -711,7 +724,7 @@ def split_counts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT image_path FROM ({MANIFEST_SQL}) ORDER BY image_path LIMIT 20")
 def first_images(spark: SparkSession, d: str) -> DataFrame:
     """The feature is the limit: the first n images by path."""
-    return manifest.samples(as_manifest(spark, d), "en").select("image_path").orderBy("image_path").limit(20)
+    return manifest.first_images(manifest.samples(as_manifest(spark, d), "en"), 20)
 
 
 @query("SELECT page_id, base64(encode(url)) AS payload FROM pages")
@@ -742,6 +755,8 @@ def drawings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("image_id"), drawn("p_partkey").alias("content"))
 
 
+#: Rows and columns of the network's input.
+INPUT_SIZE = 8
 PIXELS_SQL = "SELECT p_partkey AS image_id, y, x, (p_partkey * 7 + y * 13 + x * 5) % 256 AS level FROM part, range(4) a(y), range(6) b(x) WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0"
 
 
@@ -790,16 +805,57 @@ def largest_region(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def synthetic_measurement(spark: SparkSession, d: str) -> DataFrame:
-    """Drawn threads, measured from their pixels and compared with the truth; checked by tests."""
-    from plumbline.plans.measurement import validation_records
+    """The suppliers' samples, drawn in one condition each, measured from their pixels and compared with the truth; checked by tests."""
+    from plumbline.plans.measurement import validate
+    from plumbline.sources.synthetic import dimensions
 
-    return validation_records(spark, ["M3", "M6", "M10"], list(ev.CONDITIONS))
+    condition = F.get(F.array(*[F.lit(c) for c in ev.CONDITIONS]), (F.floor(F.col("number") / 10) % 3).cast("int"))
+    return validate(dimensions(samples(spark, d).withColumn("condition", condition)).drop("number"))
 
 
-@query()
+@query("""SELECT s_suppkey::VARCHAR AS camera_id, (580 + s_suppkey % 90)::DOUBLE AS fx, (590 + s_suppkey % 70)::DOUBLE AS fy, (310 + s_nationkey)::DOUBLE AS cx, 240::DOUBLE AS cy,
+    round(0 - 0.02::DOUBLE * (s_suppkey % 6), 4) AS k1, round(0.01::DOUBLE * (s_suppkey % 4), 4) AS k2, true AS exact, 6::INT AS n_views FROM supplier""")
 def lens_calibration(spark: SparkSession, d: str) -> DataFrame:
-    """A known camera, recovered from board corners in seeded views; checked by tests."""
+    """Each supplier's camera, recovered from the corners of a board in six seeded views; its SQL is the camera that saw them."""
     from plumbline.operators import lens
 
-    corners = [lens.board_views(spark, (600.0 + 40 * k, 610.0, 320.0, 240.0, -0.1, 0.02), seed=k, camera_id=f"camera{k}") for k in range(3)]
-    return lens.calibrate(corners[0].union(corners[1]).union(corners[2]))
+    key = F.col("s_suppkey")
+    cameras = table(spark, d, "supplier").select(
+        key.cast("string").alias("camera_id"), key.cast("long").alias("seed"), (580.0 + key % 90).alias("fx"), (590.0 + key % 70).alias("fy"), (310.0 + F.col("s_nationkey")).alias("cx"),
+        F.lit(240.0).alias("cy"), (-0.02 * (key % 6)).alias("k1"), (0.01 * (key % 4)).alias("k2"),
+    )
+    found = lens.calibrate(lens.seen_by(cameras, n_views=6))
+    digits = {"fx": 2, "fy": 2, "cx": 2, "cy": 2, "k1": 4, "k2": 4}
+    return found.select("camera_id", *[(F.round(c, n) + 0.0).alias(c) for c, n in digits.items()], (F.col("rms") < 1e-3).alias("exact"), "n_views")
+
+
+RESIZED_SQL = f"""SELECT image_id, v * {INPUT_SIZE} + u AS pixel, sum(level * (1 - abs(y - sy)) * (1 - abs(x - sx))) / 255 AS value FROM (
+    SELECT v, u, {CELL_SQL.format(n=4, at="v", size=INPUT_SIZE)} AS sy, {CELL_SQL.format(n=6, at="u", size=INPUT_SIZE)} AS sx FROM range({INPUT_SIZE}) a(v), range({INPUT_SIZE}) b(u)) s
+    JOIN ({PIXELS_SQL}) p ON abs(y - sy) < 1 AND abs(x - sx) < 1 GROUP BY image_id, v, u"""
+
+
+@query(f"""SELECT image_id, (channel * {INPUT_SIZE**2} + pixel)::INT AS place, round(((value - mean) / deviation)::FLOAT::DOUBLE, 4) AS value FROM ({RESIZED_SQL}),
+    (VALUES (0, 0.485::DOUBLE, 0.229::DOUBLE), (1, 0.456::DOUBLE, 0.224::DOUBLE), (2, 0.406::DOUBLE, 0.225::DOUBLE)) c(channel, mean, deviation)""")
+def network_input(spark: SparkSession, d: str) -> DataFrame:
+    """The drawings as a network takes them, value by value."""
+    from plumbline.plans.inspection import network_input as inputs
+
+    rows = inputs(images.readable(images.decode(drawings(spark, d))), INPUT_SIZE).select("image_id", F.posexplode("input").alias("place", "value"))
+    return rows.withColumn("value", F.round(F.col("value").cast("double"), 4))
+
+
+JET_SQL = [f"round_even(greatest(0, least(255, level * 0.5::DOUBLE + greatest(0, least(1, 1.5::DOUBLE - abs(4 * v - {c}))) * 255 * 0.5::DOUBLE)), 0)::INT" for c in (3, 2, 1)]
+
+
+@query(f"""SELECT image_id, 4::INT AS height, 6::INT AS width, upper(string_agg(printf('%02x%02x%02x', {', '.join(JET_SQL)}), '' ORDER BY y, x)) AS levels FROM (
+    SELECT *, floor((255 - level - a)::DOUBLE / CASE WHEN b > a THEN b - a ELSE 1 END * 255) / 255 AS v FROM (
+        SELECT *, min(255 - level) OVER (PARTITION BY image_id) AS a, max(255 - level) OVER (PARTITION BY image_id) AS b FROM ({PIXELS_SQL}))) GROUP BY image_id""")
+def overlay_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The drawings under the heatmaps of their dark places: made PNG texts, which are read again."""
+    from plumbline.plans.inspection import overlay_png
+
+    read = images.readable(images.decode(drawings(spark, d)))
+    dark = F.transform(F.sequence(F.lit(1), F.octet_length("data")), lambda i: (255 - F.conv(F.hex(F.substring("data", i, F.lit(1))), 16, 10)).cast("float"))
+    maps = read.select("image_id", dark.alias("heatmap"))
+    made = overlay_png(read, maps).select("image_id", F.unbase64("png_base64").alias("content"))
+    return images.decode(made, colour=True).select("image_id", "height", "width", F.hex("data").alias("levels"))

@@ -7,6 +7,8 @@ together by damped least squares.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from plumbline.session import ship
 
 MIN_VIEWS = 3
+CORNERS = "camera_id string, view_id int, corner int, board_x double, board_y double, u double, v double"
 CAMERA = "camera_id string, fx double, fy double, cx double, cy double, k1 double, k2 double, rms double, n_views int"
 
 
@@ -145,16 +148,27 @@ def undistort(u: Column, v: Column, camera: Column, steps: int = 8) -> tuple[Col
     return p["x"] * camera["fx"] + camera["cx"], p["y"] * camera["fy"] + camera["cy"]
 
 
-def board_views(spark: SparkSession, camera: tuple[float, ...], pattern: tuple[int, int] = (9, 6), square: float = 40.0, n_views: int = 12, seed: int = 0, camera_id: str = "camera") -> DataFrame:
-    """A corner table of a board seen from seeded poses by a known camera (fx, fy, cx, cy, k1, k2)."""
-    rng = np.random.default_rng(seed)
+def seen_by(cameras: DataFrame, pattern: tuple[int, int] = (9, 6), square: float = 40.0, n_views: int = 12) -> DataFrame:
+    """A corner table of a board seen from seeded poses by known cameras: (camera_id text, seed, fx, fy, cx, cy, k1, k2), a row for each."""
+    ship(cameras.sparkSession)
     x, y = np.meshgrid(np.arange(pattern[0]) * square, np.arange(pattern[1]) * square)
     board = np.column_stack((x.ravel(), y.ravel()))
-    rows = []
-    for view in range(n_views):
-        turn = rng.uniform(-0.5, 0.5, 3)
-        centre = rotation(turn) @ np.array([*board.mean(axis=0), 0.0])
-        away = np.array([*rng.uniform(-30, 30, 2), rng.uniform(500, 800)])
-        for k, (p, q) in enumerate(zip(board, project(board, np.array(camera), np.concatenate((turn, away - centre))), strict=True)):
-            rows.append((camera_id, view, k, float(p[0]), float(p[1]), float(q[0]), float(q[1])))
-    return spark.createDataFrame(rows, "camera_id string, view_id int, corner int, board_x double, board_y double, u double, v double")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                rng = np.random.default_rng(r.seed)
+                for view in range(n_views):
+                    turn = rng.uniform(-0.5, 0.5, 3)
+                    centre = rotation(turn) @ np.array([*board.mean(axis=0), 0.0])
+                    away = np.array([*rng.uniform(-30, 30, 2), rng.uniform(500, 800)])
+                    at = project(board, np.array([r.fx, r.fy, r.cx, r.cy, r.k1, r.k2]), np.concatenate((turn, away - centre)))
+                    yield pd.DataFrame({"camera_id": r.camera_id, "view_id": view, "corner": range(len(board)), "board_x": board[:, 0], "board_y": board[:, 1], "u": at[:, 0], "v": at[:, 1]})
+
+    return cameras.select("camera_id", "seed", "fx", "fy", "cx", "cy", "k1", "k2").mapInPandas(run, CORNERS)
+
+
+def board_views(spark: SparkSession, camera: tuple[float, ...], pattern: tuple[int, int] = (9, 6), square: float = 40.0, n_views: int = 12, seed: int = 0, camera_id: str = "camera") -> DataFrame:
+    """The corner table of one camera (fx, fy, cx, cy, k1, k2)."""
+    one = spark.createDataFrame([(camera_id, seed, *camera)], "camera_id string, seed long, fx double, fy double, cx double, cy double, k1 double, k2 double")
+    return seen_by(one, pattern, square, n_views)

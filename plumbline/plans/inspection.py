@@ -69,7 +69,23 @@ def overlay_png(images: DataFrame, maps: DataFrame, alpha: float = 0.5) -> DataF
             yield pd.DataFrame({"image_id": pdf["image_id"], "png": made})
 
     both = images.select("image_id", "height", "width", "data").join(maps, "image_id")
-    return both.mapInPandas(run, "image_id string, png binary").select("image_id", F.base64("png").alias("png_base64"))
+    name = images.schema["image_id"].dataType.simpleString()
+    return both.mapInPandas(run, f"image_id {name}, png binary").select("image_id", F.base64("png").alias("png_base64"))
+
+
+def network_input(images: DataFrame, size: int = 224) -> DataFrame:
+    """(image_id, input): each image (height, width, data) as a network takes it, three channels of size x size values, one after the other."""
+    ship(images.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from plumbline.operators.imaging import normalised_input
+
+        for pdf in batches:
+            made = [normalised_input(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width), size).ravel() for r in pdf.itertuples()]
+            yield pd.DataFrame({"image_id": pdf["image_id"], "input": made})
+
+    name = images.schema["image_id"].dataType.simpleString()
+    return images.select("image_id", "height", "width", "data").mapInPandas(run, f"image_id {name}, input array<float>")
 
 
 #: What every log line has, in this order, and how a record gives it (none: the line goes without).

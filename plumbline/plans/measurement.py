@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -56,20 +56,32 @@ def calibrated(measured: DataFrame, px_per_mm: Column, source: str, validated: b
     return rows if validated else rows.withColumn("notes", F.array_append("notes", F.lit(note)))
 
 
-def validation_records(spark: SparkSession, designations: list[str], conditions: list[str], px_per_mm: float = 20.0) -> DataFrame:
-    """A row of errors for each size, condition and estimator."""
-    drawn = synthetic.draw(synthetic.parameter_table(spark, designations, conditions, px_per_mm))
-    drawn = drawn.withColumn("image_id", F.concat_ws("/", "designation", "condition"))
-    measured = measure_images(drawn, ("peak", "fft"))
-    truth = synthetic.parameter_table(spark, designations, conditions, px_per_mm).withColumn("image_id", F.concat_ws("/", "designation", "condition"))
+def sweep(parts: DataFrame, conditions: Sequence[str], estimators: Sequence[str] = ("peak", "fft")) -> DataFrame:
+    """parts with a row for each condition and estimator."""
+    cells = F.array(*[F.struct(F.lit(c).alias("condition"), F.lit(e).alias("estimator")) for c in conditions for e in estimators])
+    return parts.withColumn("cell_", F.explode(cells)).select("*", "cell_.*").drop("cell_")
+
+
+def validate(parameters: DataFrame, estimators: tuple[str, ...] = ("peak", "fft")) -> DataFrame:
+    """A row of errors for each drawn sample and estimator; parameters: image_id (text, its own for each row), designation, condition, px_per_mm, and the dimensions.
+
+    An image that can't be measured has null measurements and errors.
+    """
+    measured = measure_images(synthetic.draw(parameters), estimators)
     scale = scale_from_reference(F.lit(synthetic.BAR_MM) * F.col("px_per_mm"), F.lit(synthetic.BAR_MM))
-    rows = measured.join(F.broadcast(truth), "image_id")  # as many rows as sizes and conditions were asked for
+    rows = measured.join(parameters, "image_id")
     rows = rows.withColumn("measured_diameter_mm", px_to_mm(F.col("major_diameter_px"), scale)).withColumn("measured_pitch_mm", px_to_mm(F.col("pitch_px"), scale))
     return rows.select(
-        "designation", "condition", "estimator", F.col("major_mm").alias("true_diameter_mm"), "measured_diameter_mm",
+        "image_id", "designation", "condition", "estimator", F.col("major_mm").alias("true_diameter_mm"), "measured_diameter_mm",
         absolute_error(F.col("measured_diameter_mm"), F.col("major_mm")).alias("diameter_abs_error"),
         percent_error(F.col("measured_diameter_mm"), F.col("major_mm")).alias("diameter_pct_error"),
         F.col("pitch_mm").alias("true_pitch_mm"), "measured_pitch_mm",
         absolute_error(F.col("measured_pitch_mm"), F.col("pitch_mm")).alias("pitch_abs_error"),
         percent_error(F.col("measured_pitch_mm"), F.col("pitch_mm")).alias("pitch_pct_error"), "confidence",
     )
+
+
+def validation_records(spark: SparkSession, designations: list[str], conditions: list[str], px_per_mm: float = 20.0) -> DataFrame:
+    """A row of errors for each size, condition and estimator."""
+    table = synthetic.parameter_table(spark, designations, conditions, px_per_mm)
+    return validate(table.withColumn("image_id", F.concat_ws("/", "designation", "condition"))).drop("image_id")

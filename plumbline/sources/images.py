@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.session import ship
-from plumbline.sources.png import decode_gray
+from plumbline.sources.png import decode_colour, decode_gray
 
 DECODED = "struct<height:int,width:int,data:binary,error:string>"
 
@@ -20,12 +20,13 @@ def image_files(spark: SparkSession, path: str, pattern: str = "*.png") -> DataF
     return files.select(F.col("path").alias("image_id"), "content")
 
 
-def decode(images: DataFrame, content: str = "content") -> DataFrame:
-    """images with height, width, data (grey levels, row-major) and error, in place of the content.
+def decode(images: DataFrame, content: str = "content", colour: bool = False) -> DataFrame:
+    """images with height, width, data (grey levels or RGB, row-major) and error, in place of the content.
 
     What can't be decoded stays, with a null image and the reason: the caller chooses to raise or to set it aside.
     """
     ship(images.sparkSession)
+    read = decode_colour if colour else decode_gray
 
     @F.arrow_udf(DECODED)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -33,7 +34,7 @@ def decode(images: DataFrame, content: str = "content") -> DataFrame:
             rows = []
             for value in batch:
                 try:
-                    g = decode_gray(value.as_py())
+                    g = read(value.as_py())
                     rows.append({"height": g.shape[0], "width": g.shape[1], "data": g.tobytes(), "error": None})
                 except ValueError as e:
                     rows.append({"height": None, "width": None, "data": None, "error": str(e)})

@@ -37,6 +37,11 @@ def test_samples(df: DataFrame) -> DataFrame:
     return df.where(F.col("split") == "test")
 
 
+def first_images(samples: DataFrame, n: int) -> DataFrame:
+    """The first n paths in their order; the limit is the feature."""
+    return samples.select("image_path").orderBy("image_path").limit(n)
+
+
 def image_label(df: DataFrame) -> DataFrame:
     return df.withColumn("label", F.col("is_defective").cast("int"))
 

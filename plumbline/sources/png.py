@@ -21,8 +21,8 @@ def encode(image: np.ndarray) -> bytes:
     return _HEAD + _chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(lines)) + _chunk(b"IEND", b"")
 
 
-def decode_gray(data: bytes) -> np.ndarray:
-    """Grey levels (height, width); colour is weighted.  Anything else than an 8-bit, non-interlaced PNG is an error."""
+def decode(data: bytes) -> np.ndarray:
+    """Levels (height, width, channels).  Anything else than an 8-bit, non-interlaced PNG is an error."""
     if not data or not data.startswith(_HEAD):
         raise ValueError("not a PNG")
     at, packed, head = len(_HEAD), b"", None
@@ -63,7 +63,18 @@ def decode_gray(data: bytes) -> np.ndarray:
                 line[x] = (line[x] + guess) & 255
         before = line & 255
         out[y] = before
-    pixels = out.reshape(h, w, channels)
-    if channels < 3:
+    return out.reshape(h, w, channels)
+
+
+def decode_colour(data: bytes) -> np.ndarray:
+    """RGB levels (height, width, 3); grey in each of the three."""
+    pixels = decode(data)
+    return pixels[:, :, :3] if pixels.shape[2] > 2 else np.repeat(pixels[:, :, :1], 3, axis=2)
+
+
+def decode_gray(data: bytes) -> np.ndarray:
+    """Grey levels (height, width); colour is weighted."""
+    pixels = decode(data)
+    if pixels.shape[2] < 3:
         return pixels[:, :, 0]
     return np.rint(pixels[:, :, :3] @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)

@@ -7,18 +7,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plumbline.operators import imaging
-from plumbline.operators.tolerance import SIZES
+from plumbline.operators.tolerance import size_of
 from plumbline.session import ship
 
 #: The rest of a sample's dimensions in mm, and the canvas in pixels.
 SHANK_MM, HEAD_MM, HEAD_LENGTH_MM, BAR_MM = 20.0, 12.0, 4.0, 10.0
 HEIGHT, WIDTH = 500, 700
-DRAWN = (
-    "designation string, condition string, major_mm double, minor_mm double, pitch_mm double, px_per_mm double, "
-    "bar_px double, bar_mm double, height int, width int, data binary"
-)
+#: A thread's depth in pitches: the minor diameter is so much less than the major one.
+DEPTH = 1.2
+DRAWN = "bar_px double, bar_mm double, height int, width int, data binary"
 
 
 def half_widths(major: float, minor: float, pitch: float, px_per_mm: float) -> np.ndarray:
@@ -52,15 +53,20 @@ def draw_thread(major: float, minor: float, pitch: float, px_per_mm: float = 20.
     return finish[condition](part.astype(np.uint8) * 255)
 
 
+def dimensions(samples: DataFrame) -> DataFrame:
+    """samples with major_mm, minor_mm and pitch_mm of their designation; an unknown one is an error."""
+    size = size_of(F.col("designation"))
+    return samples.withColumns({"major_mm": size["basic_mm"], "minor_mm": size["basic_mm"] - DEPTH * size["pitch_mm"], "pitch_mm": size["pitch_mm"]})
+
+
 def parameter_table(spark: SparkSession, designations: list[str], conditions: list[str], px_per_mm: float = 20.0) -> DataFrame:
-    """A row for each size and condition; the minor diameter is 1.2 pitches less than the major one."""
-    by_name = {s[0]: s for s in SIZES}
-    rows = [(d, c, by_name[d][2], by_name[d][2] - 1.2 * by_name[d][1], by_name[d][1], px_per_mm) for d in designations for c in conditions]
-    return spark.createDataFrame(rows, "designation string, condition string, major_mm double, minor_mm double, pitch_mm double, px_per_mm double")
+    """A row for each size and condition."""
+    rows = [(d, c, px_per_mm) for d in designations for c in conditions]
+    return dimensions(spark.createDataFrame(rows, "designation string, condition string, px_per_mm double"))
 
 
 def draw(parameters: DataFrame) -> DataFrame:
-    """The drawn images with their true dimensions."""
+    """parameters (designation, condition, px_per_mm, the three dimensions, and what else a row has) with the drawn images and their bar."""
     ship(parameters.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,4 +76,4 @@ def draw(parameters: DataFrame) -> DataFrame:
                 bar_px=BAR_MM * pdf["px_per_mm"], bar_mm=BAR_MM, height=[i.shape[0] for i in images], width=[i.shape[1] for i in images], data=[i.tobytes() for i in images]
             )
 
-    return parameters.mapInPandas(run, DRAWN)
+    return parameters.mapInPandas(run, StructType([*parameters.schema, *StructType.fromDDL(DRAWN)]))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import evaluation, imaging
 from plumbline.plans import inspection
-from plumbline.plans.measurement import measure_images, validation_records
+from plumbline.plans.measurement import measure_images, validate, validation_records
 from plumbline.sources import images, manifest, png, synthetic
 
 
@@ -118,6 +118,26 @@ def test_sweep_is_within_twice_the_published_errors(spark):
         assert len(found) == n_peaks and max(found) <= peaks + 1e-9
 
 
+def test_samples_of_a_table_are_drawn_and_measured(spark):
+    """Other columns come along; a condition for each row; the diameter at any scale is within a pixel and a half on each side."""
+    rows = [(str(k), s, c, px, k) for k, (s, c, px) in enumerate([("M4", "clean", 16.0), ("M6", "blur", 18.0), ("M10", "rotated", 17.0), ("M8", "clean", 20.0)])]
+    samples = synthetic.dimensions(spark.createDataFrame(rows, "image_id string, designation string, condition string, px_per_mm double, extra int"))
+    assert [(r["extra"], r["height"]) for r in synthetic.draw(samples).select("extra", "height").collect()] == [(k, synthetic.HEIGHT) for k in range(4)]
+    out = validate(samples.drop("extra"), ("fft",)).collect()
+    assert {(r["image_id"], r["designation"], r["condition"]) for r in out} == {r[:3] for r in rows}
+    assert all(r["diameter_abs_error"] <= 3 / dict((x[0], x[3]) for x in rows)[r["image_id"]] and r["pitch_abs_error"] <= 0.1 for r in out)
+    with pytest.raises(Exception, match="unknown designation"):
+        synthetic.dimensions(spark.createDataFrame([("M99",)], "designation string")).collect()
+
+
+def test_colour_images_are_read(spark):
+    rgb = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
+    grey = np.arange(6, dtype=np.uint8).reshape(2, 3)
+    rows = spark.createDataFrame([("c", bytearray(png.encode(rgb))), ("g", bytearray(png.encode(grey))), ("x", None)], "image_id string, content binary")
+    got = {r["image_id"]: r for r in images.decode(rows, colour=True).collect()}
+    assert bytes(got["c"]["data"]) == rgb.tobytes() and bytes(got["g"]["data"]) == np.repeat(grey, 3).tobytes() and got["x"]["error"] == "not a PNG"
+
+
 def test_axis_of_a_standing_part_points_down():
     mask = np.zeros((60, 60), dtype=bool)
     for y in range(5, 55):
