@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.session import ship
+from plumbline.session import ship, spread
 
 MIN_VIEWS = 3
 CORNERS = "camera_id string, view_id int, corner int, board_x double, board_y double, u double, v double"
@@ -131,7 +131,7 @@ def calibrate(corners: DataFrame) -> DataFrame:
         camera, rms = calibrate_points(views)
         return pd.DataFrame([[pdf["camera_id"].iloc[0], *camera, rms, len(views)]], columns=[c.split()[0] for c in CAMERA.split(", ")])
 
-    return corners.groupBy("camera_id").applyInPandas(run, CAMERA)
+    return spread(corners, "camera_id").groupBy("camera_id").applyInPandas(run, CAMERA)
 
 
 def undistort(u: Column, v: Column, camera: Column, steps: int = 8) -> tuple[Column, Column]:
@@ -165,7 +165,7 @@ def seen_by(cameras: DataFrame, pattern: tuple[int, int] = (9, 6), square: float
                     at = project(board, np.array([r.fx, r.fy, r.cx, r.cy, r.k1, r.k2]), np.concatenate((turn, away - centre)))
                     yield pd.DataFrame({"camera_id": r.camera_id, "view_id": view, "corner": range(len(board)), "board_x": board[:, 0], "board_y": board[:, 1], "u": at[:, 0], "v": at[:, 1]})
 
-    return cameras.select("camera_id", "seed", "fx", "fy", "cx", "cy", "k1", "k2").mapInPandas(run, CORNERS)
+    return spread(cameras.select("camera_id", "seed", "fx", "fy", "cx", "cy", "k1", "k2")).mapInPandas(run, CORNERS)
 
 
 def board_views(spark: SparkSession, camera: tuple[float, ...], pattern: tuple[int, int] = (9, 6), square: float = 40.0, n_views: int = 12, seed: int = 0, camera_id: str = "camera") -> DataFrame:

@@ -54,6 +54,13 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Few small rows that cost much work each, dealt to as many tasks as there are cores, or more; adaptive execution leaves a stated number alone."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder that the session names.  One of our own only for a local master, where one machine is all there is."""
     named = spark.conf.get("spark.checkpoint.dir", None)

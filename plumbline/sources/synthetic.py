@@ -12,11 +12,13 @@ from pyspark.sql.types import StructType
 
 from plumbline.operators import imaging
 from plumbline.operators.tolerance import size_of
-from plumbline.session import ship
+from plumbline.session import ship, spread
 
 #: The rest of a sample's dimensions in mm, and the canvas in pixels.
 SHANK_MM, HEAD_MM, HEAD_LENGTH_MM, BAR_MM = 20.0, 12.0, 4.0, 10.0
 HEIGHT, WIDTH = 500, 700
+#: Images that a task holds at a time.
+AT_ONCE = 32
 #: A thread's depth in pitches: the minor diameter is so much less than the major one.
 DEPTH = 1.2
 DRAWN = "bar_px double, bar_mm double, height int, width int, data binary"
@@ -70,10 +72,10 @@ def draw(parameters: DataFrame) -> DataFrame:
     ship(parameters.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (b.iloc[at : at + AT_ONCE] for b in batches for at in range(0, len(b), AT_ONCE)):
             images = [draw_thread(r.major_mm, r.minor_mm, r.pitch_mm, r.px_per_mm, r.condition) for r in pdf.itertuples()]
             yield pdf.assign(
                 bar_px=BAR_MM * pdf["px_per_mm"], bar_mm=BAR_MM, height=[i.shape[0] for i in images], width=[i.shape[1] for i in images], data=[i.tobytes() for i in images]
             )
 
-    return parameters.mapInPandas(run, StructType([*parameters.schema, *StructType.fromDDL(DRAWN)]))
+    return spread(parameters).mapInPandas(run, StructType([*parameters.schema, *StructType.fromDDL(DRAWN)]))
