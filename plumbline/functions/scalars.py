@@ -29,6 +29,11 @@ def scale_from_reference(length_px: Column, length_mm: Column) -> Column:
     )
 
 
+def base64_text(data: Column) -> Column:
+    """Base64 in one line, whether or not the session breaks long ones after 76 characters."""
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
+
+
 def clip01(x: Column) -> Column:
     return F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0))
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import DEMO_PX_PER_MM
+from plumbline.functions.scalars import DEMO_PX_PER_MM, base64_text
 from plumbline.operators import fusion, video
 from plumbline.plans.measurement import calibrated, measure_images
 from plumbline.session import ship
@@ -70,7 +70,7 @@ def overlay_png(images: DataFrame, maps: DataFrame, alpha: float = 0.5) -> DataF
 
     both = images.select("image_id", "height", "width", "data").join(maps, "image_id")
     name = images.schema["image_id"].dataType.simpleString()
-    return both.mapInPandas(run, f"image_id {name}, png binary").select("image_id", F.base64("png").alias("png_base64"))
+    return both.mapInPandas(run, f"image_id {name}, png binary").select("image_id", base64_text(F.col("png")).alias("png_base64"))
 
 
 def network_input(images: DataFrame, size: int = 224) -> DataFrame:

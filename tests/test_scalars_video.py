@@ -19,6 +19,15 @@ def test_scale_round_trip_and_guards(spark):
             one(spark, S.scale_from_reference(F.lit(bad), F.lit(1.0)))
 
 
+@pytest.mark.parametrize("size", [0, 57, 58, 200])
+def test_base64_is_one_line(spark, size):
+    import base64
+
+    data = bytes(range(size))
+    assert one(spark, S.base64_text(F.lit(data))) == base64.b64encode(data).decode()
+    assert one(spark, S.base64_text(F.lit(None).cast("binary"))) is None
+
+
 @pytest.mark.parametrize("fps,want", [(30.0, 15), (25.0, 12), (0.0, 10), (-1.0, 10), (0.5, 1), (33.0, 16)])
 def test_interval_rounds_half_to_even(spark, fps, want):
     assert one(spark, S.sample_interval(F.lit(fps))) == want
