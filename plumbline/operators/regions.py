@@ -1,6 +1,7 @@
 """Segmentation as relations: thresholds from histograms, and regions from runs; an image may have any size.
 
-A pixel table is long: (image_id, y, x, level).
+A pixel table is long: (image_id, y, x, level).  If the images are dealt to tasks by image_id before they become pixels, thresholds and runs need no
+further shuffle.  Tables grow by these steps beyond what the planner estimates, so joins are by sorted keys and never by broadcast.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def otsu_levels(image_pixels: DataFrame) -> DataFrame:
 def minority(image_pixels: DataFrame) -> DataFrame:
     """(image_id, y, x): the pixels above the image's threshold, or the others where these are more than half."""
     levels = otsu_levels(image_pixels).select("image_id", F.col("level").alias("cut"), (F.col("n_above") > F.floor(F.col("n") / 2)).alias("flip"))
-    return image_pixels.join(levels, "image_id").where((F.col("level") > F.col("cut")) != F.col("flip")).select("image_id", "y", "x")
+    return image_pixels.join(levels.hint("merge"), "image_id").where((F.col("level") > F.col("cut")) != F.col("flip")).select("image_id", "y", "x")
 
 
 def runs(mask: DataFrame) -> DataFrame:
@@ -63,9 +64,9 @@ def regions(mask: DataFrame, diagonal: bool = True) -> DataFrame:
     tiled = lines.withColumn("tile", F.explode(F.sequence(F.expr(f"(x0 - {reach}) div {TILE}"), F.expr(f"(x1 + {reach}) div {TILE}"))))
     upper = tiled.select("image_id", (F.col("y") + 1).alias("y"), "tile", F.col("v").alias("a"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
     lower = tiled.select("image_id", "y", "tile", F.col("v").alias("b"), "x0", "x1")
-    links = upper.join(lower, ["image_id", "y", "tile"]).where((F.col("a0") <= F.col("x1") + reach) & (F.col("x0") <= F.col("a1") + reach)).select("image_id", "a", "b")
+    links = upper.join(lower.hint("merge"), ["image_id", "y", "tile"]).where((F.col("a0") <= F.col("x1") + reach) & (F.col("x0") <= F.col("a1") + reach)).select("image_id", "a", "b")
     labels = connected(lines.select("image_id", "v"), links, "image_id")
-    every = lines.join(labels, ["image_id", "v"]).groupBy("image_id", "label").agg(
+    every = lines.join(labels.hint("merge"), ["image_id", "v"]).groupBy("image_id", "label").agg(
         F.sum(F.col("x1") - F.col("x0") + 1).alias("area"), F.min("x0").alias("x"), F.min("y").alias("y"), (F.max("x1") - F.min("x0") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height")
     )
     return every
