@@ -68,7 +68,7 @@ def overlay_png(images: DataFrame, maps: DataFrame, alpha: float = 0.5) -> DataF
                 made.append(encode(blend(np.frombuffer(r.data, np.uint8).reshape(shape), np.asarray(r.heatmap).reshape(shape), alpha)))
             yield pd.DataFrame({"image_id": pdf["image_id"], "png": made})
 
-    both = images.select("image_id", "height", "width", "data").join(maps, "image_id")
+    both = images.select("image_id", "height", "width", "data").join(maps.hint("merge"), "image_id")  # heatmaps are larger than estimated, too large to be broadcast
     name = images.schema["image_id"].dataType.simpleString()
     return both.mapInPandas(run, f"image_id {name}, png binary").select("image_id", base64_text(F.col("png")).alias("png_base64"))
 

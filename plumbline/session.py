@@ -54,11 +54,15 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Few small rows that cost much work each, dealt to as many tasks as there are cores, or more; adaptive execution leaves a stated number alone."""
+def tasks_for(df: DataFrame, rows: int | None = None) -> int:
+    """Tasks for the rows of df: at least one for each core; given rows (they are counted), so many that none has much more than these, and its memory doesn't grow with df."""
     spark = df.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, *keys)
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows) if rows else 1)
+
+
+def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """Few small rows that cost much work each, dealt to as many tasks as there are cores, or more; adaptive execution leaves a stated number alone."""
+    return df.repartition(tasks_for(df, rows), *keys)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -40,7 +40,8 @@ def decode(images: DataFrame, content: str = "content", colour: bool = False) ->
                     rows.append({"height": None, "width": None, "data": None, "error": str(e)})
             yield pa.array(rows, pa.struct([("height", pa.int32()), ("width", pa.int32()), ("data", pa.binary()), ("error", pa.string())]))
 
-    return images.withColumn("image_", run(F.col(content))).drop(content).select("*", "image_.*").drop("image_")
+    once = run.asNondeterministic()  # else a filter on what it gives would run it a second time, before any repartitioning
+    return images.withColumn("image_", once(F.col(content))).drop(content).select("*", "image_.*").drop("image_")
 
 
 def readable(decoded: DataFrame) -> DataFrame:

@@ -63,3 +63,30 @@ def test_components_of_chains_stars_and_random_graphs(spark):
         parent[b] = a
     rows = components.connected(spark.createDataFrame(list(nodes), "g string, v long"), spark.createDataFrame(edges, "g string, a long, b long"), "g").collect()
     assert len(rows) == len(nodes) and all((r["g"], r["label"]) == root((r["g"], r["v"])) for r in rows)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_images_from_a_small_file_are_never_broadcast(spark, tmp_path, monkeypatch):
+    from plumbline import catalog
+
+    spark.range(1, 60).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    joined = []
+    cut = components.cut
+    monkeypatch.setattr(components, "cut", lambda df: joined.append(plan_of(df)) or cut(df))
+    joined.append(plan_of(catalog.largest_region(spark, str(tmp_path))))
+    joined.append(plan_of(catalog.overlay_levels(spark, str(tmp_path))))
+    assert len(joined) > 4 and sum("Join" in p for p in joined) > 2
+    assert not any("Broadcast" in p for p in joined)
+
+
+def test_tasks_grow_with_the_drawings_and_pixels_are_not_shuffled(spark, tmp_path, monkeypatch):
+    from plumbline import catalog
+
+    spark.range(1, 60).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(catalog, "DEALT", 3)
+    assert catalog.drawings(spark, str(tmp_path)).rdd.getNumPartitions() == 20
+    plan = plan_of(catalog.otsu_levels(spark, str(tmp_path)))
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 2 and plan.count("ArrowEvalPython") == 2
