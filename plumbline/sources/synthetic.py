@@ -17,8 +17,8 @@ from plumbline.session import ship, spread
 #: The rest of a sample's dimensions in mm, and the canvas in pixels.
 SHANK_MM, HEAD_MM, HEAD_LENGTH_MM, BAR_MM = 20.0, 12.0, 4.0, 10.0
 HEIGHT, WIDTH = 500, 700
-#: Images that a task holds at a time.
-AT_ONCE = 32
+#: Images that are drawn at a time, and that a task draws: what reads them next may take all rows of a task in one batch.
+AT_ONCE, IN_TASK = 32, 128
 #: A thread's depth in pitches: the minor diameter is so much less than the major one.
 DEPTH = 1.2
 DRAWN = "bar_px double, bar_mm double, height int, width int, data binary"
@@ -49,7 +49,7 @@ def draw_thread(major: float, minor: float, pitch: float, px_per_mm: float = 20.
     bar = int(0.6 * WIDTH), int(int(0.6 * WIDTH) + BAR_MM * px_per_mm)
     if max(half.max(), major * px_per_mm / 2) >= middle or bar[1] >= WIDTH:
         raise ValueError("the canvas is too narrow")
-    y, x = np.mgrid[0:HEIGHT, 0:WIDTH]
+    y, x = np.ogrid[0:HEIGHT, 0:WIDTH]
     part = (x >= np.floor(middle - half)) & (x <= np.floor(middle + half))
     part |= (abs(y - HEIGHT // 2) <= 1) & (x >= bar[0]) & (x <= bar[1])
     return finish[condition](part.astype(np.uint8) * 255)
@@ -78,4 +78,4 @@ def draw(parameters: DataFrame) -> DataFrame:
                 bar_px=BAR_MM * pdf["px_per_mm"], bar_mm=BAR_MM, height=[i.shape[0] for i in images], width=[i.shape[1] for i in images], data=[i.tobytes() for i in images]
             )
 
-    return spread(parameters).mapInPandas(run, StructType([*parameters.schema, *StructType.fromDDL(DRAWN)]))
+    return spread(parameters, rows=IN_TASK).mapInPandas(run, StructType([*parameters.schema, *StructType.fromDDL(DRAWN)]))

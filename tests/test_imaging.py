@@ -130,6 +130,36 @@ def test_samples_of_a_table_are_drawn_and_measured(spark):
         synthetic.dimensions(spark.createDataFrame([("M99",)], "designation string")).collect()
 
 
+def test_a_task_draws_a_bounded_number_of_samples(spark, monkeypatch):
+    from plumbline.sources import synthetic
+
+    monkeypatch.setattr(synthetic, "IN_TASK", 2)
+    table = synthetic.parameter_table(spark, ["M6"] * 40, ["clean"])
+    assert synthetic.draw(table).rdd.getNumPartitions() == 20
+
+
+@pytest.mark.parametrize("angle", [0.0, 90.0, -37.3, 180.0])
+def test_turning_and_smoothing_equal_their_plain_forms(angle):
+    rng = np.random.default_rng(3)
+    gray = np.zeros((41, 57), dtype=np.uint8)
+    gray[5:30, 20:44] = rng.integers(0, 256, (25, 24))
+    for taps in (imaging.SMOOTH_5, imaging.SMOOTH_7):
+        r = len(taps) // 2
+        x = np.pad(gray.astype(float), r, mode="reflect")
+        x = sum(t * x[i : i + 41] for i, t in enumerate(taps))
+        x = sum(t * x[:, i : i + 57] for i, t in enumerate(taps))
+        assert (imaging.smooth(gray, len(taps)) == np.floor(x + 0.5)).all()
+    c, s = np.cos(np.radians(angle)), np.sin(np.radians(angle))
+    got = imaging.rotate(gray, (28.0, 20.0), angle, (41, 57))
+    framed = np.pad(gray.astype(float), 60)
+    for v in range(41):
+        for u in range(57):
+            x, y = (np.floor(k * 32 + 0.5) / 32 for k in (c * (u - 28) - s * (v - 20) + 28, s * (u - 28) + c * (v - 20) + 20))
+            i, j = int(np.floor(y)), int(np.floor(x))
+            four = framed[i + 60 : i + 62, j + 60 : j + 62]
+            assert got[v, u] == np.floor(np.array([1 - (y - i), y - i]) @ four @ np.array([1 - (x - j), x - j]) + 0.5)
+
+
 def test_colour_images_are_read(spark):
     rgb = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
     grey = np.arange(6, dtype=np.uint8).reshape(2, 3)
