@@ -11,12 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.session import ship, spread
 
 MIN_VIEWS = 3
+#: Cameras whose corners are made at a time.
+AT_ONCE = 32
 CORNERS = "camera_id string, view_id int, corner int, board_x double, board_y double, u double, v double"
 CAMERA = "camera_id string, fx double, fy double, cx double, cy double, k1 double, k2 double, rms double, n_views int"
 
@@ -46,6 +49,20 @@ def project(board: np.ndarray, camera: np.ndarray, pose: np.ndarray) -> np.ndarr
     return x * (1 + camera[4] * r2 + camera[5] * r2**2) * camera[:2] + camera[2:4]
 
 
+def project_views(board: np.ndarray, view: np.ndarray, camera: np.ndarray, poses: np.ndarray) -> np.ndarray:
+    """project for the points of many views at once; view: the place of each point's pose."""
+    turn, shift = poses[:, :3], poses[:, 3:]
+    angle = np.sqrt((turn**2).sum(axis=1))
+    x, y, z = (turn / np.maximum(angle, 1e-12)[:, None]).T
+    cross = np.zeros((len(poses), 3, 3))
+    cross[:, 0, 1], cross[:, 0, 2], cross[:, 1, 0], cross[:, 1, 2], cross[:, 2, 0], cross[:, 2, 1] = -z, y, z, -x, -y, x
+    r = np.eye(3) + np.sin(angle)[:, None, None] * cross + (1 - np.cos(angle))[:, None, None] * (cross @ cross)
+    p = board[:, :1] * r[view, :, 0] + board[:, 1:] * r[view, :, 1] + shift[view]
+    x = p[:, :2] / p[:, 2:]
+    r2 = (x**2).sum(axis=1, keepdims=True)
+    return x * (1 + camera[4] * r2 + camera[5] * r2**2) * camera[:2] + camera[2:4]
+
+
 def homography(board: np.ndarray, image: np.ndarray) -> np.ndarray:
     """The plane map of two point sets, by the least singular vector, with both sets centred and scaled."""
 
@@ -57,7 +74,7 @@ def homography(board: np.ndarray, image: np.ndarray) -> np.ndarray:
     p, q = np.column_stack((board, np.ones(len(board)))) @ a.T, np.column_stack((image, np.ones(len(image)))) @ b.T
     zero = np.zeros_like(p)
     rows = np.concatenate((np.hstack((p, zero, -q[:, :1] * p)), np.hstack((zero, p, -q[:, 1:2] * p))))
-    h = np.linalg.inv(b) @ np.linalg.svd(rows)[2][-1].reshape(3, 3) @ a
+    h = np.linalg.inv(b) @ np.linalg.svd(rows, full_matrices=len(rows) < 9)[2][-1].reshape(3, 3) @ a
     return h / h[2, 2]
 
 
@@ -96,14 +113,25 @@ def calibrate_points(views: list[tuple[np.ndarray, np.ndarray]], steps: int = 40
         raise RuntimeError(f"calibration needs {MIN_VIEWS} views with a board, found {len(views)}")
     camera, poses = first_guess([homography(b, i) for b, i in views])
     theta = np.concatenate((camera, *poses))
+    board, image = (np.concatenate([v[i] for v in views]) for i in (0, 1))
+    view = np.repeat(np.arange(len(views)), [len(b) for b, _ in views])
 
     def gaps(t: np.ndarray) -> np.ndarray:
-        return np.concatenate([(project(b, t[:6], t[6 + 6 * k : 12 + 6 * k]) - i).ravel() for k, (b, i) in enumerate(views)])
+        return (project_views(board, view, t[:6], t[6:].reshape(-1, 6)) - image).ravel()
 
+    point = np.arange(2 * len(board))
+    pose_of = 6 + 6 * np.repeat(view, 2)
     now, damping = gaps(theta), 1e-3
     for _ in range(steps):
         reach = 1e-6 * np.maximum(1, np.abs(theta))
-        slope = np.column_stack([(gaps(theta + d) - now) / d[k] for k, d in enumerate(np.diag(reach))])
+        slope = np.zeros((len(now), len(theta)))
+        for k in range(6):
+            moved = theta.copy()
+            moved[k] += reach[k]
+            slope[:, k] = (gaps(moved) - now) / reach[k]
+            moved = theta.copy()
+            moved[6 + k :: 6] += reach[6 + k :: 6]  # a view's points depend on its own pose alone, so all poses move together
+            slope[point, pose_of + k] = (gaps(moved) - now) / reach[pose_of + k]
         normal = slope.T @ slope
         step = np.linalg.solve(normal + damping * np.diag(np.diag(normal) + 1e-12), -slope.T @ now)
         after = gaps(theta + step)
@@ -123,15 +151,18 @@ def calibrate(corners: DataFrame) -> DataFrame:
     """A row for each camera (see CAMERA); views without all their corners are left out; fewer than three are an error."""
     ship(corners.sparkSession)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        view, *points = (table.column(c).to_numpy() for c in ("view_id", "board_x", "board_y", "u", "v"))
+        order = np.argsort(view, kind="stable")
+        points = np.column_stack(points).astype(float)[order]
         views = []
-        for _, v in pdf.groupby("view_id", sort=True):
-            if len(v) >= 4 and not v[["u", "v"]].isna().any().any():
-                views.append((v[["board_x", "board_y"]].to_numpy(), v[["u", "v"]].to_numpy()))
+        for v in np.split(points, np.flatnonzero(np.diff(view[order])) + 1):
+            if len(v) >= 4 and not np.isnan(v).any():
+                views.append((v[:, :2], v[:, 2:]))
         camera, rms = calibrate_points(views)
-        return pd.DataFrame([[pdf["camera_id"].iloc[0], *camera, rms, len(views)]], columns=[c.split()[0] for c in CAMERA.split(", ")])
+        return pa.table([pa.array([x]) for x in (table.column("camera_id")[0].as_py(), *camera, rms)] + [pa.array([len(views)], pa.int32())], [c.split()[0] for c in CAMERA.split(", ")])
 
-    return spread(corners, "camera_id").groupBy("camera_id").applyInPandas(run, CAMERA)
+    return spread(corners, "camera_id").groupBy("camera_id").applyInArrow(run, CAMERA)
 
 
 def undistort(u: Column, v: Column, camera: Column, steps: int = 8) -> tuple[Column, Column]:
@@ -153,17 +184,25 @@ def seen_by(cameras: DataFrame, pattern: tuple[int, int] = (9, 6), square: float
     ship(cameras.sparkSession)
     x, y = np.meshgrid(np.arange(pattern[0]) * square, np.arange(pattern[1]) * square)
     board = np.column_stack((x.ravel(), y.ravel()))
+    boards, view = np.tile(board, (n_views, 1)), np.repeat(np.arange(n_views), len(board))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (b.iloc[at : at + AT_ONCE] for b in batches for at in range(0, len(b), AT_ONCE)):
+            seen = []
             for r in pdf.itertuples():
                 rng = np.random.default_rng(r.seed)
-                for view in range(n_views):
+                poses = []
+                for _ in range(n_views):
                     turn = rng.uniform(-0.5, 0.5, 3)
                     centre = rotation(turn) @ np.array([*board.mean(axis=0), 0.0])
                     away = np.array([*rng.uniform(-30, 30, 2), rng.uniform(500, 800)])
-                    at = project(board, np.array([r.fx, r.fy, r.cx, r.cy, r.k1, r.k2]), np.concatenate((turn, away - centre)))
-                    yield pd.DataFrame({"camera_id": r.camera_id, "view_id": view, "corner": range(len(board)), "board_x": board[:, 0], "board_y": board[:, 1], "u": at[:, 0], "v": at[:, 1]})
+                    poses.append(np.concatenate((turn, away - centre)))
+                seen.append(project_views(boards, view, np.array([r.fx, r.fy, r.cx, r.cy, r.k1, r.k2]), np.array(poses)))
+            n, at = len(seen), np.concatenate(seen)
+            yield pd.DataFrame({
+                "camera_id": np.repeat(pdf["camera_id"].to_numpy(), len(view)), "view_id": np.tile(view, n), "corner": np.tile(np.arange(len(board)), n * n_views),
+                "board_x": np.tile(boards[:, 0], n), "board_y": np.tile(boards[:, 1], n), "u": at[:, 0], "v": at[:, 1],
+            })
 
     return spread(cameras.select("camera_id", "seed", "fx", "fy", "cx", "cy", "k1", "k2")).mapInPandas(run, CORNERS)
 

@@ -29,3 +29,12 @@ def test_undistorted_points_follow_the_pinhole(spark):
     u, v = lens.undistort(F.col("u"), F.col("v"), camera)
     for r in bent.join(straight, "corner").select((u - F.col("u0")).alias("a"), (v - F.col("v0")).alias("b")).collect():
         assert abs(r["a"]) < 1e-2 and abs(r["b"]) < 1e-2
+
+
+def test_views_together_equal_one_by_one():
+    rng = np.random.default_rng(2)
+    board, camera = rng.uniform(0, 300, (7, 2)), np.array([600.0, 610.0, 320.0, 240.0, -0.04, 0.02])
+    poses = np.column_stack((rng.uniform(-0.5, 0.5, (4, 3)), rng.uniform(-30, 30, (4, 2)), rng.uniform(500, 800, 4)))
+    poses[0, :3] = 0
+    got = lens.project_views(np.tile(board, (4, 1)), np.repeat(np.arange(4), 7), camera, poses)
+    assert np.allclose(got, np.concatenate([lens.project(board, camera, p) for p in poses]), rtol=1e-12)
