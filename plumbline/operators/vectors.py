@@ -39,15 +39,16 @@ def min_max_levels(rows: DataFrame, group: str, value: str, level: str = "level"
 
 
 def resize_map(values: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Bilinear resize with half-pixel centres and clamped edges."""
+    """Bilinear resize with half-pixel centres and clamped edges, of one map or of each of a stack."""
 
     def axis(n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.clip((np.arange(size) + 0.5) * n / size - 0.5, 0, n - 1)
         low = np.floor(at).astype(int)
         return low, np.minimum(low + 1, n - 1), at - low
 
-    y0, y1, fy = axis(values.shape[0], height)
-    x0, x1, fx = axis(values.shape[1], width)
-    top = values[y0][:, x0] * (1 - fx) + values[y0][:, x1] * fx
-    bottom = values[y1][:, x0] * (1 - fx) + values[y1][:, x1] * fx
+    y0, y1, fy = axis(values.shape[-2], height)
+    x0, x1, fx = axis(values.shape[-1], width)
+    upper, lower = values[..., y0, :], values[..., y1, :]
+    top = upper[..., x0] * (1 - fx) + upper[..., x1] * fx
+    bottom = lower[..., x0] * (1 - fx) + lower[..., x1] * fx
     return top * (1 - fy[:, None]) + bottom * fy[:, None]

@@ -10,6 +10,7 @@ from datetime import UTC, datetime
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,19 +74,34 @@ def overlay_png(images: DataFrame, maps: DataFrame, alpha: float = 0.5) -> DataF
     return both.mapInPandas(run, f"image_id {name}, png binary").select("image_id", base64_text(F.col("png")).alias("png_base64"))
 
 
+#: Values of the network's inputs that are made at a time, unless one image has more.
+INPUT_VALUES = 1 << 20
+
+
 def network_input(images: DataFrame, size: int = 224) -> DataFrame:
-    """(image_id, input): each image (height, width, data) as a network takes it, three channels of size x size values, one after the other."""
+    """(image_id, input): each image (height, width, data) as a network takes it, three channels of size x size values, one after the other.
+
+    Images of one shape are resized together, so many at a time that a task's memory doesn't follow the batch.
+    """
     ship(images.sparkSession)
+    name = images.schema["image_id"].dataType.simpleString()
+    at_once = max(1, INPUT_VALUES // (3 * size * size))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from plumbline.operators.imaging import normalised_input
 
-        for pdf in batches:
-            made = [normalised_input(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width), size).ravel() for r in pdf.itertuples()]
-            yield pd.DataFrame({"image_id": pdf["image_id"], "input": made})
-
-    name = images.schema["image_id"].dataType.simpleString()
-    return images.select("image_id", "height", "width", "data").mapInPandas(run, f"image_id {name}, input array<float>")
+        for batch in batches:
+            heights, widths = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            for height, width in sorted(set(zip(heights.tolist(), widths.tolist(), strict=True))):
+                same = np.flatnonzero((heights == height) & (widths == width))
+                for at in range(0, len(same), at_once):
+                    some = batch.take(pa.array(same[at : at + at_once]))
+                    gray = np.frombuffer(b"".join(some.column(3).to_pylist()), np.uint8).reshape(-1, height, width)
+                    made = normalised_input(gray, size).reshape(len(gray), -1)
+                    ends = pa.array(np.arange(len(gray) + 1, dtype=np.int32) * made.shape[1])
+                    yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(ends, pa.array(made.ravel()))], ["image_id", "input"])
+
+    return images.select("image_id", "height", "width", "data").mapInArrow(run, f"image_id {name}, input array<float>")
 
 
 #: What every log line has, in this order, and how a record gives it (none: the line goes without).

@@ -210,6 +210,11 @@ def test_flat_binary_form(spark):
             models.from_binary(bad)
 
 
+def test_resize_takes_many_at_once():
+    maps = np.random.default_rng(9).random((3, 4, 6))
+    assert (vectors.resize_map(maps, 7, 5) == [vectors.resize_map(m, 7, 5) for m in maps]).all()
+
+
 def test_resize_keeps_constants_and_ends():
     assert np.allclose(vectors.resize_map(np.full((3, 4), 2.5), 7, 9), 2.5)
     out = vectors.resize_map(np.array([[0.0, 1.0]]), 1, 4)
