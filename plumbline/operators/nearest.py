@@ -23,8 +23,8 @@ from plumbline.session import cut, scratch_path, ship
 
 #: Vectors of a bank that is broadcast whole; of a larger one so many are the sample, and so many of these the pivots.
 BANK_BLOCK, PIVOTS = 20_000, 512
-#: Rows of a cell, of either side, that one task takes at a time; vectors that are compared in one numpy pass.
-CELL_ROWS, PASS_ROWS = 20_000, 1024
+#: Rows of a cell, of either side, that one task takes at a time; vectors, and rows of a bank, that are compared in one numpy pass.
+CELL_ROWS, PASS_ROWS, BANK_PASS = 20_000, 512, 2048
 #: By how much bounds are loosened, relative to the sizes at hand.
 LOOSE = 1e-7
 
@@ -35,8 +35,14 @@ def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def nearest_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of and distance to the nearest row of y; the distance is computed directly."""
-    place = squared(x, y).argmin(axis=1)
+    """Place of and distance to the nearest row of y; the distance is computed directly.  Memory follows x and a pass, not y."""
+    place, least = np.zeros(len(x), dtype=np.int64), np.full(len(x), np.inf)
+    for at in range(0, len(y), BANK_PASS):
+        gap = squared(x, y[at : at + BANK_PASS])
+        here = gap.argmin(axis=1)
+        some = gap[np.arange(len(x)), here]
+        better = some < least
+        place[better], least[better] = at + here[better], some[better]
     return place, np.sqrt(((x - y[place]) ** 2).sum(axis=1))
 
 

@@ -210,6 +210,20 @@ def test_flat_binary_form(spark):
             models.from_binary(bad)
 
 
+def test_a_pass_takes_a_bounded_part_of_the_bank(monkeypatch):
+    from plumbline.operators import nearest
+
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(20, 6)), rng.normal(size=(50, 6))
+    y[40] = y[3]
+    want = np.sqrt(((x[:, None] - y) ** 2).sum(axis=2))
+    sizes, squared = [], nearest.squared
+    monkeypatch.setattr(nearest, "BANK_PASS", 7)
+    monkeypatch.setattr(nearest, "squared", lambda a, b: sizes.append(len(b)) or squared(a, b))
+    place, gap = nearest.nearest_of(x, y)
+    assert max(sizes) == 7 and (place == want.argmin(axis=1)).all() and np.allclose(gap, want.min(axis=1))
+
+
 def test_resize_takes_many_at_once():
     maps = np.random.default_rng(9).random((3, 4, 6))
     assert (vectors.resize_map(maps, 7, 5) == [vectors.resize_map(m, 7, 5) for m in maps]).all()
