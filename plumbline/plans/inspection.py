@@ -9,7 +9,6 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,24 +53,40 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def overlay_png(images: DataFrame, maps: DataFrame, alpha: float = 0.5) -> DataFrame:
-    """(image_id, png_base64): each image blended with its heatmap's colours."""
+#: Values of the colours that are blended at a time, unless one image has more.
+OVERLAY_VALUES = 1 << 20
+
+
+def overlay_png(images: DataFrame, maps: DataFrame | None = None, alpha: float = 0.5) -> DataFrame:
+    """(image_id, png_base64): each image (height, width, data) blended with its heatmap's colours.
+
+    maps: (image_id, heatmap), joined to the images; none where the images carry their heatmap, which then costs no join and no second reading of what
+    they were made from.  Images of one shape are blended together, so many at a time that a task's memory doesn't follow the batch.
+    """
     ship(images.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from plumbline.operators.imaging import blend
         from plumbline.sources.png import encode
 
-        for pdf in batches:
-            made = []
-            for r in pdf.itertuples():
-                shape = r.height, r.width
-                made.append(encode(blend(np.frombuffer(r.data, np.uint8).reshape(shape), np.asarray(r.heatmap).reshape(shape), alpha)))
-            yield pd.DataFrame({"image_id": pdf["image_id"], "png": made})
+        for batch in batches:
+            shapes: dict[tuple[int, int], list[int]] = {}
+            for i, shape in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                shapes.setdefault(shape, []).append(i)
+            for (height, width), same in shapes.items():
+                at_once = max(1, OVERLAY_VALUES // (3 * height * width))
+                for at in range(0, len(same), at_once):
+                    some = batch.take(pa.array(same[at : at + at_once]))
+                    gray = np.stack([np.frombuffer(v, np.uint8).reshape(height, width) for v in some.column(3).to_pylist()])
+                    heat = np.stack([v.values.to_numpy(zero_copy_only=False).reshape(height, width) for v in some.column(4)])
+                    made = pa.array([encode(v) for v in blend(gray, heat, alpha)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([some.column(0), made], ["image_id", "png"])
 
-    both = images.select("image_id", "height", "width", "data").join(maps.hint("merge"), "image_id")  # heatmaps are larger than estimated, too large to be broadcast
+    if maps is not None:
+        images = images.select("image_id", "height", "width", "data").join(maps.hint("merge"), "image_id")  # heatmaps are larger than estimated, too large to be broadcast
     name = images.schema["image_id"].dataType.simpleString()
-    return both.mapInPandas(run, f"image_id {name}, png binary").select("image_id", base64_text(F.col("png")).alias("png_base64"))
+    rows = images.select("image_id", "height", "width", "data", "heatmap").mapInArrow(run, f"image_id {name}, png binary")
+    return rows.select("image_id", base64_text(F.col("png")).alias("png_base64"))
 
 
 #: Values of the network's inputs that are made at a time, unless one image has more.

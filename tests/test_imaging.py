@@ -1,5 +1,7 @@
 import json
 import logging
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -188,6 +190,46 @@ def test_overlay_and_levels(spark):
     assert imaging.normalised_input(np.zeros((10, 10), dtype=np.uint8), 8).shape == (3, 8, 8)
 
 
+def test_overlays_of_many_shapes_equal_those_made_one_by_one(spark, monkeypatch):
+    import base64
+
+    monkeypatch.setattr(inspection, "OVERLAY_VALUES", 30)  # two or three images at a time
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for k in range(40):
+        gray, heat = rng.integers(0, 256, [(2, 3), (3, 2), (4, 7)][k % 3]).astype(np.uint8), rng.random([(2, 3), (3, 2), (4, 7)][k % 3]).astype(np.float32)
+        if k % 5 == 0:
+            heat[:] = 0.5
+        x = heat - heat.min()
+        levels = ((x / x.max() if x.max() > 0 else x) * 255).astype(np.uint8)
+        want[k] = np.clip(np.rint(np.repeat(gray[:, :, None].astype(float), 3, axis=2) * 0.7 + imaging.jet(levels) * 0.3), 0, 255).astype(np.uint8)
+        rows.append((k, *gray.shape, bytearray(gray.tobytes()), heat.ravel().tolist()))
+    table = spark.createDataFrame(rows, "image_id long, height int, width int, data binary, heatmap array<float>").coalesce(1)
+    for made in (inspection.overlay_png(table, alpha=0.3), inspection.overlay_png(table.drop("heatmap"), table.select("image_id", "heatmap"), 0.3)):
+        got = {r["image_id"]: png.decode_colour(base64.b64decode(r["png_base64"])) for r in made.collect()}
+        assert len(got) == 40 and all((got[k] == v).all() for k, v in want.items())
+    for wrong in ("slice(heatmap, 1, 5)", "if(image_id = 7, null, heatmap)"):
+        with pytest.raises(Exception, match="reshape|NoneType"):
+            inspection.overlay_png(table.withColumn("heatmap", F.expr(wrong))).collect()
+    with pytest.raises(Exception, match="NoneType|reshape"):
+        inspection.overlay_png(table.withColumn("height", F.lit(None).cast("int"))).collect()
+
+
+def test_lines_without_a_filter_are_read_as_those_with_one():
+    rng = np.random.default_rng(12)
+    for shape in ((1, 1), (4, 6), (5, 7, 3)):
+        image = rng.integers(0, 256, shape).astype(np.uint8)
+        plain = png.encode(image)
+        h, w = shape[:2]
+        lines = image.reshape(h, -1).astype(int)
+        above = np.vstack([np.zeros_like(lines[:1]), lines[:-1]])
+        body = b"".join(b"\2" + ((a - b) & 255).astype(np.uint8).tobytes() for a, b in zip(lines, above, strict=True))
+        up = png._HEAD + png._chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2 if image.ndim == 3 else 0, 0, 0, 0)) + png._chunk(b"IDAT", zlib.compress(body)) + png._chunk(b"IEND", b"")
+        for data in (plain, up):
+            got = png.decode(data)
+            assert (got == image.reshape(h, w, -1)).all() and got.flags.writeable
+
+
 def test_manifest(spark, tmp_path):
     path = tmp_path / "samples.json"
     path.write_text(json.dumps({"samples": [

@@ -90,3 +90,19 @@ def test_tasks_grow_with_the_drawings_and_pixels_are_not_shuffled(spark, tmp_pat
     assert catalog.drawings(spark, str(tmp_path)).rdd.getNumPartitions() == 20
     plan = plan_of(catalog.otsu_levels(spark, str(tmp_path)))
     assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 2 and plan.count("ArrowEvalPython") == 2
+
+
+def test_overlays_take_each_drawing_once_and_join_nothing(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from plumbline import catalog
+
+    spark.range(1, 300).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(catalog, "DEALT_ON", 30)
+    made = catalog.overlay_levels(spark, str(tmp_path))
+    plan = plan_of(made)
+    assert plan.count("drawn(") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
+    assert made.rdd.getNumPartitions() == 10
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in made.collect()) == sorted(con.execute(catalog.ORACLES["overlay_levels"]).fetchall())
