@@ -106,3 +106,14 @@ def test_overlays_take_each_drawing_once_and_join_nothing(spark, tmp_path, monke
     con = duckdb.connect()
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     assert sorted(tuple(r) for r in made.collect()) == sorted(con.execute(catalog.ORACLES["overlay_levels"]).fetchall())
+
+
+def test_drawings_are_read_in_fewer_tasks_than_their_pixels_take(spark, tmp_path, monkeypatch):
+    from plumbline import catalog
+
+    spark.range(1, 60).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(catalog, "DEALT", 3)
+    monkeypatch.setattr(catalog, "DEALT_ON", 10)
+    plan = plan_of(catalog.read_drawings(spark, str(tmp_path)))
+    assert "hashpartitioning(image_id" in plan and ", 20), REPARTITION_BY_NUM" in plan
+    assert "hashpartitioning(p_partkey" in plan and ", 6), REPARTITION_BY_NUM" in plan
